@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bitplanes, prefix_bpe, wordpiece_counts
+from . import bitplanes, decontaminate, jaccard_join, prefix_bpe, wordpiece_counts
 
 QUERIES = {
+    "op5_suffix_decontamination": decontaminate.op5,
     "op7_bitplane_ids": bitplanes.op7,
     "op8_prefix_bpe": prefix_bpe.op8,
+    "op9_jaccard_fragments": jaccard_join.op9,
     "op10_longest_match_counts": wordpiece_counts.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_suffix_decontamination": decontaminate.OP5_SQL,
+}
