@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decontaminate, jaccard_join, prefix_bpe, wordpiece_counts
+from . import bitplanes, decision_list, decontaminate, jaccard_join, prefix_bpe, toxicity, wordpiece_counts
 
 QUERIES = {
+    "op3_decision_list": decision_list.op3,
     "op5_suffix_decontamination": decontaminate.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_bitplane_ids": bitplanes.op7,
     "op8_prefix_bpe": prefix_bpe.op8,
     "op9_jaccard_fragments": jaccard_join.op9,
