@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decision_list, decontaminate, jaccard_join, prefix_bpe, toxicity, wordpiece_counts
+from . import bitplanes, decision_list, decontaminate, jaccard_join, mixing, prefix_bpe, toxicity, wordpiece_counts
 
 QUERIES = {
+    "op1_context_mixing": mixing.op1,
     "op3_decision_list": decision_list.op3,
     "op5_suffix_decontamination": decontaminate.op5,
     "op6_toxicity": toxicity.op6,
