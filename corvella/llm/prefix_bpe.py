@@ -36,51 +36,84 @@ class State:
 
 
 class PrefixBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 800_000):
         import regex
 
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.max_len = max(map(len, ranks))
+        self.backward: dict = {}  # a trie of the reversed tokens; -1: the token that ends here
+        for raw, token in ranks.items():
+            node = self.backward
+            for byte in reversed(raw):
+                node = node.setdefault(byte, {})
+            node[-1] = token
         self.split = regex.compile(pattern).findall
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.made_of: dict[int, tuple[int, ...] | None] = {}
         self.pieces = Memo(lambda piece: tuple(self._piece(piece.encode("utf-8", "surrogatepass"))), cache // 2)
         self.units = Memo(lambda key: tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(unit_text(key))))), cache)
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """Plain BPE of a few bytes: merges the leftmost pair of lowest rank until none is left."""
+    def merge(self, data: bytes, least: int = 1) -> list[bytes]:
+        """Plain BPE of a few bytes: merges the leftmost pair of lowest rank while more than least parts are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             rank, k = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
                 break
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens of the merge that makes a token; None for a single byte or a token that BPE never makes."""
+        if token not in self.made_of:
+            parts = self.merge(self.bytes_of[token], 2)
+            whole = len(parts) == 2 and self.ranks.get(parts[0] + parts[1]) == token
+            self.made_of[token] = tuple(map(self.ranks.__getitem__, parts)) if whole else None
+        return self.made_of[token]
+
+    def _keeps(self, left: int, right: int) -> bool:
+        """Undoes merges at the border, the latest first; the border holds unless both sides would have merged before."""
+        limit = 1 << 60  # the rank at which the tokens now at the border were taken up into larger ones
+        while True:
+            both = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+            if both is not None and both < limit:
+                return False
+            if left > right and (parts := self.halves(left)):
+                limit, left = left, parts[1]
+            elif parts := self.halves(right):
+                limit, right = right + 1, parts[0]  # of equal ranks the left one merges first
+            elif parts := self.halves(left):
+                limit, left = left, parts[1]
+            else:
+                return True
+
     def joins(self, before: int, token: int) -> bool:
         """Whether BPE keeps both tokens when one follows the other."""
         got = self.pairs.get((before, token))
         if got is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            a, b = self.bytes_of[before], self.bytes_of[token]
-            got = self.pairs[before, token] = self.merge(a + b) == [a, b]
+            got = self.pairs[before, token] = self.stands(token) and self._keeps(before, token)
         return got
 
     def stands(self, token: int) -> bool:
         """Whether BPE of the token's bytes is the token itself."""
-        got = self.pairs.get((-1, token))
-        if got is None:
-            got = self.pairs[-1, token] = self.merge(self.bytes_of[token]) == [self.bytes_of[token]]
-        return got
+        return len(self.bytes_of[token]) == 1 or self.halves(token) is not None
 
     def _last(self, data: bytes | bytearray, last: list[int], end: int) -> int:
-        """The last token of data[:end], of which all shorter prefixes are known."""
-        find = self.ranks.get
-        for start in range(max(0, end - self.max_len), end):
-            token = find(bytes(data[start:end]))
-            if token is not None and (self.joins(last[start - 1], token) if start else self.stands(token)):
-                return token
+        """The last token of data[:end], of which all shorter prefixes are known; suffix tokens are met shortest first."""
+        node, pairs = self.backward, self.pairs
+        for start in range(end - 1, -1, -1):
+            node = node.get(data[start])
+            if node is None:
+                break
+            if (token := node.get(-1)) is not None:
+                if not start:
+                    if self.stands(token):
+                        return token
+                elif (good := pairs.get((last[start - 1], token))) or (good is None and self.joins(last[start - 1], token)):
+                    return token
         raise ValueError("the vocabulary lacks a byte")
 
     def append(self, state: State, more: bytes) -> State:
