@@ -2,5 +2,420 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import chunkers as C
+from ..operators import stats, tables, vectors
+from ..sources.files import table
+from ..streaming import microbatch
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def logs(spark: SparkSession, d: str) -> DataFrame:
+    return stats.event_logs(table(spark, d, "events"))
+
+
+LOGS = """WITH logs AS (SELECT event_id, event_type AS topic, user_id % 4 AS group_id, user_id, ts AS started_at,
+ CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'processing' ELSE 'completed' END AS status,
+ CASE WHEN event_type NOT IN ('error', 'view') THEN ts + to_microseconds(cast(round(value * 1000000) AS bigint)) END AS completed_at FROM events) """
+CHARACTER = r"""WITH RECURSIVE w AS (
+ SELECT doc_id, text, length(text) AS n, 0 AS s, cast(NULL AS integer) AS e, 0 AS step FROM documents
+ UNION ALL
+ SELECT doc_id, text, n, CASE WHEN e IS NULL THEN 0 WHEN e - 300 > s THEN e - 300 ELSE e END, x, step + 1 FROM (
+  SELECT doc_id, text, n, s, e, step, p, CASE WHEN e0 < n AND k > 0 THEN p + k ELSE e0 END AS x FROM (
+   SELECT *, CASE WHEN e0 < n THEN length(regexp_extract(substring(text, p + 2, e0 - p), '^(?s:.*)[ \n\t.,!?;:]')) ELSE 0 END AS k FROM (
+    SELECT *, least(p + 1200, n) AS e0 FROM (SELECT *, CASE WHEN e IS NULL THEN 0 WHEN e - 300 > s THEN e - 300 ELSE e END AS p FROM w) WHERE p < n)))),
+pieces AS (SELECT doc_id, s, e, regexp_replace(substring(text, s + 1, e - s), '^\s+|\s+$', '', 'g') AS t FROM w WHERE e IS NOT NULL),
+chunks AS (SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY s, e) - 1 AS bigint) AS chunk_index, t AS text_content, cast(s AS bigint) AS char_start, cast(e AS bigint) AS char_end FROM pieces WHERE t <> '') """
+
+
+@query(CHARACTER + "SELECT doc_id, chunk_index, text_content, char_start, char_end FROM chunks")
+def chunk_character(spark, d):
+    return C.chunk(docs(spark, d)).drop("chunk_id")
+
+
+@query(CHARACTER + "SELECT doc_id, count(*) AS n_chunks, cast(sum(length(text_content)) AS bigint) AS sum_chars, cast(min(length(text_content)) AS bigint) AS min_chars, cast(max(length(text_content)) AS bigint) AS max_chars, round(avg(length(text_content)), 6) AS avg_chars FROM chunks GROUP BY doc_id")
+def chunk_character_stats(spark, d):
+    n = F.length("text_content").cast("long")
+    return C.chunk(docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(n).alias("sum_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.round(F.avg(n), 6).alias("avg_chars"))
+
+
+@query(CHARACTER + "SELECT doc_id, cast(length(text) AS bigint) AS n_chars, cast(coalesce(c, 0) AS bigint) AS covered, coalesce(m, 0) AS last_end, coalesce(m, 0) < 0.95 * length(text) AS lossy FROM documents LEFT JOIN (SELECT doc_id, sum(char_end - char_start) AS c, max(char_end) AS m FROM chunks GROUP BY doc_id) USING (doc_id)")
+def chunk_coverage(spark, d):
+    return C.coverage(C.chunk(docs(spark, d)), docs(spark, d))
+
+
+@query("""SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE n // 900 + 1 END AS e_character, CASE WHEN n // 4 = 0 THEN 0 ELSE (n // 4) // 450 + 1 END AS e_token,
+ cast(floor(n / (1500 * 0.7::double)) AS bigint) + 1 AS e_semantic, CASE WHEN n = 0 THEN 0 ELSE n // 1200 + 1 END AS e_recursive, cast(floor(n / (1500 * 0.6::double)) AS bigint) + 1 AS e_embedding, n // 1250 + 1 AS e_linguistic
+ FROM (SELECT doc_id, length(text) AS n FROM documents)""")
+def estimate_chunks_all(spark, d):
+    return docs(spark, d).select("doc_id", *[e.cast("long").alias(f"e_{k}") for k, e in S.estimates(F.length("text")).items()])
+
+
+_TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]|\s+"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_TOKENS}') AS k FROM documents), w AS (SELECT doc_id, k, unnest(range(0, greatest(len(k) - 50, 1), 450)) AS a FROM t WHERE len(k) > 0)
+ SELECT doc_id, cast(a // 450 AS bigint) AS chunk_index, cast(least(500, len(k) - a) AS bigint) AS token_count, array_to_string(list_slice(k, a + 1, a + 500), '') AS text_content FROM w""")
+def chunk_token(spark, d):
+    t = docs(spark, d).select("doc_id", F.regexp_extract_all("text", F.lit(_TOKENS), F.lit(0)).alias("k")).where(F.size("k") > 0)
+    w = t.select("doc_id", "k", F.posexplode(F.sequence(F.lit(0), F.greatest(F.size("k") - 51, F.lit(0)), F.lit(450))).alias("chunk_index", "a"))
+    return w.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.least(F.lit(500), F.size("k") - F.col("a")).cast("long").alias("token_count"), F.array_join(F.slice("k", F.col("a") + 1, 500), "").alias("text_content"))
+
+
+def _chunks(name):
+    def run(spark, d):
+        return C.chunk(docs(spark, d), name)
+
+    run.__name__ = f"chunk_{name}"
+    return run
+
+
+for _name in ("semantic", "recursive_semantic", "embedding_semantic", "linguistic"):
+    query()(_chunks(_name))
+
+
+@query(r"""SELECT doc_id, cast(p AS bigint) AS n, regexp_replace(x, '^\s+|\s+$', '', 'g') AS paragraph FROM (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS p FROM (
+ SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), chr(10) || ' ' || chr(10) || chr(10)), '\n\s*\n+', chr(10) || chr(10), 'g'), chr(10) || chr(10)) AS s FROM documents)) WHERE regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''""")
+def split_paragraphs(spark, d):
+    spaced = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit("\n \n\n")), r"\n\s*\n+", "\n\n")
+    p = docs(spark, d).select("doc_id", F.posexplode(F.split(spaced, "\n\n")).alias("n", "x")).select("doc_id", F.col("n").cast("long").alias("n"), S.strip(F.col("x")).alias("paragraph"))
+    return p.where("paragraph <> ''")
+
+
+@query(r"""SELECT doc_id, s AS sentence, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)))) AS s FROM documents) WHERE s <> '' GROUP BY ALL""")
+def split_sentences_naive(spark, d):
+    return docs(spark, d).select("doc_id", F.explode(S.sentences(F.col("text"))).alias("sentence")).groupBy("doc_id", "sentence").agg(F.count("*").alias("n"))
+
+
+@query()
+def split_sentences_abbrev(spark, d):
+    @F.arrow_udf("array<string>")
+    def split(texts):
+        import pyarrow as pa
+
+        return pa.array([C.careful_sentences(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return docs(spark, d).select("doc_id", F.posexplode(split("text")).alias("n", "sentence"))
+
+
+_PREFIXED = "CASE i % 5 WHEN 0 THEN '## ' || l WHEN 1 THEN '3. ' || l WHEN 2 THEN 'Section 2 ' || l WHEN 3 THEN '[Page 4]' ELSE l END"
+_BOUNDARY_SQL = " OR ".join(f"regexp_matches(x, '{b}')" for b in S.BOUNDARIES)
+
+
+@query(f"""WITH l AS (SELECT doc_id, i, {_PREFIXED} AS x FROM (SELECT doc_id, unnest(s) AS l, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))
+ SELECT doc_id, cast(i AS bigint) AS line_no, ({_BOUNDARY_SQL}) AS boundary, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY i), '') = '' AS after_blank FROM l""")
+def section_boundaries(spark, d):
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    x = lines.withColumn("x", F.expr(_PREFIXED))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    return x.select("doc_id", F.col("i").cast("long").alias("line_no"), S.is_boundary(F.col("x")).alias("boundary"), (F.coalesce(F.lag("x").over(w), F.lit("")) == "").alias("after_blank"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(s) AS l, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)), p AS (SELECT *, coalesce(right(lag(l) OVER (PARTITION BY doc_id ORDER BY i), 40), '') AS t FROM l)
+ SELECT doc_id, cast(i AS bigint) AS line_no, CASE WHEN instr(t, ' ') > 0 THEN substring(t, instr(t, ' ') + 1) ELSE t END || l AS with_overlap FROM p""")
+def overlap_prev_chunk(spark, d):
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    t = F.coalesce(F.lag("l").over(Window.partitionBy("doc_id").orderBy("i")), F.lit(""))
+    p = lines.withColumn("t", F.when(F.length(t) > 40, F.substring(t, -40, 40)).otherwise(t))
+    cut = F.when(F.instr("t", " ") > 0, F.expr("substring(t, instr(t, ' ') + 1)")).otherwise(F.col("t"))
+    return p.select("doc_id", F.col("i").cast("long").alias("line_no"), F.concat(cut, "l").alias("with_overlap"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), h AS (SELECT doc_id, ('0x' || substring(md5(w), 1, 4))::int AS h FROM t), b AS (SELECT doc_id, h % 64 AS dim, cast(sum(CASE WHEN h >= 32768 THEN 1 ELSE -1 END) AS double) AS x FROM h GROUP BY ALL)
+ SELECT doc_id, cast(dim AS bigint) AS dim, round(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0), 6) AS x FROM b""")
+def embed_hashed(spark, d):
+    w = docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    h = w.select("doc_id", F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 4), 16, 10).cast("long").alias("h"))
+    b = h.groupBy("doc_id", (F.col("h") % 64).alias("dim")).agg(F.sum(F.when(F.col("h") >= 32768, 1).otherwise(-1)).cast("double").alias("x"))
+    n = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))
+    return b.select("doc_id", "dim", F.round(F.try_divide("x", F.when(n != 0, n)), 6).alias("x"))
+
+
+_Q = "(SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
+
+
+def _first(spark, d):
+    return table(spark, d, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]
+
+
+@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) AS score FROM embeddings, {_Q} ORDER BY round(list_cosine_similarity(embedding::double[], q::double[]), 9) DESC, vec_id LIMIT 10")
+def vector_topk(spark, d):
+    return vectors.top_k(table(spark, d, "embeddings"), _first(spark, d)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) AS score FROM embeddings, {_Q} WHERE label = 3 ORDER BY round(list_cosine_similarity(embedding::double[], q::double[]), 9) DESC, vec_id LIMIT 10")
+def vector_topk_filtered(spark, d):
+    return vectors.top_k(table(spark, d, "embeddings").where("label = 3"), _first(spark, d)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+ SELECT query_id, vec_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS bigint) AS rank FROM s QUALIFY rank <= 10""")
+def vector_topk_batch(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vectors.top_k_each(e, q).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""SELECT vec_id, CASE WHEN list_sum(list_transform(embedding::double[], lambda x: x * x)) = 0 THEN 0.0::double ELSE round(list_cosine_similarity(embedding::double[], q::double[]), 6) END AS score
+ FROM (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT -1, list_transform(embedding, lambda x: 0::float) FROM (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)), {_Q}""")
+def vector_zero_norm(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    zero = e.orderBy("vec_id").limit(1).select(F.lit(-1).cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.lit(0).cast("float")).alias("embedding"))
+    q = F.array(*[F.lit(float(x)) for x in _first(spark, d)])
+    return e.union(zero).select("vec_id", F.round(S.cosine(F.col("embedding"), q), 6).alias("score"))
+
+
+@query("SELECT label, cast(dim AS bigint) AS dim, round(avg(x::double), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY ALL")
+def vector_centroid(spark, d):
+    return vectors.centroids(table(spark, d, "embeddings"), "label").select("label", F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label, round(embedding[1]::double, 6) AS x0 FROM embeddings")
+def vector_upsert(spark, d):
+    e = table(spark, d, "embeddings")
+    return tables.upsert(e, e.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), "vec_id").select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("x0"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def vector_delete(spark, d):
+    gone = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("vec_id"))
+    return tables.delete(table(spark, d, "embeddings"), gone, "vec_id").select("vec_id", "label")
+
+
+_SETS = r"""WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM documents), p AS (SELECT l.doc_id, l.a, r.a AS b FROM s l JOIN s r ON r.doc_id = l.doc_id + 1),
+ j AS (SELECT doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) END AS j FROM p) """
+
+
+def _neighbours(spark, d):
+    s = docs(spark, d).select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("a"))
+    return s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id").select("doc_id", S.jaccard(F.col("a"), F.col("b")).alias("j"))
+
+
+@query(_SETS + "SELECT doc_id, round(j, 6) AS jaccard FROM j")
+def jaccard_pairs(spark, d):
+    return _neighbours(spark, d).select("doc_id", F.round("j", 6).alias("jaccard"))
+
+
+@query(_SETS + """, c AS (SELECT l.vec_id AS doc_id, list_cosine_similarity(l.embedding::double[], r.embedding::double[]) AS c FROM embeddings l JOIN embeddings r ON r.vec_id = l.vec_id + 1)
+ SELECT doc_id, round(CASE WHEN c > 0 THEN 0.5 * c + 0.25 * j + 0.25 * j ELSE 0.5 * j + 0.5 * j END, 6) AS score FROM c JOIN j USING (doc_id)""")
+def blended_similarity(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    c = e.join(e.select((F.col("doc_id") - 1).alias("doc_id"), F.col("embedding").alias("next")), "doc_id").select("doc_id", S.cosine(F.col("embedding"), F.col("next")).alias("c"))
+    return c.join(_neighbours(spark, d), "doc_id").select("doc_id", F.round(S.blended(F.col("c"), F.col("j"), F.col("j")), 6).alias("score"))
+
+
+@query(LOGS + "SELECT coalesce(status, '*') AS status, coalesce(topic, '*') AS topic, count(*) AS n FROM logs GROUP BY GROUPING SETS ((status), (topic), ())")
+def event_stats(spark, d):
+    return stats.totals(logs(spark, d))
+
+
+@query(LOGS + "SELECT topic, status, count(*) AS n, round(coalesce(avg(epoch_us(completed_at) - epoch_us(started_at)), 0) / 1000, 3) AS avg_ms FROM logs GROUP BY topic, status")
+def event_stats_duration(spark, d):
+    return stats.durations(logs(spark, d))
+
+
+@query(LOGS + """SELECT *, CASE WHEN completed > 0 THEN 'healthy' ELSE 'degraded' END AS health FROM (SELECT group_id, max(event_id) AS last_event, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed
+ FROM logs WHERE started_at >= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events) GROUP BY group_id)""")
+def consumer_health(spark, d):
+    last = logs(spark, d).agg((F.max("started_at") - F.expr("INTERVAL 5 MINUTES")).alias("t")).first()["t"]
+    return stats.health(logs(spark, d), F.lit(last))
+
+
+@query(LOGS + "SELECT coalesce(status, '*') AS status, count(*) AS n, cast(sum(user_id % 7) AS bigint) AS emails FROM logs GROUP BY ROLLUP (status)")
+def email_stats(spark, d):
+    return logs(spark, d).rollup("status").agg(F.count("*").alias("n"), F.sum(F.col("user_id") % 7).alias("emails")).select(F.coalesce("status", F.lit("*")).alias("status"), "n", "emails")
+
+
+@query(LOGS + ", b AS (SELECT group_id, status, event_id // 20 AS batch_id, count(*) AS processed FROM logs GROUP BY ALL) SELECT status, count(*) AS n, cast(sum(processed) AS bigint) AS processed, round(avg(processed), 6) AS avg_processed FROM b GROUP BY status")
+def batch_stats(spark, d):
+    b = logs(spark, d).groupBy("group_id", "status", F.expr("event_id div 20").alias("batch_id")).agg(F.count("*").alias("processed"))
+    return b.groupBy("status").agg(F.count("*").alias("n"), F.sum("processed").alias("processed"), F.round(F.avg("processed"), 6).alias("avg_processed"))
+
+
+@query(CHARACTER + """SELECT doc_id, count(*) AS total, count(*) FILTER (st = 'completed') AS completed, count(*) FILTER (st = 'failed') AS failed, count(*) FILTER (st = 'pending') AS pending FROM (
+ SELECT doc_id, CASE WHEN quality IS NULL THEN 'pending' WHEN (chunk_index + quality) % 7 = 0 THEN 'failed' ELSE 'completed' END AS st FROM chunks LEFT JOIN labels USING (doc_id)) GROUP BY doc_id""")
+def chunk_status_pivot(spark, d):
+    c = C.chunk(docs(spark, d)).select("doc_id", "chunk_index").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    st = F.when(F.col("quality").isNull(), "pending").when((F.col("chunk_index") + F.col("quality")) % 7 == 0, "failed").otherwise("completed")
+    return c.select("doc_id", st.alias("st")).groupBy("doc_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("st") == s).alias(s) for s in ("completed", "failed", "pending")])
+
+
+@query(LOGS + "SELECT event_id, topic, status FROM logs WHERE started_at >= (SELECT max(ts) - INTERVAL 24 HOUR FROM events) ORDER BY started_at DESC, event_id LIMIT 100")
+def recent_logs(spark, d):
+    last = logs(spark, d).agg((F.max("started_at") - F.expr("INTERVAL 24 HOURS")).alias("t")).first()["t"]
+    return stats.newest(logs(spark, d).where(F.col("started_at") >= F.lit(last))).select("event_id", "topic", "status")
+
+
+@query(LOGS + "SELECT event_id, topic FROM logs WHERE status = 'failed' ORDER BY started_at DESC, event_id LIMIT 50")
+def failed_events(spark, d):
+    return stats.newest(logs(spark, d).where("status = 'failed'"), 50).select("event_id", "topic")
+
+
+@query("SELECT event_id AS \"offset\", cast(user_id AS varchar) AS key, props AS value FROM events ORDER BY event_id LIMIT 50")
+def dead_letter_browse(spark, d):
+    return table(spark, d, "events").orderBy("event_id").limit(50).select(F.col("event_id").alias("offset"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"))
+
+
+_HASH = """WITH f AS (SELECT doc_id, encode(text) AS b FROM documents), h AS (SELECT doc_id, octet_length(b) AS n, sha256(encode('doc.md') || encode(cast(octet_length(b) AS varchar)) ||
+ CASE WHEN octet_length(b) <= 20480 THEN b ELSE b[1:10240] || b[octet_length(b) - 10239 : octet_length(b)] END) AS quick_hash FROM f) """
+
+
+def _hashed(spark, d):
+    return docs(spark, d).select("doc_id", F.octet_length("text").cast("long").alias("n"), S.quick_hash(F.lit("doc.md"), F.col("text").cast("binary")).alias("quick_hash"))
+
+
+@query(_HASH + "SELECT doc_id, quick_hash, CASE WHEN first <> doc_id THEN first END AS existing_id, CASE WHEN first <> doc_id THEN 'duplicate' ELSE 'uploaded' END AS status FROM (SELECT *, min(doc_id) OVER (PARTITION BY quick_hash) AS first FROM h)")
+def dedup_quick_hash(spark, d):
+    return tables.mark_duplicates(_hashed(spark, d)).select("doc_id", "quick_hash", "existing_id", "status")
+
+
+@query(_HASH + "SELECT count(*) AS total, count(*) FILTER (rn = 1 AND n <= 20000) AS success, count(*) FILTER (n > 20000) AS failed, count(*) FILTER (rn > 1 AND n <= 20000) AS duplicates FROM (SELECT *, row_number() OVER (PARTITION BY quick_hash ORDER BY doc_id) AS rn FROM h)")
+def upload_summary(spark, d):
+    m = tables.mark_duplicates(_hashed(spark, d))
+    ok, dup = F.col("n") <= 20000, F.col("status") == "duplicate"
+    return m.agg(F.count("*").alias("total"), F.count_if(ok & ~dup).alias("success"), F.count_if(~ok).alias("failed"), F.count_if(ok & dup).alias("duplicates"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def dedup_processed(spark, d):
+    return docs(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query("SELECT email_id, turn, role FROM (SELECT cast(conv_id AS varchar) || ':' || cast(turn % 3 AS varchar) AS email_id, turn, role, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS n FROM conversations) WHERE n = 1")
+def first_wins_email(spark, d):
+    e = table(spark, d, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") % 3).cast("string")).alias("email_id"), "turn", "role")
+    return tables.first_wins(e, "email_id", "turn")
+
+
+@query(LOGS + "SELECT user_id, arg_max(status, started_at) AS status, epoch_us(max(started_at)) AS at_us FROM logs GROUP BY user_id")
+def latest_status(spark, d):
+    return tables.latest(logs(spark, d), "user_id", "status", "started_at", "event_id").select("user_id", "status", F.unix_micros("started_at").alias("at_us"))
+
+
+@query("SELECT user_id, batch_no, count(*) AS n, min(event_id) AS first_id FROM (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 20 AS batch_no FROM events) GROUP BY ALL")
+def microbatch_fixed(spark, d):
+    n = F.expr("(row_number() over (partition by user_id order by ts, event_id) - 1) div 20")
+    return table(spark, d, "events").select("user_id", "event_id", n.alias("batch_no")).groupBy("user_id", "batch_no").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (
+ SELECT user_id, event_id, rn, 0::bigint AS b, 1 AS c, t AS f FROM o WHERE rn = 1 UNION ALL
+ SELECT o.user_id, o.event_id, o.rn, CASE WHEN c >= 5 OR t - f >= 172800000000 THEN b + 1 ELSE b END, CASE WHEN c >= 5 OR t - f >= 172800000000 THEN 1 ELSE c + 1 END, CASE WHEN c >= 5 OR t - f >= 172800000000 THEN t ELSE f END FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+ SELECT user_id, b AS batch_no, count(*) AS n, min(event_id) AS first_id FROM r GROUP BY ALL""")
+def microbatch_count_or_timeout(spark, d):
+    return microbatch.batches(table(spark, d, "events"), 5, 48 * 3600).groupBy("user_id", "batch_no").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query(ORACLE_SQL["microbatch_count_or_timeout"])
+def stream_microbatch(spark, d):
+    from ..sources.streams import events_once
+
+    return events_once(spark, d, lambda s: microbatch.stream_batches(s, 5, 48 * 3600), microbatch.OUT).groupBy("user_id", "batch_no").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("SELECT CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type ELSE 'dead_letter' END AS handler, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
+def stream_routing(spark, d):
+    from ..sources.streams import events_once
+
+    handler = F.when(F.col("event_type").isin("click", "view", "purchase"), F.col("event_type")).otherwise("dead_letter")
+    return events_once(spark, d, lambda s: s.select(handler.alias("handler"), "event_id"), "handler string, event_id long").groupBy("handler").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("""SELECT doc_id, substring(sha256('email:' || doc_id), 1, 24) AS email_doc_id, substring(sha256('emb:' || doc_id), 1, 16) AS emb_id, substring(sha256('attach:' || doc_id || ':' || source), 1, 16) AS attach_id FROM documents""")
+def ids_sha(spark, d):
+    i = F.col("doc_id").cast("string")
+    return docs(spark, d).select("doc_id", S.email_document_id(i).alias("email_doc_id"), S.embedding_id(i).alias("emb_id"), S.attachment_id(i, F.col("source")).alias("attach_id"))
+
+
+_NAME = "string_split(url, '/')[-1] || CASE page_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.exe' WHEN 2 THEN '.md' ELSE '' END"
+
+
+def _files(spark, d):
+    name = F.concat(F.element_at(F.split("url", "/"), -1), F.expr("CASE page_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.exe' WHEN 2 THEN '.md' ELSE '' END"))
+    return table(spark, d, "pages").select("page_id", "url", name.alias("name"), F.length("html").cast("long").alias("size"))
+
+
+@query(f"SELECT page_id, CASE WHEN s = '' THEN 'attachment' ELSE s END AS safe FROM (SELECT page_id, regexp_replace({_NAME}, '[^A-Za-z0-9.\\-_]', '_', 'g') AS s FROM pages)")
+def sanitize_filename(spark, d):
+    return _files(spark, d).select("page_id", S.safe_name(F.col("name")).alias("safe"))
+
+
+@query(f"SELECT page_id, e AS ext, CASE e WHEN '.pdf' THEN 'application/pdf' WHEN '.md' THEN 'text/markdown' WHEN '.markdown' THEN 'text/markdown' WHEN '.json' THEN 'application/json' END AS content_type, CASE e WHEN '.pdf' THEN 'pdf' WHEN '.md' THEN 'md' WHEN '.markdown' THEN 'markdown' WHEN '.json' THEN 'json' ELSE 'dead_letter' END AS handler FROM (SELECT page_id, lower(regexp_extract({_NAME}, '^.+(\\.[^.]+)$', 1)) AS e FROM pages)")
+def file_type_route(spark, d):
+    f = tables.routed(_files(spark, d).withColumnRenamed("name", "filename"))
+    return f.select("page_id", S.extension(F.col("filename")).alias("ext"), S.by_extension(F.col("filename"), S.CONTENT_TYPES).alias("content_type"), "handler")
+
+
+@query(f"SELECT page_id, CASE WHEN length(html) > 4000 THEN 'file too large' WHEN e NOT IN ('pdf', 'md', 'txt') THEN 'file type not allowed' WHEN page_id % 5 = 0 THEN 'no download url' END AS error FROM (SELECT page_id, html, lower(regexp_extract({_NAME}, '^.+\\.([^.]+)$', 1)) AS e FROM pages)")
+def attachment_validation(spark, d):
+    url = F.when(F.col("page_id") % 5 != 0, F.col("url"))
+    return _files(spark, d).select("page_id", tables.attachment_error(F.col("name"), F.col("size"), url, "pdf, md, txt", 4000).alias("error"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn, 'file ' || role || '.txt' AS name FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, name ORDER BY turn) - 1 AS k FROM a)
+ SELECT conv_id, turn, 'base/acc_' || conv_id % 5 || '/' || conv_id || '/' || CASE WHEN k = 0 THEN replace(name, ' ', '_') ELSE replace(replace(name, ' ', '_'), '.txt', '') || '_' || k || '.txt' END AS file_path FROM n""")
+def attachment_paths(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("acc "), (F.col("conv_id") % 5).cast("string")).alias("account_id"), F.col("conv_id").cast("string").alias("email_id"), F.concat(F.lit("file "), "role", F.lit(".txt")).alias("name"), F.col("turn").alias("pos"))
+    return tables.attachment_paths(c, "base").select("conv_id", "turn", "file_path")
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS preview, substring(text, 1, 50) AS subject, length(coalesce(text, '')) > 0 AS embeds FROM conversations")
+def email_preview(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", S.preview(F.col("text")).alias("preview"), F.substring("text", 1, 50).alias("subject"), (F.length(F.coalesce("text", F.lit(""))) > 0).alias("embeds"))
+
+
+@query("SELECT conv_id, count(*) AS n, string_agg(role || ':' || length(text), '|' ORDER BY turn) AS thread FROM conversations GROUP BY conv_id")
+def email_thread_hydrate(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", F.struct("turn", F.concat_ws(":", "role", F.length("text").cast("string")).alias("x")).alias("m"))
+    return t.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["x"]), "|").alias("thread"))
+
+
+@query("SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k, '{\"event_id\":' || event_id || ',\"type\":\"' || event_type || '\"}' AS encoded FROM events")
+def props_json(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.to_json(F.struct("event_id", F.col("event_type").alias("type"))).alias("encoded"))
+
+
+@query("SELECT doc_id, source AS content_type, substring(text, 1, 200) AS text_preview, lang, 'documents' AS mongo_collection FROM documents")
+def payload_merge(spark, d):
+    """Fixed keys give way to those of the chunk's metadata."""
+    fixed = F.create_map(F.lit("content_type"), F.lit("pdf"), F.lit("text_preview"), F.substring("text", 1, 200), F.lit("mongo_collection"), F.lit("documents"))
+    meta = F.create_map(F.lit("content_type"), F.col("source"), F.lit("lang"), F.col("lang"))
+    kept = F.map_filter(fixed, lambda k, v: ~F.map_contains_key(meta, k))
+    return docs(spark, d).select("doc_id", F.map_concat(kept, meta).alias("p")).select("doc_id", *[F.col("p")[k].alias(k) for k in ("content_type", "text_preview", "lang", "mongo_collection")])
+
+
+@query(LOGS + "SELECT group_id, count(*) FILTER (status = 'failed') AS storage_errors, cast(ceil(count(*) / 300.0) AS bigint) AS batches, count(*) FILTER (status = 'failed') > 0 AS has_partial_failure, CASE WHEN count(*) FILTER (status = 'completed') = 0 THEN 'failed' ELSE 'completed' END AS status FROM logs GROUP BY group_id")
+def partial_failure(spark, d):
+    g = logs(spark, d).groupBy("group_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("storage_errors"), F.count_if(F.col("status") == "completed").alias("ok"))
+    return g.select("group_id", "storage_errors", F.ceil(F.col("n") / 300).alias("batches"), (F.col("storage_errors") > 0).alias("has_partial_failure"), F.when(F.col("ok") == 0, "failed").otherwise("completed").alias("status"))
+
+
+@query("SELECT event_id, event_id % 5 + 1 AS retry_count FROM events WHERE event_type = 'error' AND event_id % 5 < 3")
+def retry_replay(spark, d):
+    f = table(spark, d, "events").where("event_type = 'error'").select("event_id", F.lit("pending_retry").alias("status"), (F.col("event_id") % 5).alias("retry_count"))
+    return tables.replay(tables.retry_candidates(f).withColumn("status", F.lit("failed"))).select("event_id", "retry_count")
+
+
+@query("SELECT event_id, cast(round(value) AS bigint) * CASE event_id % 4 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 WHEN 2 THEN 1073741824 ELSE 1 END AS bytes FROM events")
+def parse_size(spark, d):
+    text = F.concat(F.round("value").cast("long").cast("string"), F.element_at(F.array(F.lit("KB"), F.lit("MB"), F.lit("GB"), F.lit("")), (F.col("event_id") % 4 + 1).cast("int")))
+    return table(spark, d, "events").select("event_id", S.size_bytes(text).alias("bytes"))
