@@ -1,15 +1,28 @@
-"""Five stages over documents, each written as Parquet and read again."""
+"""Five stages over documents, each written as Parquet and read again as the next one's input.
+
+Labels teach the first two stages; rows that they reject go. Then one document of each group of near
+duplicates (five words, 0.8) stays, documents with benchmark passages go, and the rest is encoded.
+"""
 
 from __future__ import annotations
 
-from corvella.llm import prefix_bpe
+from pyspark.sql import DataFrame, SparkSession
+
+from corvella.llm import decision_list, decontaminate, jaccard_join, prefix_bpe, toxicity
 from corvella.llm.common import scratch, table
 
-STAGES = [("bpe", prefix_bpe.stage)]
+STAGES = [
+    ("toxicity", toxicity.stage),
+    ("quality_rules", decision_list.stage),
+    ("ngram_jaccard_join", jaccard_join.stage),
+    ("benchmark_decontamination", decontaminate.stage),
+    ("byte_level_bpe", prefix_bpe.stage),
+]
+#: Learned and iterative stages have no SQL form; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decision_list, decontaminate, jaccard_join, mixing, prefix_bpe, toxicity, wordpiece_counts
+from . import bitplanes, decision_list, decontaminate, jaccard_join, mixing, prefix_bpe, tool_calls, toxicity, warc_derivatives, wordpiece_counts
 
 QUERIES = {
     "op1_context_mixing": mixing.op1,
+    "op2_warc_derivatives": warc_derivatives.op2,
     "op3_decision_list": decision_list.op3,
+    "op4_tool_calls": tool_calls.op4,
     "op5_suffix_decontamination": decontaminate.op5,
     "op6_toxicity": toxicity.op6,
     "op7_bitplane_ids": bitplanes.op7,
@@ -16,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_derivatives": warc_derivatives.OP2_SQL,
     "op5_suffix_decontamination": decontaminate.OP5_SQL,
 }
