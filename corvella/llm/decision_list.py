@@ -193,7 +193,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose text fails the base rule or meets a learned rule; a row's own text decides."""
+    """Drops the documents whose text fails the base rule or meets a learned rule; of rows with one doc_id all stay if one may."""
     rules = fit(docs, table(spark, sf_dir, "labels"))
     kept = stored(judged(docs, rules), "judged").where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")

@@ -205,8 +205,9 @@ def _pass(docs: DataFrame, test: TestSet, keep, first: bool) -> DataFrame:
 
 
 def remove(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The documents in which no window of a test text occurs, with all their columns."""
-    return find(docs, items, window).where(F.size("hit_spans") == 0).select(*docs.columns)
+    """The documents in which no window of a test text occurs, with all their columns, whatever their names."""
+    plain = docs.toDF(*["text" if c == "text" else f"column{k}" for k, c in enumerate(docs.columns)])
+    return find(plain, items, window).where(F.size("hit_spans") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
