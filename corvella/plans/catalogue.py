@@ -10,6 +10,7 @@ from ..operators import chunkers as C
 from ..operators import stats, tables, vectors
 from ..sources.files import table
 from ..streaming import microbatch
+from . import pipelines
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -419,3 +420,54 @@ def retry_replay(spark, d):
 def parse_size(spark, d):
     text = F.concat(F.round("value").cast("long").cast("string"), F.element_at(F.array(F.lit("KB"), F.lit("MB"), F.lit("GB"), F.lit("")), (F.col("event_id") % 4 + 1).cast("int")))
     return table(spark, d, "events").select("event_id", S.size_bytes(text).alias("bytes"))
+
+
+@query(CHARACTER + """, h AS (SELECT doc_id, text, octet_length(encode(text)) AS b, min(doc_id) OVER (PARTITION BY sha256(text)) AS f FROM documents),
+ u AS (SELECT h.doc_id, CASE WHEN b > 20000 THEN 'failed' WHEN f <> h.doc_id THEN 'duplicate' WHEN l.doc_id IS NOT NULL THEN 'skipped' ELSE 'completed' END AS status FROM h LEFT JOIN labels l USING (doc_id))
+ SELECT status, count(*) AS n_docs, cast(coalesce(sum(c), 0) AS bigint) AS n_chunks FROM u LEFT JOIN (SELECT doc_id, count(*) AS c FROM chunks GROUP BY doc_id) k ON k.doc_id = u.doc_id AND u.status = 'completed' GROUP BY status""")
+def document_pipeline(spark, d):
+    u, c = pipelines.ingest(docs(spark, d), table(spark, d, "labels"), 20000)
+    n = c.groupBy("doc_id").agg(F.count("*").alias("c"))
+    return u.select("doc_id", "status").join(n, "doc_id", "left").groupBy("status").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_chunks"))
+
+
+@query(CHARACTER + "SELECT doc_id, chunk_index, substring(text_content, 1, 200) AS text_preview, 'completed' AS embedding_status FROM chunks JOIN embeddings ON vec_id = doc_id AND chunk_index = vec_id % 3")
+def chunk_vectors(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 3).alias("chunk_index"), "embedding")
+    return pipelines.index(C.chunk(docs(spark, d)), e).select("doc_id", "chunk_index", "text_preview", "embedding_status")
+
+
+@query(CHARACTER + "SELECT doc_id, substring(sha256(doc_id || '|character|' || chunk_index), 1, 24) AS chunk_id, cast(len(embedding) AS bigint) AS vector_size, 0::bigint AS retry_count, 'pending_retry' AS status FROM chunks JOIN embeddings ON vec_id = doc_id AND chunk_index = 0 WHERE label = 0")
+def embedding_failures(spark, d):
+    e = table(spark, d, "embeddings").where("label = 0").select(F.col("vec_id").alias("doc_id"), F.lit(0).cast("long").alias("chunk_index"), "embedding")
+    return pipelines.quarantine(e, C.chunk(docs(spark, d)))
+
+
+def _mail_events(spark, d):
+    m = F.struct(
+        F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") % 3).cast("string")).alias("id"), F.substring("text", 1, 50).alias("subject"), F.struct(F.struct(F.col("role").alias("address")).alias("emailAddress")).alias("from_address"),
+        F.struct(F.col("text").alias("content")).alias("body"), (F.col("turn") == 0).alias("is_read"),
+    )
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", m.alias("m")))), lambda x: x["m"]).alias("value"))
+    return t.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("event_id"), (F.col("conv_id") % 5).cast("string").alias("account_id"), F.struct("value").alias("response_data"))).alias("value"))
+
+
+@query("""SELECT substring(sha256('email:' || conv_id || ':' || turn % 3), 1, 24) AS document_id, conv_id || ':' || turn % 3 AS email_id, cast(conv_id % 5 AS varchar) AS account_id, cast(conv_id AS varchar) AS event_id, substring(text, 1, 50) AS subject, role AS sender, cast(length(text) AS bigint) AS n_chars, turn = 0 AS is_read, false AS has_attachments FROM conversations""")
+def email_flatten(spark, d):
+    e = pipelines.emails(_mail_events(spark, d))
+    return e.select("document_id", "email_id", "account_id", "event_id", "subject", "sender", F.length("content").cast("long").alias("n_chars"), "is_read", "has_attachments")
+
+
+@query("""WITH e AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) AS n FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels)),
+ b AS (SELECT conv_id % 5 AS a, text, (row_number() OVER (PARTITION BY conv_id % 5 ORDER BY cast(conv_id AS varchar), turn) - 1) // 20 AS batch_no FROM e WHERE n = 1)
+ SELECT cast(a AS varchar) AS account_id, batch_no, count(*) AS processed, count(*) FILTER (length(text) > 0) AS embedded, cast(sum(length(text)) AS bigint) AS n_chars FROM b GROUP BY ALL""")
+def email_pipeline(spark, d):
+    done = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("event_id"))
+    e = pipelines.process_emails(_mail_events(spark, d), done)
+    return e.groupBy("account_id", "batch_no").agg(F.count("*").alias("processed"), F.count_if("embeds").alias("embedded"), F.sum(F.length("content")).alias("n_chars"))
+
+
+@query(f"SELECT h.vec_id, h.score, lang, source FROM (SELECT vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) AS score FROM embeddings, {_Q} ORDER BY round(list_cosine_similarity(embedding::double[], q::double[]), 9) DESC, vec_id LIMIT 10) h JOIN documents ON doc_id = vec_id")
+def vector_hydrate(spark, d):
+    hits = vectors.top_k(table(spark, d, "embeddings"), _first(spark, d)).select("vec_id", F.round("score", 6).alias("score"))
+    return F.broadcast(hits).join(docs(spark, d), F.col("doc_id") == F.col("vec_id")).select("vec_id", "score", "lang", "source")
