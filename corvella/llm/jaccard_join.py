@@ -7,13 +7,14 @@ level that stands for their sizes) are candidates, and none is missed. The overl
 are then counted fragment by fragment, each by itself, and summed per pair.
 
 Equal sets are one class from the start. Links are found in two steps: first each member of a group of
-candidates against the group's leader; then, in groups that still fall into several components, all pairs
-of members from different components. So every link between different components is tested, and pairs
-within a component that is known already are not spelled out.
+candidates against the group's leader; then, among the members of groups that still fall into several
+components, the pairs from different components, found by the prefixes of a second order, by frequency. So
+every link between different components is tested, and pairs within a known component are not spelled out.
 
 Sets are compared by 52-bit hashes of n-grams, classes by 64-bit sums of them with the size.
-Rows: null or empty texts, or texts without words, have no n-grams and stay alone. Rows with the same doc_id
-are each kept; as doc_id names the text, use unique ids. A null doc_id is never a component's id.
+Rows: null or empty texts, or texts without words, have no n-grams and stay alone. Every row gives a row, also
+where a doc_id comes twice, with one text or with two. A null doc_id is never a component's id, but its row
+gets that of its text. Equal texts are always in one component. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
 from .components import components
 from .wordhash import NON_SPACE, Words, mix, pieces
 
-BITS, RANGES, PARTS = np.uint64(52), 64, 4
+BITS, RANGES, PARTS = np.uint64(52), 128, 4
 BROADCAST_ROWS = 1_000_000  # of 24 bytes
 
 
@@ -75,12 +76,13 @@ class Shingles:
 
     def keys(self) -> np.ndarray:
         """The class of each row's set."""
-        total = np.concatenate([[0], np.cumsum(mix(self.hash + np.uint64(0x51ED27)), dtype=np.uint64)]).astype(np.uint64)
+        total = np.zeros(len(self.hash) + 1, np.uint64)
+        np.cumsum(mix(self.hash + np.uint64(0x51ED27)), out=total[1:])
         return mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64)).view(np.int64)
 
     def counts(self) -> np.ndarray:
         """How many hashes each row has in each of RANGES equal ranges, 255 at most."""
-        out = np.bincount(self.doc * RANGES + (self.hash >> np.uint64(46)).astype(np.int64), minlength=len(self.size) * RANGES)
+        out = np.bincount(self.doc * RANGES + (self.hash >> np.uint64(45)).astype(np.int64), minlength=len(self.size) * RANGES)
         return np.minimum(out, 255).astype(np.uint8).reshape(-1, RANGES)
 
     def signatures(self, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +132,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for b in _shards(batches, 1):
             s = Shingles(b.column(1), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.size.astype(np.int64)), pa.array(s.keys()), pa.array([x.tobytes() for x in s.counts()], pa.binary())], names=["doc_id", "n_shingles", "key", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.size.astype(np.int64)), pa.array(s.keys()), pa.array(list(s.counts().astype(np.int16)), pa.list_(pa.int16()))], names=["doc_id", "n_shingles", "key", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, counts array<short>")
 
 
 def _candidates(docs: DataFrame, n: int, levels: Levels, buckets: int) -> DataFrame:
@@ -206,7 +208,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if not b.num_rows:
                 continue
             na, nb = b.column(2).to_numpy(), b.column(5).to_numpy()
-            ca, cb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, RANGES) for k in (4, 7))
+            ca, cb = (b.column(k).flatten().to_numpy().reshape(-1, RANGES) for k in (4, 7))
             full = (ca == 255) | (cb == 255)
             room = np.where(full.any(1), np.minimum(na, nb), np.minimum(ca, cb).sum(1, dtype=np.int64))
             ok = (100 + percent) * np.minimum(room, np.minimum(na, nb)) >= percent * (na + nb)
@@ -225,13 +227,16 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
         for b in _shards(batches, 3):
             s = Shingles(b.column(3), n)
             a, c, side = (b.column(k).to_pylist() for k in range(3))
+            own = s.keys().tolist()
             rows = []
             for i in range(b.num_rows):
+                if own[i] != (c[i] if side[i] else a[i]):
+                    continue  # another text with the same doc_id
                 h = s.hash[s.first[i] : s.first[i + 1]]
                 cuts = [0, *np.searchsorted(h, np.arange(1, PARTS, dtype=np.uint64) * width).tolist(), len(h)]
                 rows += [(a[i], c[i], p, *((h[x:y].view(np.int64), None)[:: 1 if side[i] == 0 else -1])) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "b", "part", "ha", "hb"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["a", "b", "part", "ha", "hb"])
 
     wanted = pairs.select("a", "b", F.lit(0).alias("side"), F.col("da").alias("doc_id")).union(pairs.select("a", "b", F.lit(1), "db"))
     if pairs.count() * 2 <= BROADCAST_ROWS:  # else both sides are shuffled
@@ -242,6 +247,44 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
     return summed.join(pairs, ["a", "b"]).where((100 + percent) * F.col("o") >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "o")
 
 
+def _prefixes(docs: DataFrame, left: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """The prefixes of the sets of left (key, label, doc_id) as rows key, label, n, h, pos, counts.
+
+    Here the n-grams are ordered by how many of these sets have them: what a large group of edited copies
+    shares comes last, and a set that differs too much from all others has only its own n-grams in its prefix.
+    A linked pair shares an n-gram of both prefixes, and at the first such one enough of either set remains.
+    """
+
+    def run(batches):
+        for b in _shards(batches, 2):
+            s = Shingles(b.column(2), n)
+            key, label = (b.column(k).to_numpy()[s.doc] for k in (0, 1))
+            own = s.keys()[s.doc] == key  # else another text with the same doc_id
+            cols = [x[own] for x in (key, label, s.size[s.doc], s.hash.view(np.int64))]
+            for i in range(0, len(cols[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in cols], names=["key", "label", "n", "h"])
+
+    wanted = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
+    grams = docs.join(wanted, "doc_id").select("key", "label", "text").distinct().mapInArrow(run, "key long, label long, n long, h long")
+    often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # An n-gram that one set alone has joins nothing: it only moves the others back.
+    ranked = grams.join(often, "h", "left").withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(1)), "h")))
+    prefix = ranked.where((100 * (F.col("pos") - 1) <= (100 - percent) * F.col("n")) & F.col("df").isNotNull()).select("key", "label", "n", "h", "pos")
+    return stored(prefix.join(sets.select("key", "counts"), "key"), "prefixes")
+
+
+def _room(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) from different components of two tables of prefixes whose overlap may reach the threshold."""
+    x, y = (t.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "label", "n", "pos", "counts")]) for t, side in ((x, "a"), (y, "b")))
+    need = percent * (F.col("n_a") + F.col("n_b"))
+    remain = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    # What the counts by range leave room for; a range of 255 or more says nothing.
+    room = F.aggregate(F.zip_with("counts_a", "counts_b", lambda u, v: F.when((u >= 255) | (v >= 255), F.lit(1 << 30)).otherwise(F.least(u, v).cast("int"))), F.lit(0).cast("long"), lambda s, v: s + v)
+    enough = F.when((100 + percent) * remain < need, False).otherwise((100 + percent) * room >= need)
+    pairs = x.join(y, "h").where(F.when((F.col("label_a") == F.col("label_b")) | (F.col("key_a") >= F.col("key_b")), False).otherwise(enough))
+    return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with n_shingles and key, links between keys with their overlap)."""
     spark = docs.sparkSession
@@ -257,13 +300,18 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None
     first = stored(_plausible(star, sets, percent), "pairs")
     links = stored(_linked(docs, first, n, percent), "overlaps")
     labels = components(links)
-    # Groups that fall into several components: all pairs between those, but for the ones tested already.
+    # Groups that still fall into several components: their members are compared again, across components only.
     own = stored(groups.select("sig", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("sig", "key", F.coalesce("label", "key").alias("label")), "members")
     open_ = own.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    left = own.join(open_, "sig", "left_semi")
-    x, y = left.select("sig", F.col("key").alias("a"), F.col("label").alias("la")), left.select("sig", F.col("key").alias("b"), F.col("label").alias("lb"))
-    cross = x.join(y, "sig").where("la <> lb and a < b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    second = stored(_plausible(cross, sets, percent), "pairs")
+    left = stored(own.join(open_, "sig", "left_semi").select("key", "label").distinct().join(sets.select("key", F.col("doc").alias("doc_id")), "key"), "open")
+    prefix = _prefixes(docs, left, sets, n, percent)
+    # First each set against the one that has the n-gram earliest in its prefix: the one with the fewest n-grams of its own.
+    leaders = prefix.groupBy("h").agg(F.min(F.struct("pos", "key", "label", "n", "counts")).alias("s")).select("h", "s.*")
+    some = _room(leaders, prefix, percent).union(_room(prefix, leaders, percent)).distinct()
+    links = stored(links.union(_linked(docs, stored(_plausible(some, sets, percent), "pairs"), n, percent)), "overlaps")
+    labels = components(links)
+    prefix = stored(prefix.drop("label").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key")), "prefixes")
+    second = stored(_plausible(_room(prefix, prefix, percent), sets, percent), "pairs")
     links = links.union(stored(_linked(docs, second, n, percent), "overlaps"))
     return rows, links
 
