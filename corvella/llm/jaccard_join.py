@@ -6,8 +6,8 @@ with more than k fragments at least one part is equal in both: documents that sh
 level that stands for their sizes) are candidates, and none is missed. The overlaps of a candidate's parts
 are then counted fragment by fragment, each by itself, and summed per pair.
 
-Equal sets are one class from the start. Links are found in two steps: first each member of a group of
-candidates against the group's leader; then, among the members of groups that still fall into several
+Equal sets are one class from the start. Links are found in two steps: first each member of groups of
+candidates against one leader that it shares most parts with; then, among the members of groups that still fall into several
 components, the pairs from different components, found by the prefixes of a second order, by frequency. So
 every link between different components is tested, and pairs within a known component are not spelled out.
 
@@ -296,7 +296,9 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None
     known = rows.where("doc_id is not null and n_shingles > 0")
     sets = known.join(groups.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"))
     sets = stored(sets, "reps")
-    star = groups.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    # Each set against one leader, the one with which it shares the most parts.
+    shared = groups.where("key <> leader").groupBy("key", "leader").agg(F.count("*").alias("parts"))
+    star = shared.groupBy("key").agg(F.max_by("leader", F.struct("parts", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("key").alias("b"))
     first = stored(_plausible(star, sets, percent), "pairs")
     links = stored(_linked(docs, first, n, percent), "overlaps")
     labels = components(links)
