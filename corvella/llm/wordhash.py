@@ -64,14 +64,18 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         up, down = powers(n)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+        run = total[1:]
+        run[:] = self.data
+        run += np.uint64(1)
+        run *= up[:n]
+        np.cumsum(run, out=run)
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
         self.first = np.searchsorted(self.start, at)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(rows), self.count)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each have about most bytes (or are a single one)."""
     for batch in batches:
         size = batch.column(column).cast(pa.large_string())
