@@ -141,6 +141,24 @@ def test_scores(spark):
     assert mixing.score(df.where("false")).count() == 0
 
 
+def test_held_out_texts_teach_nothing(spark):
+    """The score of a text stays the same whatever the held-out rows are and however the words are dealt out."""
+    rng = random.Random(15)
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(200) if i not in train]
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+    data = [(i, " ".join(word("abcdef") for _ in range(60)), True) for i in train] + [(held[0], "abc fed cab zz", False)]
+    more = [(i, " ".join(word("\u4e2dxyz0123") for _ in range(300)), False) for i in held[1:]]
+    got = []
+    for some, parts in ((data, "4"), (data + more, "4"), (data, "96")):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        rows_ = mixing.score(spark.createDataFrame(some, "doc_id long, text string, train boolean").coalesce(1)).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        got.append({r.doc_id: r.score for r in rows_ if r.doc_id in {i for i, _, _ in data}})
+    assert got[1] == pytest.approx(got[0], abs=1e-5) and got[2] == pytest.approx(got[0], abs=1e-5)
+
+
 def test_bit_model_is_a_distribution():
     """Probabilities of all words over two letters up to a length, with the closing space, sum to less than one."""
     rng = np.random.default_rng(0)
