@@ -159,6 +159,20 @@ def test_held_out_texts_teach_nothing(spark):
     assert got[1] == pytest.approx(got[0], abs=1e-5) and got[2] == pytest.approx(got[0], abs=1e-5)
 
 
+def test_scores_know_word_order_and_frequency(spark):
+    """Contexts go across words, and every training occurrence counts."""
+    rng = random.Random(16)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(w for _ in range(20) for k in [rng.randrange(30)] for w in names[2 * k : 2 * k + 2]) for _ in range(200)]
+    rare = " ".join("".join(rng.choice("xyz") for _ in range(4)) for _ in range(5))
+    held = [" ".join(names[:40]), " ".join(names[:40][::-1]), "xxyyx " * 2, rare]
+    data = [(i, t + " xxyyx" * 20, True) for i, t in enumerate(texts)] + [(900, rare, True)] + [(1000 + i, t, False) for i, t in enumerate(held)]
+    got = {r.doc_id: r.score / r.n_tokens for r in mixing.score(spark.createDataFrame(data, "doc_id long, text string, train boolean").coalesce(1)).collect()}
+    assert got[1000] > got[1001] + 0.2 and got[1002] > got[1003]
+    counts = mixing.bit_tables(mixing.blocks_of(spark.createDataFrame([(1, "to to to be", True), (2, "to", False)], "doc_id long, text string, train boolean").coalesce(1)), mixing.STARTS)
+    assert counts[: mixing.STARTS[1]].sum() == (4 * 3 + 1) * 8
+
+
 def test_bit_model_is_a_distribution():
     """Probabilities of all words over two letters up to a length, with the closing space, sum to less than one."""
     rng = np.random.default_rng(0)
