@@ -135,7 +135,7 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     name = F.element_at(F.array(F.lit("search"), F.lit("compute"), F.lit("store")), F.length("text") % 3 + 1)
-    arguments = F.to_json(F.struct(F.substring("text", 1, 40).alias("query"), words.alias("n"), F.when(F.col("turn") >= 2, F.concat(F.lit("$"), at(2))).alias("after")))
+    arguments = F.to_json(F.struct(F.col("text").alias("query"), words.alias("n"), F.when(F.col("turn") >= 2, F.concat(F.lit("$"), at(2))).alias("after")))
     calls = t.where("role = 'user'").select("conv_id", "turn", at(0).alias("call_id"), name.alias("name"), arguments.alias("arguments"))
     return calls, t.where("role <> 'user'").select("conv_id", "turn", at(1).alias("call_id"), F.col("text").alias("content"))
 

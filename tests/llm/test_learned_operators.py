@@ -199,6 +199,16 @@ def test_tool_calls(spark):
     assert tool_calls.link(c.where("false"), r.where("false"), {}).count() == 0
 
 
+def test_conversation_calls_keep_the_whole_text(spark):
+    texts = ["short", 'a "quoted"\n\\ part ' * 5, "\u4e2d\U0001f600 " * 30, "$call_1_0" + "x" * 60, "word " * 60_000]
+    turns = [(k, turn, role, t) for k, t in enumerate(texts) for turn, role in ((0, "user"), (1, "assistant"))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in tool_calls.link(*tool_calls.conversation_calls(df), tool_calls.SCHEMAS).collect()}
+    for k, t in enumerate(texts):
+        call = json.loads(got[k].json)
+        assert (call["arguments"]["query"], call["result"], got[k].status) == (t, t, "linked")
+
+
 def test_warc(spark, small):
     columns, want = sql_rows(small, warc_derivatives.OP2_SQL)
     got = warc_derivatives.op2(spark, small).toPandas()
