@@ -4,6 +4,10 @@ Each response gives two records that refer to its record id: a metadata record (
 the source's HTTP status, headers, digests, title and outlinks, and a conversion record (text/plain) with the
 text of the page. Both keep the source's target URI, date and payload digest. Only DataFrame expressions.
 
+The first Content-Type stands in source-content-type; every other header line of the response, repeated ones too, is
+a source-header line, in order and as it was but for folded lines, which are joined by a space. Where the records
+have a column warc_header (the lines of the source's own WARC header), each is a source-warc-header line.
+
 Rows: a null body is an empty body, a null URI an empty one; equal responses get equal records, each row its
 own; responses without a header end have no body; an empty table gives no records. Other columns are ignored.
 """
@@ -17,6 +21,7 @@ from .common import table
 
 CRLF = "\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+CONTENT_TYPE = r"(?i)^Content-Type[ \t]*:[ \t]*"
 # The entities that are replaced, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -50,20 +55,31 @@ def plain_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
+def header_lines(head: Column) -> Column:
+    """The lines of a header that are not empty, folded ones joined."""
+    return F.filter(F.split(F.regexp_replace(head, r"\r?\n[ \t]+", " "), r"\r?\n"), lambda x: x != "")
+
+
 def derive(records: DataFrame) -> DataFrame:
     """Two rows a response: warc_type, record_id, refers_to, the kept headers, digests, block and the whole record."""
-    r = records.select("source", F.col("record_id").alias("refers_to"), "target_uri", "date", "block")
+    warc_header = F.coalesce("warc_header", F.lit("")) if "warc_header" in records.columns else F.lit("")
+    r = records.select("source", F.col("record_id").alias("refers_to"), "target_uri", "date", "block", warc_header.alias("warc_header"))
     end = F.instr("block", CRLF + CRLF)
     r = r.withColumn("head", F.when(end > 0, F.substring("block", F.lit(1), end - 1)).otherwise(F.col("block"))).withColumn("body", F.when(end > 0, F.substring("block", end + 4, F.length("block"))).otherwise(F.lit("")))
     r = r.withColumn("source_digest", digest(F.col("block"))).withColumn("payload_digest", digest(F.col("body")))
     links = F.regexp_extract_all("body", F.lit('(?i)href="([^"]*)"'), F.lit(1))
     title = F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    lines = header_lines(F.regexp_replace("head", r"^HTTP/[^\r\n]*", ""))
+    kind = F.array_position(F.transform(lines, lambda x: x.rlike(CONTENT_TYPE)), F.lit(True))
+    others = F.filter(lines, lambda x, k: k + 1 != kind)
+    named = lambda name, values: F.array_join(F.transform(values, lambda x: F.concat(F.lit(f"{name}: "), x, F.lit(CRLF))), "")
     fields = F.concat(
         F.lit("source-status: "), F.regexp_extract("head", r"^HTTP/[0-9.]+ ([0-9]+)", 1), F.lit(CRLF),
-        F.lit("source-content-type: "), F.regexp_extract("head", r"(?i)\nContent-Type: ([^\r\n]*)", 1), F.lit(CRLF),
+        F.lit("source-content-type: "), F.regexp_replace(F.coalesce(F.try_element_at(lines, F.nullif(kind, F.lit(0)).cast("int")), F.lit("")), CONTENT_TYPE, ""), F.lit(CRLF),
+        named("source-header", others), named("source-warc-header", header_lines(F.col("warc_header"))),
         F.lit("source-block-digest: "), F.col("source_digest"), F.lit(CRLF),
         F.lit("title: "), F.regexp_replace(title, r"\s+", " "), F.lit(CRLF),
-        F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF))), ""),
+        named("outlink", links),
     )
     two = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("text")),

@@ -219,6 +219,21 @@ def test_warc(spark, small):
     assert all(x.record.startswith("WARC/1.1\r\n") and f"WARC-Refers-To: {x.refers_to}" in x.record for x in d)
 
 
+def test_warc_keeps_the_source_headers(spark):
+    head = ["HTTP/1.1 301 Moved", "Server: x/1", "Set-Cookie: a=1; b", "content-type:text/html", "SET-COOKIE: c=2", "Location: http://u/?a: b", "X-Long: one", "\t two", "Content-Type: text/plain", "X-Empty:"]
+    blocks = ["\r\n".join(head) + "\r\n\r\nServer: not a header", "HTTP/1.0 204 No Content\r\nDate: d", "\r\n\r\nbody", "HTTP/1.1 200 OK\r\n\r\nb"]
+    rows_ = [(k, f"<id{k}>", "u", "d", b, "WARC-IP-Address: 1.2.3.4\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>" if k == 0 else None) for k, b in enumerate(blocks)]
+    df = spark.createDataFrame(rows_, "source long, record_id string, target_uri string, date string, block string, warc_header string")
+    got = {r.source: r.block.split("\r\n") for r in warc_derivatives.derive(df).where("warc_type = 'metadata'").collect()}
+    kept = lambda k, name: [x.split(": ", 1)[1] for x in got[k] if x.startswith(name + ": ")]
+    assert kept(0, "source-status") == ["301"] and kept(0, "source-content-type") == ["text/html"]
+    assert kept(0, "source-header") == ["Server: x/1", "Set-Cookie: a=1; b", "SET-COOKIE: c=2", "Location: http://u/?a: b", "X-Long: one two", "Content-Type: text/plain", "X-Empty:"]
+    assert kept(0, "source-warc-header") == ["WARC-IP-Address: 1.2.3.4", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <b>"]
+    assert kept(1, "source-header") == ["Date: d"] and kept(1, "source-content-type") == [""]
+    assert kept(2, "source-header") == kept(3, "source-header") == []
+    assert len(warc_derivatives.derive(df.drop("warc_header")).collect()) == 8
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
