@@ -138,16 +138,21 @@ class Reader:
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a bounded cache of text units, whose ids do not depend on their neighbours."""
+    """The tokenizers library behind a bounded cache of text units, whose ids do not depend on their neighbours.
 
-    def __init__(self, path: str, units: int = 500_000):
+    literal: the added tokens of the vocabulary are read as plain text; else, as the library does by default, as
+    their ids, and texts that hold one are encoded whole.
+    """
+
+    def __init__(self, path: str, units: int = 500_000, literal: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.tk.encode_special_tokens = True
+        self.tk.encode_special_tokens = literal
+        self.added = [t.content for t in self.tk.get_added_tokens_decoder().values() if t.content and not (literal and t.special)]
         self.cache: dict[str, bytes] = {}
         self.limit = units
 
@@ -166,7 +171,7 @@ class LibraryEncoder:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian bytes."""
         for i in range(0, len(texts), 256):
-            keys = [unit_keys(t or "") for t in texts[i : i + 256]]
+            keys = [None if t and any(a in t for a in self.added) else unit_keys(t or "") for t in texts[i : i + 256]]
             new = set().union(*(k for k in keys if k is not None)).difference(self.cache)
             if len(self.cache) + len(new) > self.limit:
                 self.cache.clear()
@@ -178,19 +183,21 @@ class LibraryEncoder:
                 yield self.whole(t) if k is None else b"".join(map(get, k))
 
 
-_encoders: dict[str, LibraryEncoder] = {}
+_encoders: dict[tuple[str, bool], LibraryEncoder] = {}
 
 
-def encoder(path: str) -> LibraryEncoder:
+def encoder(path: str, literal: bool = False) -> LibraryEncoder:
     """One for each worker process, so that its cache lasts from task to task."""
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    if (path, literal) not in _encoders:
+        _encoders[path, literal] = LibraryEncoder(path, literal=literal)
+    return _encoders[path, literal]
 
 
-def write_ids(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int = 0, bits: bool = False, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS) -> DataFrame:
+def write_ids(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int = 0, bits: bool = False, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS, literal: bool = True) -> DataFrame:
     """Encodes doc_id, text in ascending doc_id order into files below folder; returns the manifest, a row a file.
 
+    literal: whether added tokens in a text are read as plain text; the query does as the library does, and does not.
+
     Ranges of doc_id are dealt to tasks, so no task or the driver holds more than its share. A task writes
     each file under a name of its own try and then moves it to its final name, so that a repeated task
     replaces a file with the same bytes.
@@ -202,7 +209,7 @@ def write_ids(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int = 0,
 
         ctx = TaskContext.get()
         shard, tag = ctx.partitionId(), ctx.taskAttemptId()
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, literal)
         fs, root = open_fs(folder)
         end = np.array([end_id], "<u4").tobytes()
         rows, part, w = [], 0, Writer(block_ids, bits)
@@ -258,5 +265,5 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     folder = scratch(spark, "op7")
-    manifest = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    manifest = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, literal=False)
     return read_ids(spark, folder, manifest)

@@ -78,6 +78,21 @@ def test_op7_against_the_library(spark, docs):
     assert bitplanes.read_ids(spark, folder, bitplanes.write_ids(empty(spark), P.path("byte_bpe_50k.json"), folder)).count() == 0
 
 
+def test_op7_reads_added_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a b", "x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b\n\n c", "<|endoftext|", None, "y x <|endoftext |> <| endoftext|>"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in bitplanes.op7(spark, str(tmp_path)).collect())
+    want, at = [], 0
+    for d, t in enumerate(texts):
+        ids = [*tk.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want and want[2][2] == 2
+
+
 def test_units_join_to_the_text():
     for t in ODD:
         keys = unit_keys(t or "")
