@@ -9,7 +9,7 @@ block is one more pass over the same rows, without shuffle or join, so nothing t
 
 Words are compared by 64-bit hashes. Rows: null and empty texts have no words and are clean; repeated rows
 are judged each for itself; test texts that are null or empty match nothing; test rows with the same
-item_id are one item; with an empty test set all documents are clean. Other columns of the documents are
+item_id are one item, those with a null one too, which has no name among the items; with an empty test set all documents are clean. Other columns of the documents are
 kept as they are; columns named like a result column are replaced in it.
 """
 
@@ -32,14 +32,14 @@ NAMES = ["n_words", "hit_spans", "items", "longest", "longest_item", "longest_at
 class TestSet:
     """Words of test texts as small ids, and their windows."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.window = window
-        self.names = [str(i) for i, _ in items]
+        self.names = [None if i is None else str(i) for i, _ in items]
         words = Words(pa.array([t or "" for _, t in items], pa.string()), ALNUM)
         self.vocabulary, ids = np.unique(words.hash, return_inverse=True)
         self.ids = np.concatenate([ids.astype(np.int64) + 1, np.zeros(window + 64, np.int64)])
         self.bits = max(1, int(len(self.vocabulary) + 1).bit_length())
-        self.per = max(1, 63 // self.bits)
+        self.per = max(1, 62 // self.bits)  # one more than the last key must not overflow
         self.n_keys = -(-window // self.per)
         # The suffixes that begin a window, the item of each and the window's length.
         size = np.minimum(words.count, window)
@@ -163,9 +163,9 @@ def _merge(old: dict, row: list) -> None:
         row[3:] = [old["longest"], old["longest_item"], old["longest_at"]]
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
     block, held = [], 0
-    for i, text in items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null").toLocalIterator():
+    for i, text in items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         block.append((i, text or ""))
         held += len(text or "") // 2 + 1
         if held >= block_words:

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -189,6 +190,26 @@ def test_op5_against_brute_force(spark, docs):
     assert decontaminate.find(empty(spark), items).count() == 0
 
 
+@pytest.mark.parametrize("size", [*range(60, 132), *range(250, 515, 3)])
+def test_op5_finds_short_items_for_all_vocabulary_sizes(size):
+    """Items of 1 to 10 words, in blocks of so many distinct words; keys of 63 bits would overflow."""
+    names = [f"w{k}" for k in range(size)]
+    short = [" ".join(names[-n - k] for k in range(n)) for n in range(1, 11)]
+    test = decontaminate.TestSet([*enumerate(short), (99, " ".join(names))], 10)
+    texts = [f"other {t} other" for t in short]
+    words = decontaminate.Words(pa.array(texts), decontaminate.ALNUM)
+    for n, row in enumerate(decontaminate.judge(test, words), 1):
+        assert str(n - 1) in row[2] and row[1] == [1, n + 1] and row[3] == n
+
+
+def test_op5_keeps_items_without_an_id(spark):
+    items = spark.createDataFrame([(None, "one two three"), (None, "four five"), (1, "six")], "item_id long, text string")
+    d = spark.createDataFrame([(0, "a one two three b four five"), (1, "six one two three"), (2, "seven")], "doc_id long, text string")
+    got = {r.doc_id: (r.hit_spans, set(r["items"])) for r in decontaminate.find(d, items).collect()}
+    assert got == {0: ([1, 4, 5, 7], {None}), 1: ([0, 4], {"1", None}), 2: ([], set())}
+    assert [r.doc_id for r in decontaminate.remove(d, items).collect()] == [2]
+
+
 def components(rows, n, percent):
     sets = []
     for _, t in rows:
