@@ -6,6 +6,10 @@ finds the entries within the allowed distance. Each hit is judged in a window of
 together count more, and hits inside quotation marks are kept apart, so that quotation differs from abuse.
 A logistic regression over these few numbers gives the score.
 
+Double quotation marks, typographic ones too, are paired within a paragraph (up to a blank line): a mark opens where
+no letter or digit stands before it and no space after it, and closes the other way round. A mark without its
+partner quotes nothing. Single marks are not told from apostrophes and do not count.
+
 Only documents with crc32(doc_id as text) mod 3 other than 1 teach. At most SAMPLE_ROWS labelled documents
 are used for the fit, chosen by a hash of doc_id; that is its documented bound.
 
@@ -15,19 +19,25 @@ scores; without labels, or without toxic ones, every score is the prior (0 with
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_mod, table
-from .wordhash import ALNUM, Words, pieces
+from .wordhash import ALNUM, NON_SPACE, Words, pieces, text_buffer
 
 SAMPLE_ROWS = 20_000
 WINDOW = 8
+BLANK_LINE = re.compile(rb"\n[ \t\r]*\n")
+# Typographic marks and what they are read as: guillemets with a space inside them, marks that only open or close, others.
+MARKS = (("(^|[\\s(])\u00ab ", '\\1"'), (" \u00bb([\\s,.;:!?)]|$)", '"\\1'), ("[\u300c\u300e]", ' "'), ("[\u300d\u300f]", '" '), ("[\u201c\u201d\u201e\u201f\u00ab\u00bb]", '"'))
 N_FEATURES = 7
+BLANK = ~NON_SPACE
 
 
 class LevenshteinAutomaton:
@@ -154,14 +164,50 @@ def hits(lexicon: Lexicon, words: Words) -> np.ndarray:
     for k, h in enumerate(unique.tolist()):
         got = cache.get(h)
         if got is None:
-            found = lexicon.match(data[start[k] : end[k]].decode("utf-8", "replace")) if end[k] - start[k] <= 64 else None
+            found = lexicon.match(data[start[k] : end[k]].decode("utf-8", "replace"))
             got = cache[h] = 0 if found is None else 1 + 2 * found[0] + found[1]
         kinds[k] = got
     return kinds[back] if len(back) else np.zeros(0, np.int8)
 
 
+def quotations(text: bytes) -> list[tuple[int, int]]:
+    """Places of the marks of each quotation."""
+    out, opened, line = [], None, 0
+    breaks = [m.start() for m in BLANK_LINE.finditer(text)] if b'"' in text else []
+    at = text.find(b'"')
+    while at >= 0:
+        while line < len(breaks) and breaks[line] < at:
+            opened, line = None, line + 1
+        before, after = text[at - 1] if at else 32, text[at + 1] if at + 1 < len(text) else 32
+        if opened is not None and not BLANK[before] and not ALNUM[after]:
+            out.append((opened, at))
+            opened = None
+        elif not ALNUM[before] and not BLANK[after]:
+            opened = at
+        at = text.find(b'"', at + 1)
+    return out
+
+
+def _quoted(words: Words, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each of some words, in order, is inside a quotation of its text."""
+    quoted = np.zeros(len(at), bool)
+    doc = words.doc[at]
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(doc) != 0, [True]])).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        begin, end = offsets[doc[a]], offsets[doc[a] + 1]
+        found = quotations(words.data[begin:end].tobytes())
+        if found:
+            opens, closes = np.array(found).T
+            place = words.start[at[a:b]] - begin
+            k = np.searchsorted(opens, place) - 1
+            quoted[a:b] = (k >= 0) & (place < closes[k.clip(0)])
+    return quoted
+
+
 def numbers(lexicon: Lexicon, column: pa.Array) -> np.ndarray:
     """The numbers that the score is made of, a row a text."""
+    for pattern, mark in MARKS:
+        column = pc.replace_substring_regex(column, pattern, mark)
     words = Words(column, ALNUM)
     kind = hits(lexicon, words)
     rows = len(words.count)
@@ -170,12 +216,7 @@ def numbers(lexicon: Lexicon, column: pa.Array) -> np.ndarray:
     if not len(at):
         return x
     doc = words.doc[at]
-    # Inside quotation marks: an odd number of them lies between the text's start and the hit.
-    marks = np.cumsum(words.data == 34)
-    before = np.where(words.start[at] > 0, marks[words.start[at] - 1], 0)
-    text_start = words.start[words.first[:-1].clip(max=len(words.start) - 1)][doc]
-    begin = np.where(text_start > 0, marks[text_start - 1], 0)
-    quoted = (before - begin) % 2 == 1
+    quoted = _quoted(words, text_buffer(column)[1], at)
     plain = ~quoted
     # Hits within the window of each hit, itself included.
     spread = words.doc[at] * (1 << 40) + (at - words.first[doc])
@@ -198,7 +239,10 @@ def _lower(docs: DataFrame) -> DataFrame:
 def learn_lexicon(texts: DataFrame, n_toxic: int, purity: float = 0.9) -> Lexicon:
     """texts: doc_id, text (lower case), toxic. Entries that at least a few toxic documents and hardly others have."""
     least = max(4, n_toxic // 60)
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
+    text = F.col("text")
+    for pattern, mark in MARKS:
+        text = F.regexp_replace(text, pattern, mark.replace("\\1", "$1"))
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
     seen = texts.select("toxic", F.explode(words).alias("w")).where("length(w) between 3 and 40").groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     seen = seen.cache()
     whole = seen.where((F.col("t") >= least) & (F.col("t") >= purity * F.col("n"))).orderBy(F.desc("t"), "w").limit(5000).collect()

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +25,25 @@ def odd(spark):
     return spark.createDataFrame([(i, t, 1, "s") for i, t in enumerate(TEXTS)] + [(3, "a", 1, "s"), (None, "b c", 1, "s")], "doc_id long, text string, n_words int, lines string")
 
 
+def quoted_hits(*texts):
+    """(plain hits, quoted hits) of each text."""
+    x = np.expm1(toxicity.numbers(toxicity.Lexicon(["blockhead"], ["nitwi", "\u0436" * 5]), pa.array(texts, pa.string())))
+    return [(round(a), round(b)) for a, b in zip(x[:, :4].sum(1), x[:, 4], strict=True)]
+
+
+def test_toxicity_quotations():
+    bad = "you blockhead"
+    plain = [f'a 5" pipe {bad}', f'a 5" pipe {bad} "well"', f'"never closed {bad}', f'"never closed. {bad} "well" he said', f'"one\n\n{bad}" two', f'"a" {bad} "b"', f"\u201cnever closed {bad}", f"\u00bba\u00ab {bad} \u00bbb\u00ab", f"don\u2019t {bad}"]
+    assert quoted_hits(*plain) == [(1, 0)] * len(plain)
+    quoted = [f'he said "{bad}" so', f'a 5" pipe, "{bad}"', f"\u201c{bad}\u201d", f"\u201e{bad}\u201c", f"\u00ab {bad} \u00bb, so", f"\u00bb{bad}\u00ab", f"\u4ed6\u300c{bad}\u300d\u4ed6", f'"one\n{bad}."', '"blockhead"', "\u201cblockhead\u201d"]
+    assert quoted_hits(*quoted) == [(0, 1)] * len(quoted)
+    assert quoted_hits(None, "", '"', bad + ' "' + bad + '"') == [(0, 0)] * 3 + [(1, 1)]
+
+
+def test_toxicity_matches_long_words():
+    assert quoted_hits("nitwit" + "x" * 100, "\u0436" * 40, "x" * 100) == [(1, 0), (1, 0), (0, 0)]
+
+
 def test_statistics(odd):
     got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in decision_list.base_statistics(odd).collect())
     want = collections.Counter()
