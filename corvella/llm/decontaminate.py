@@ -5,7 +5,8 @@ suffix by binary search. Suffixes that begin with a word that no test text has c
 left out of the array. Matches along a diagonal join to the longest verbatim match, with its place.
 
 The test set is a stated query set. It is sent to the tasks in blocks of at most block_words words, and each
-block is one more pass over the same rows, without shuffle or join, so nothing that grows is broadcast.
+block is one more pass over the same rows, without shuffle or join, written before the next block is read into a set,
+so nothing that grows is broadcast or held by the driver.
 
 Words are compared by 64-bit hashes. Rows: null and empty texts have no words and are clean; repeated rows
 are judged each for itself; test texts that are null or empty match nothing; test rows with the same
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .wordhash import ALNUM, Words, pieces
 
 RESULT = "n_words long, hit_spans array<int>, items array<string>, longest long, longest_item string, longest_at long"
@@ -179,10 +180,12 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int =
     """The documents with the columns of RESULT: words in hit spans, items, and the longest match with its place."""
     docs = docs.drop(*NAMES)
     keep = docs.schema
-    out, first = docs, True
-    for block in list(_blocks(items, block_words)) or [[]]:
-        out, first = _pass(out, TestSet(block, window), keep, first), False
-    return out
+    out, first, held = docs, True, []
+    for block in _blocks(items, block_words):
+        if held:  # written before the next is built, so that a task holds one block
+            out, first = stored(_pass(out, TestSet(held, window), keep, first), "decontaminate"), False
+        held = block
+    return _pass(out, TestSet(held, window), keep, first)
 
 
 def _pass(docs: DataFrame, test: TestSet, keep, first: bool) -> DataFrame:

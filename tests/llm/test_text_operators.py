@@ -210,6 +210,16 @@ def test_op5_keeps_items_without_an_id(spark):
     assert [r.doc_id for r in decontaminate.remove(d, items).collect()] == [2]
 
 
+def test_op5_takes_one_block_at_a_time(spark, monkeypatch):
+    log, blocks, kind = [], decontaminate._blocks, decontaminate.TestSet
+    monkeypatch.setattr(decontaminate, "_blocks", lambda *a: (log.append("read") or b for b in blocks(*a)))
+    monkeypatch.setattr(decontaminate, "TestSet", lambda *a: log.append("set") or kind(*a))
+    items = spark.createDataFrame([(k, f"one two {k}") for k in range(3)], "item_id long, text string")
+    d = spark.createDataFrame([(0, "one two 0 one two 2"), (1, "x")], "doc_id long, text string")
+    assert {r.doc_id: r.hit_spans for r in decontaminate.find(d, items, 10, 1).collect()} == {0: [0, 6], 1: []}
+    assert log == ["read", "read", "set", "read", "set", "set"]
+
+
 def components(rows, n, percent):
     sets = []
     for _, t in rows:
