@@ -1,54 +1,36 @@
 """Jaccard self-join on word n-grams by vertical partitioning.
 
-The global order of n-grams is that of their hashes. It is cut into fragments, and a document's set into its
-parts in them. A pair of sets of sizes n and m that reaches the threshold differs in at most k n-grams, so
-with more than k fragments at least one part is equal in both: documents that share an equal part (at a
-level that stands for their sizes) are candidates, and none is missed. The overlaps of a candidate's parts
-are then counted fragment by fragment, each by itself, and summed per pair.
-
-Equal sets are one class from the start. Links are found in two steps: first each member of groups of
-candidates against one leader that it shares most parts with; then, among the members of groups that still fall into several
-components, the pairs from different components, found by the prefixes of a second order, by frequency. So
-every link between different components is tested, and pairs within a known component are not spelled out.
-
-Sets are compared by 52-bit hashes of n-grams, classes by 64-bit sums of them with the size.
+The global order of n-grams is by how often they occur, rarest first (levels of a table of counts over all
+documents, ties by hash). The order is cut into fragments. The first fragment of a set is its prefix: two sets
+that reach the threshold share an n-gram of both prefixes, so that pairs are found there. The overlap of a pair is
+counted fragment by fragment, each by itself: in the prefixes first, which drops pairs that the rest cannot
+make up for, then in the others, and summed per pair.
+
+Equal sets are one class from the start. An n-gram that one class alone has in its prefix joins nothing and is
+left out. Links are found in two steps: each class against the one leader it shares most of its prefix with; then
+all pairs that share an n-gram and are not yet in one component. So every link between different components is
+tested, and the pairs within a group of copies are not spelled out.
+
+Sets are compared by 52-bit hashes of n-grams, classes by 64-bit sums of them with the size, texts by 64-bit hashes.
 Rows: null or empty texts, or texts without words, have no n-grams and stay alone. Every row gives a row, also
-where a doc_id comes twice, with one text or with two. A null doc_id is never a component's id, but its row
-gets that of its text. Equal texts are always in one component. Other columns are ignored, whatever their names.
+where a doc_id comes twice, with one text or with two. A null doc_id is never a component's id, but its text
+links like any other and its row gets the component's id. Equal texts are always in one component. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 from .components import components
 from .wordhash import NON_SPACE, Words, mix, pieces
 
-BITS, RANGES, PARTS = np.uint64(52), 128, 4
-BROADCAST_ROWS = 1_000_000  # of 24 bytes
-
-
-class Levels:
-    """Size classes of sets, and for each the number of fragments that cannot all differ in a linked pair."""
-
-    def __init__(self, percent: int):
-        j = self.j = Fraction(percent, 100)
-        self.bounds = [1]  # class c: sizes bounds[c] .. bounds[c + 1] - 1; partners are in the same or the next class
-        while self.bounds[-1] < 1 << 40:
-            self.bounds.append(int(self.bounds[-1] / j) + 1)
-        most = [b - 1 for b in self.bounds]
-        # level c serves pairs whose larger set is of class c: they differ in k = n + m - 2 o, o >= j / (1 + j) * (n + m)
-        self.differ = [int((1 - j) / (1 + j) * 2 * m) for m in [*most[1:], most[-1]]]
-        self.cut = [1 if k == 0 else k + 1 + max(2, (k + 1) // 4) for k in self.differ]
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.array(self.bounds), sizes, "right") - 1
+BITS = np.uint64(52)
+SLOT_BITS, CHUNKS, PARTS = 22, 64, 4
 
 
 class Shingles:
@@ -80,250 +62,193 @@ class Shingles:
         np.cumsum(mix(self.hash + np.uint64(0x51ED27)), out=total[1:])
         return mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64)).view(np.int64)
 
-    def counts(self) -> np.ndarray:
-        """How many hashes each row has in each of RANGES equal ranges, 255 at most."""
-        out = np.bincount(self.doc * RANGES + (self.hash >> np.uint64(45)).astype(np.int64), minlength=len(self.size) * RANGES)
-        return np.minimum(out, 255).astype(np.uint8).reshape(-1, RANGES)
-
-    def signatures(self, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, row) of the parts of all sets, at their own level and the next.
-
-        Parts of fewer than two n-grams are left out unless so many are small that the large ones might all
-        differ; then all are emitted. For a pair in which one set leaves them out, that set's large parts
-        alone outnumber the differences, so an equal one is among them, and the other set emits those too.
-        """
-        out, rows = [], []
-        own = levels.of(self.size)
-        cut, differ = np.array(levels.cut), np.array(levels.differ)
-        for up in (0, 1):
-            level = np.where(self.size > 0, own + up, 0)
-            n = cut[level]
-            part = ((self.hash >> np.uint64(20)) * n[self.doc].astype(np.uint64)) >> np.uint64(32)
-            if not len(part):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(self.doc) != 0) | (np.diff(part.view(np.int64)) != 0)]))
-            size = np.diff(np.concatenate([new, [len(part)]]))
-            doc = self.doc[new]
-            content = np.add.reduceat(mix(self.hash ^ np.uint64(0xA5A5A5A5A5)), new)
-            large = np.bincount(doc[size >= 2], minlength=len(self.size))
-            spare = large <= differ[level]  # too few large parts: all count, empty ones as well
-            keep = (size >= 2) | spare[doc]
-            head = mix(level[doc].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part[new])
-            out.append(mix(content + head * np.uint64(3))[keep])
-            rows.append(doc[keep])
-            for d in np.flatnonzero(spare & (self.size > 0) & (n > 1)):
-                got = part[self.first[d] : self.first[d + 1]]
-                empty = np.setdiff1d(np.arange(n[d], dtype=np.uint64), got)
-                head = np.full(len(empty), level[d], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + empty
-                out.append(mix(mix(head) * np.uint64(3)))
-                rows.append(np.full(len(empty), d))
-        return (np.concatenate(out), np.concatenate(rows)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    def slots(self) -> np.ndarray:
+        return (self.hash >> np.uint64(52 - SLOT_BITS)).astype(np.int64)
 
 
 def _shards(batches, column: int):
-    for batch in pieces(batches, column):
+    for batch in pieces(batches, column, 1 << 20):
         for i in range(0, batch.num_rows, 4096):
             yield batch.slice(i, 4096)
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, key (class), counts."""
+    """doc_id, text_hash, n_shingles, key (class)."""
 
     def run(batches):
-        for b in _shards(batches, 1):
-            s = Shingles(b.column(1), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.size.astype(np.int64)), pa.array(s.keys()), pa.array(list(s.counts().astype(np.int16)), pa.list_(pa.int16()))], names=["doc_id", "n_shingles", "key", "counts"])
+        for b in _shards(batches, 2):
+            s = Shingles(b.column(2), n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.size.astype(np.int64)), pa.array(s.keys())], names=["doc_id", "text_hash", "n_shingles", "key"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, counts array<short>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key long")
 
 
-def _candidates(docs: DataFrame, n: int, levels: Levels, buckets: int) -> DataFrame:
-    """(signature, key, leader) of all groups of two or more classes that share a part; leader: the smallest key.
+def gram_levels(docs: DataFrame, n: int) -> np.ndarray:
+    """How often n-grams occur in all documents, by slot of their hash: eight steps for each doubling, a byte a slot.
 
-    A task sends each class once, and its signatures packed with the place of the class in a list, by bucket.
+    A table of fixed size; n-grams that share a slot are ordered by the sum. Any such order finds the same pairs.
     """
+    import zstandard
+
+    def count(batches):
+        total = np.zeros(1 << SLOT_BITS, np.uint32)
+        for b in _shards(batches, 0):
+            slots, times = np.unique(Shingles(b.column(0), n).slots(), return_counts=True)
+            total[slots] += times.astype(np.uint32)
+        press = zstandard.ZstdCompressor(level=1)
+        for k, part in enumerate(total.reshape(CHUNKS, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([press.compress(part.tobytes())], pa.binary())], names=["chunk", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        press = zstandard.ZstdDecompressor()
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(press.decompress(c), np.uint32).astype(np.uint64)
+        for k, part in sums.items():
+            level = np.minimum(8 * np.log2(1 + part.astype(float)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "counts"])
 
-    def send(batches):
-        seen: set[int] = set()
-        shift = np.uint64(64 - (buckets - 1).bit_length())
-        sigs, owners, keys, held = [], [], [], 0
+    kind = "chunk int, counts binary"
+    out = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.uint8)
+    for k, level in docs.select("text").mapInArrow(count, kind).repartition(CHUNKS, "chunk").mapInArrow(add, kind).collect():
+        out[k] = np.frombuffer(level, np.uint8)
+    return out.reshape(-1)
 
-        def flush():
-            sig, owner, key = np.concatenate(sigs), np.concatenate(owners), np.concatenate(keys)
-            order = np.argsort(sig)
-            sig, owner = sig[order], owner[order]
-            ends = np.searchsorted(sig >> shift, np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(b, sig[x:y].tobytes(), *(z.tobytes() for z in (lambda u: (key[u[0]], u[1].astype(np.uint16)))(np.unique(owner[x:y], return_inverse=True)))) for b, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if y > x]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "sigs", "keys", "owners"])
 
-        for b in _shards(batches, 1):
-            s = Shingles(b.column(1), n)
-            key = s.keys()
-            fresh = np.zeros(len(key), bool)
-            fresh[np.unique(key, return_index=True)[1]] = True
-            fresh &= np.array([k not in seen for k in key.tolist()], bool)
-            if len(seen) < 1_000_000:
-                seen.update(key.tolist())
-            sig, row = s.signatures(levels)
-            use = fresh[row]
-            if held + len(key) > 60_000:
-                yield from flush()
-                sigs, owners, keys, held = [], [], [], 0
-            sigs.append(sig[use])
-            owners.append(row[use] + held)
-            keys.append(key)
-            held += len(key)
-        if held:
-            yield from flush()
-
-    def group(batches):
-        sigs, keys = [], []
-        for b in batches:
-            for _, sig, key, owner in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                sigs.append(np.frombuffer(sig, np.uint64))
-                keys.append(np.frombuffer(key, np.int64)[np.frombuffer(owner, np.uint16)])
-        if not sigs:
-            return
-        sig, key = np.concatenate(sigs), np.concatenate(keys)
-        order = np.argsort(sig)
-        sig, key = sig[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        low, high = np.minimum.reduceat(key, first), np.maximum.reduceat(key, first)
-        group_of = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(sig)]])))
-        keep = (low != high)[group_of]
-        sig, key, low = sig[keep].view(np.int64), key[keep], low[group_of][keep]
-        for i in range(0, len(sig), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (sig, key, low)], names=["sig", "key", "leader"])
-
-    sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, sigs binary, keys binary, owners binary")
-    return sent.repartition("bucket").mapInArrow(group, "sig long, key long, leader long")
-
-
-def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose sizes, or counts by range, leave no room for the overlap; adds na, nb, da, db (a document of each)."""
+def pivots(levels: np.ndarray) -> np.ndarray:
+    """The levels at which the order is cut into PARTS fragments of about equal numbers of occurrences."""
+    weight = np.bincount(levels, np.exp2(levels / 8.0) - 1, minlength=256)
+    return np.searchsorted(np.cumsum(weight), weight.sum() * np.arange(1, PARTS) / PARTS, "right").astype(np.uint8)
+
+
+def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """The prefixes of all classes: key, n, pos, h; a class once for each shard of documents."""
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            na, nb = b.column(2).to_numpy(), b.column(5).to_numpy()
-            ca, cb = (b.column(k).flatten().to_numpy().reshape(-1, RANGES) for k in (4, 7))
-            full = (ca == 255) | (cb == 255)
-            room = np.where(full.any(1), np.minimum(na, nb), np.minimum(ca, cb).sum(1, dtype=np.int64))
-            ok = (100 + percent) * np.minimum(room, np.minimum(na, nb)) >= percent * (na + nb)
-            yield b.select([0, 1, 2, 3, 5, 6]).filter(pa.array(ok))
+        for b in _shards(batches, 0):
+            s = Shingles(b.column(0), n)
+            key = s.keys()
+            once = np.zeros(len(key), bool)
+            once[np.unique(key, return_index=True)[1]] = True
+            order = np.argsort((s.doc << 8) | levels[s.slots()], kind="stable")  # by document, level, hash
+            doc = s.doc[order]
+            pos = np.arange(len(doc)) - s.first[doc]
+            keep = (100 * pos <= (100 - percent) * s.size[doc]) & once[doc]
+            doc = doc[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(key[doc]), pa.array(s.size[doc].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(s.hash[order][keep].view(np.int64))], names=["key", "n", "pos", "h"])
 
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("doc").alias(f"d{c}"), F.col("counts").alias(f"c{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "da", "ca", "nb", "db", "cb")
-    return both.mapInArrow(run, "a long, b long, na long, da long, nb long, db long")
+    return docs.select("text").mapInArrow(run, "key long, n int, pos int, h long")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs that reach the threshold: partial overlaps by fragment, summed per pair."""
+def _room(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Whether the prefixes' overlap and all of what comes after the prefixes reach the threshold."""
+    rest = lambda n: n - F.floor((100 - percent) * n / 100).cast("int") - 1
+    most = F.least(overlap + F.greatest(rest(na), rest(nb)), na, nb)
+    return (100 + percent) * most >= percent * (na + nb)
+
+
+def _plausible(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
+    """The first fragment: pairs (a, b) whose prefixes share enough; prefix: key, n, hs."""
+    side = lambda c: prefix.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("hs").alias(f"h{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(_room(F.size(F.array_intersect("ha", "hb")), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
-    def run(batches):
-        width = np.uint64((1 << 52) // PARTS)
-        for b in _shards(batches, 3):
-            s = Shingles(b.column(3), n)
-            a, c, side = (b.column(k).to_pylist() for k in range(3))
-            own = s.keys().tolist()
-            rows = []
-            for i in range(b.num_rows):
-                if own[i] != (c[i] if side[i] else a[i]):
-                    continue  # another text with the same doc_id
-                h = s.hash[s.first[i] : s.first[i + 1]]
-                cuts = [0, *np.searchsorted(h, np.arange(1, PARTS, dtype=np.uint64) * width).tolist(), len(h)]
-                rows += [(a[i], c[i], p, *((h[x:y].view(np.int64), None)[:: 1 if side[i] == 0 else -1])) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["a", "b", "part", "ha", "hb"])
-
-    wanted = pairs.select("a", "b", F.lit(0).alias("side"), F.col("da").alias("doc_id")).union(pairs.select("a", "b", F.lit(1), "db"))
-    if pairs.count() * 2 <= BROADCAST_ROWS:  # else both sides are shuffled
-        wanted = F.broadcast(wanted)
-    parts = docs.join(wanted, "doc_id").select("a", "b", "side", "text").mapInArrow(run, "a long, b long, part int, ha array<long>, hb array<long>")
-    overlap = parts.groupBy("a", "b", "part").agg(F.first("ha", True).alias("ha"), F.first("hb", True).alias("hb")).select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("o"))
-    summed = overlap.groupBy("a", "b").agg(F.sum("o").alias("o"))
-    return summed.join(pairs, ["a", "b"]).where((100 + percent) * F.col("o") >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "o")
-
-
-def _prefixes(docs: DataFrame, left: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """The prefixes of the sets of left (key, label, doc_id) as rows key, label, n, h, pos, counts.
-
-    Here the n-grams are ordered by how many of these sets have them: what a large group of edited copies
-    shares comes last, and a set that differs too much from all others has only its own n-grams in its prefix.
-    A linked pair shares an n-gram of both prefixes, and at the first such one enough of either set remains.
-    """
+
+def _fragments(docs: DataFrame, rows: DataFrame, keys: DataFrame, n: int, levels: np.ndarray) -> DataFrame:
+    """key, n, part, h (array) of some classes, from the text of one document of each."""
+    cuts = pivots(levels)
 
     def run(batches):
-        for b in _shards(batches, 2):
-            s = Shingles(b.column(2), n)
-            key, label = (b.column(k).to_numpy()[s.doc] for k in (0, 1))
-            own = s.keys()[s.doc] == key  # else another text with the same doc_id
-            cols = [x[own] for x in (key, label, s.size[s.doc], s.hash.view(np.int64))]
-            for i in range(0, len(cols[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in cols], names=["key", "label", "n", "h"])
-
-    wanted = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
-    grams = docs.join(wanted, "doc_id").select("key", "label", "text").distinct().mapInArrow(run, "key long, label long, n long, h long")
-    often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    # An n-gram that one set alone has joins nothing: it only moves the others back.
-    ranked = grams.join(often, "h", "left").withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(1)), "h")))
-    prefix = ranked.where((100 * (F.col("pos") - 1) <= (100 - percent) * F.col("n")) & F.col("df").isNotNull()).select("key", "label", "n", "h", "pos")
-    return stored(prefix.join(sets.select("key", "counts"), "key"), "prefixes")
-
-
-def _room(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) from different components of two tables of prefixes whose overlap may reach the threshold."""
-    x, y = (t.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "label", "n", "pos", "counts")]) for t, side in ((x, "a"), (y, "b")))
-    need = percent * (F.col("n_a") + F.col("n_b"))
-    remain = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    # What the counts by range leave room for; a range of 255 or more says nothing.
-    room = F.aggregate(F.zip_with("counts_a", "counts_b", lambda u, v: F.when((u >= 255) | (v >= 255), F.lit(1 << 30)).otherwise(F.least(u, v).cast("int"))), F.lit(0).cast("long"), lambda s, v: s + v)
-    enough = F.when((100 + percent) * remain < need, False).otherwise((100 + percent) * room >= need)
-    pairs = x.join(y, "h").where(F.when((F.col("label_a") == F.col("label_b")) | (F.col("key_a") >= F.col("key_b")), False).otherwise(enough))
-    return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
-
-
-def classes(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents with n_shingles and key, links between keys with their overlap)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    levels = Levels(percent)
-    buckets = buckets or 1 << max(10, (int(spark.conf.get("spark.sql.shuffle.partitions")) * 4 - 1).bit_length())
+        for b in _shards(batches, 1):
+            s, wanted = Shingles(b.column(1), n), b.column(0).to_numpy()
+            own = np.flatnonzero(wanted == s.keys())  # else another text with the same hash
+            once = np.zeros(len(wanted), bool)
+            once[own[np.unique(wanted[own], return_index=True)[1]]] = True
+            part = np.searchsorted(cuts, levels[s.slots()], "right")
+            order = np.argsort(s.doc * PARTS + part, kind="stable")
+            cell = (s.doc * PARTS + part)[order]
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+            doc = cell[first] // PARTS
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(cell)]]).astype(np.int32)), pa.array(s.hash[order].view(np.int64)))
+            out = pa.RecordBatch.from_arrays([pa.array(wanted[doc]), pa.array(s.size[doc].astype(np.int32)), pa.array((cell[first] % PARTS).astype(np.int32)), lists], names=["key", "n", "part", "h"])
+            yield out.filter(pa.array(once[doc]))
+
+    one = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
+    one = one.select(F.col("key"), F.col("s.doc_id").alias("id"), F.col("s.text_hash").alias("hash"))
+    texts = docs.join(stored(one, "texts"), (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text")
+    return texts.mapInArrow(run, "key long, n int, part int, h array<long>")
+
+
+def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """The pairs (a, b) that reach the threshold: partial overlaps by fragment, summed per pair."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    parts = stored(_fragments(docs, rows, keys, n, levels), "fragments")
+    side = lambda c: parts.select(F.col("key").alias(c), "part", F.col("n").alias(f"n{c}"), F.col("h").alias(f"h{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), ["a", "part"])
+    partial = both.select("a", "b", "part", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("o"))
+    # A fragment that came twice, from equal rows, counts once.
+    partial = partial.groupBy("a", "b", "part").agg(F.max("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    summed = partial.groupBy("a", "b").agg(F.sum("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    links = stored(summed.where((100 + percent) * F.col("o") >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "overlaps")
+    discard(parts)
+    return links
+
+
+def _across(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components with a common n-gram after which enough of both sets is left.
+
+    In each n-gram's group the rows of the largest component are met by the others only, not by each other.
+    """
+    own = shared.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    own = stored(own, "members")
+    per = own.groupBy("h", "label").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("major"), F.count("*").alias("labels"))
+    per = stored(per.where("labels > 1").select("h", "major"), "open")
+    rows = own.join(per, "h")
+    x = rows.where("label <> major").select("h", F.col("key").alias("kx"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    y = rows.select("h", F.col("key").alias("ky"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("pos").alias("py"), "major")
+    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    enough = (100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))
+    meet = (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("major")) | (F.col("kx") < F.col("ky"))) & enough
+    pairs = x.join(y, "h").where(meet).select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"))
+    return pairs.distinct()
+
+
+def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles, key of each row; links between keys)."""
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     rows = stored(_sets(docs, n), "sets")
-    groups = stored(_candidates(docs, n, levels, buckets), "groups")
-    known = rows.where("doc_id is not null and n_shingles > 0")
-    sets = known.join(groups.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"))
-    sets = stored(sets, "reps")
-    # Each set against one leader, the one with which it shares the most parts.
-    shared = groups.where("key <> leader").groupBy("key", "leader").agg(F.count("*").alias("parts"))
-    star = shared.groupBy("key").agg(F.max_by("leader", F.struct("parts", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("key").alias("b"))
-    first = stored(_plausible(star, sets, percent), "pairs")
-    links = stored(_linked(docs, first, n, percent), "overlaps")
-    labels = components(links)
-    # Groups that still fall into several components: their members are compared again, across components only.
-    own = stored(groups.select("sig", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("sig", "key", F.coalesce("label", "key").alias("label")), "members")
-    open_ = own.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    left = stored(own.join(open_, "sig", "left_semi").select("key", "label").distinct().join(sets.select("key", F.col("doc").alias("doc_id")), "key"), "open")
-    prefix = _prefixes(docs, left, sets, n, percent)
-    # First each set against the one that has the n-gram earliest in its prefix: the one with the fewest n-grams of its own.
-    leaders = prefix.groupBy("h").agg(F.min(F.struct("pos", "key", "label", "n", "counts")).alias("s")).select("h", "s.*")
-    some = _room(leaders, prefix, percent).union(_room(prefix, leaders, percent)).distinct()
-    links = stored(links.union(_linked(docs, stored(_plausible(some, sets, percent), "pairs"), n, percent)), "overlaps")
-    labels = components(links)
-    prefix = stored(prefix.drop("label").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key")), "prefixes")
-    second = stored(_plausible(_room(prefix, prefix, percent), sets, percent), "pairs")
-    links = links.union(stored(_linked(docs, second, n, percent), "overlaps"))
-    return rows, links
+    levels = gram_levels(docs, n)
+    prefix = stored(_prefixes(docs, n, percent, levels), "prefixes")
+    common = prefix.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("h")
+    shared = stored(prefix.join(stored(common, "common"), "h").distinct(), "shared")
+    discard(prefix)
+    first = stored(shared.groupBy("key").agg(F.max("n").alias("n"), F.collect_list("h").alias("hs")), "first-fragments")
+    # Each class against one leader: of the classes that have an n-gram earliest, the one that it shares most with.
+    leaders = shared.groupBy("h").agg(F.min(F.struct("pos", "key")).alias("s")).select("h", F.col("s.key").alias("leader"))
+    star = shared.join(leaders, "h").where("key <> leader").groupBy("key", "leader").agg(F.count("*").alias("m"))
+    star = star.groupBy("key").agg(F.max_by("leader", F.struct("m", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("key").alias("b"))
+    links = _linked(docs, rows, stored(_plausible(star, first, percent), "pairs"), n, percent, levels)
+    pairs = _across(shared, components(links), percent)
+    more = _linked(docs, rows, stored(_plausible(pairs, first, percent), "pairs"), n, percent, levels)
+    return rows, links.union(more)
+
+
+def labelled(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash, n_shingles, label (of the component; null without n-grams) of each row."""
+    rows, links = classes(docs, n, percent)
+    labels = components(links).select(F.col("node").alias("key"), "label")
+    return rows.join(labels, "key", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "key")).alias("label"))
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    rows, links = classes(docs, n, percent)
-    labels = components(links).select(F.col("node").alias("key"), "label")
-    rows = rows.join(labels, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "key")).alias("label"))
-    smallest = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
+    rows = labelled(docs, n, percent)
+    smallest = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("m"))
+    # Documents alone are their own component; the others are few beside them.
+    smallest = smallest.where("m > 1").select("label", "smallest")
     return rows.join(smallest, "label", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
@@ -332,6 +257,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component; near duplicates by five words and 0.8."""
-    first = join(docs, 5, 80).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    """Keeps one row of each component, that with the smallest doc_id; near duplicates by five words and 0.8.
+
+    Of repeated rows (one doc_id and one text) one stays; a row without a doc_id stays only where no row of its
+    component has one; all texts without words stay.
+    """
+    rows = stored(labelled(docs, 5, 80), "labelled")
+    chosen = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s")).select("s.doc_id", "s.text_hash")
+    # Nearly always a row is told by its doc_id and text; only for the others are rows themselves compared.
+    times = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("m"), F.max("n_shingles").alias("n"))
+    kept = times.join(chosen.withColumn("chosen", F.lit(True)).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left").where("chosen or n = 0")
+    kept = stored(kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), ((F.col("m") > 1) & (F.col("n") > 0)).alias("__repeated")), "kept")
+    hashed = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    same = lambda k: hashed["doc_id"].cast("long").eqNullSafe(k["__id"]) & (hashed["__text"] == k["__hash"])
+    once, repeated = kept.where("not __repeated"), kept.where("__repeated")
+    out = hashed.join(once, same(once), "left_semi")
+    if not repeated.isEmpty():
+        out = out.unionByName(hashed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__text"]))
+    return out.drop("__text")

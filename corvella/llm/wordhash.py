@@ -1,14 +1,17 @@
-"""Words of whole Arrow text columns as 64-bit hashes, found and hashed without a Python object per word."""
+"""Words of whole Arrow text columns as 64-bit hashes, found and hashed without a Python object per word.
+
+A word's hash takes eight bytes at a time through a mixing step that is no polynomial of them; words of more than LONG
+bytes are hashed by blake2b.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -18,17 +21,8 @@ NON_SPACE[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base and its inverse, to the powers 0 .. n, modulo 2**64."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 20)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
+LONG = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,6 +30,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def scramble(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xE9846AF9B1A615D3)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[start : start + size]."""
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", raw, strides=(1,))  # the eight bytes from each place
+    h = (size.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    take = lambda at, left: eight[at] & _KEEP[np.minimum(left, 8)]
+    step = lambda h, x: scramble(h ^ x) + h * np.uint64(0xD6E8FEB86659FD93)
+    if len(size):
+        h = step(h, take(start, size))
+        more = np.flatnonzero((size > 8) & (size <= LONG))
+        at, left = start[more], size[more]
+        while len(more):
+            at, left = at + 8, left - 8
+            h[more] = step(h[more], take(at, left))
+            going = left > 8
+            more, at, left = more[going], at[going], left[going]
+        for k in np.flatnonzero(size > LONG).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : start[k] + size[k]], digest_size=8).digest(), "little")
+    return scramble(h)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls have no bytes."""
     if column.null_count:
@@ -62,14 +83,7 @@ class Words:
             after[at[1:][at[1:] > 0] - 1] = False
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
-        up, down = powers(n)
-        total = np.zeros(n + 1, np.uint64)
-        run = total[1:]
-        run[:] = self.data
-        run += np.uint64(1)
-        run *= up[:n]
-        np.cumsum(run, out=run)
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        self.hash = hash_words(self.data, self.start, self.end - self.start)
         self.first = np.searchsorted(self.start, at)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(rows), self.count)

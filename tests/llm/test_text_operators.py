@@ -254,7 +254,11 @@ def test_op9_against_brute_force(spark, n, percent):
             for _ in range(rng.randint(0, max(1, len(b) // 14))):
                 w[rng.randrange(len(w))] = "edit" + str(rng.randint(0, 9))
             rows.append((len(rows), " ".join(w)))
-    rows += [(7, rows[7][1]), (8, "other text with one id here"), (None, rows[9][1])]
+    rows += [(7, rows[7][1]), (8, "other text with one id here"), (None, rows[9][1]), (None, rows[9][1])]
+    # Near copies without an id, one of them the only link between two documents.
+    line = [f"w{k}" for k in range(100)]
+    edited = lambda *at: " ".join("new" + w if k in at else w for k, w in enumerate(line))
+    rows += [(900, edited(5, 35)), (None, edited(5)), (901, edited(5, 65)), (None, edited(70, 80)), (910, "q " * 60 + "é z"), (None, "q " * 60 + "é y z")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, n int")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard_join.join(df, n, percent).collect())
     assert got == components(rows, n, percent)
@@ -262,3 +266,30 @@ def test_op9_against_brute_force(spark, n, percent):
 
 def test_op9_empty(spark):
     assert jaccard_join.join(empty(spark)).count() == 0
+    assert jaccard_join.stage(spark, empty(spark), "").count() == 0
+
+
+def test_jaccard_stage_keeps_one_row_of_each_group(spark):
+    """Against brute force: one row a component, also of repeated rows and rows without an id; empty texts stay."""
+    rng = random.Random(18)
+    base = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(4)]
+    near = lambda t: " ".join("edit" if k == 30 else w for k, w in enumerate(t.split(" ")))
+    rows = [(5, base[0]), (3, near(base[0])), (3, near(base[0])), (None, base[0]), (None, base[1]), (None, base[1]), (8, base[2]), (8, base[3]), (9, None), (9, None), (10, ""), (None, None)]
+    df = spark.createDataFrame([(*r, "key", [1], 2) for r in rows], "doc_id long, text string, key string, label array<int>, n int")
+    out = jaccard_join.stage(spark, df, "")
+    assert out.schema == df.schema
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == collections.Counter([(3, near(base[0])), (None, base[1]), (8, base[2]), (8, base[3]), (9, None), (9, None), (10, ""), (None, None)])
+
+
+def test_word_hashes_tell_thue_morse_words_apart():
+    from corvella.llm.wordhash import NON_SPACE, Words
+
+    flip = str.maketrans("ab", "ba")
+    words = ["a", "b", "ab", "ba", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "a" * 64, "a" * 65, "b" + "a" * 64, "é", "éa"]
+    t = "a"
+    while len(t) < 5000:
+        t += t.translate(flip)
+        words += [t, t.translate(flip)] if len(t) > 2 else []
+    got = Words(pa.array([" ".join(words), None, "A " + words[-1]]), NON_SPACE)
+    assert len(set(got.hash[: len(words)].tolist())) == len(words) and got.hash[-1] == got.hash[len(words) - 1] and got.hash[-2] == got.hash[0]
