@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitfilter import bit_filter, passes
 from .common import discard, stored, table
 from .components import components
 from .wordhash import NON_SPACE, Words, mix, pieces
@@ -123,8 +124,8 @@ def pivots(levels: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.cumsum(weight), weight.sum() * np.arange(1, PARTS) / PARTS, "right").astype(np.uint8)
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """The prefixes of all classes: key, n, pos, h; a class once for each shard of documents."""
+def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
+    """The prefixes of all classes: h, key, n, pos; a class once for each shard of documents. wanted: a filter of h."""
 
     def run(batches):
         for b in _shards(batches, 0):
@@ -135,11 +136,16 @@ def _prefixes(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
             order = np.argsort((s.doc << 8) | levels[s.slots()], kind="stable")  # by document, level, hash
             doc = s.doc[order]
             pos = np.arange(len(doc)) - s.first[doc]
-            keep = (100 * pos <= (100 - percent) * s.size[doc]) & once[doc]
+            keep = np.flatnonzero((100 * pos <= (100 - percent) * s.size[doc]) & once[doc])
+            h = s.hash[order[keep]].view(np.int64)
+            if wanted is not None:
+                some = passes(wanted, h)
+                keep, h = keep[some], h[some]
             doc = doc[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(key[doc]), pa.array(s.size[doc].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(s.hash[order][keep].view(np.int64))], names=["key", "n", "pos", "h"])
+            cols = [h, key[doc], s.size[doc].astype(np.int32), pos[keep].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols[: 2 if wanted is None else 4]], names=["h", "key", "n", "pos"][: 2 if wanted is None else 4])
 
-    return docs.select("text").mapInArrow(run, "key long, n int, pos int, h long")
+    return docs.select("text").mapInArrow(run, "h long, key long" + ("" if wanted is None else ", n int, pos int"))
 
 
 def _room(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -152,7 +158,7 @@ def _room(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
 def _plausible(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
     """The first fragment: pairs (a, b) whose prefixes share enough; prefix: key, n, hs."""
     side = lambda c: prefix.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("hs").alias(f"h{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return both.where(_room(F.size(F.array_intersect("ha", "hb")), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
@@ -175,9 +181,17 @@ def _fragments(docs: DataFrame, rows: DataFrame, keys: DataFrame, n: int, levels
             out = pa.RecordBatch.from_arrays([pa.array(wanted[doc]), pa.array(s.size[doc].astype(np.int32)), pa.array((cell[first] % PARTS).astype(np.int32)), lists], names=["key", "n", "part", "h"])
             yield out.filter(pa.array(once[doc]))
 
-    one = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
+    one = rows.join(keys.hint("merge"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
     one = one.select(F.col("key"), F.col("s.doc_id").alias("id"), F.col("s.text_hash").alias("hash"))
-    texts = docs.join(stored(one, "texts"), (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text")
+    one = stored(one, "texts")
+    seen = bit_filter(one.select("hash"))
+
+    def choose(batches):
+        for b in batches:
+            yield b.filter(pa.array(passes(seen, b.column(1).to_numpy())))
+
+    some = docs.mapInArrow(choose, "doc_id long, text_hash long, text string")
+    texts = some.join(one.hint("merge"), (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text")
     return texts.mapInArrow(run, "key long, n int, part int, h array<long>")
 
 
@@ -186,7 +200,7 @@ def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent:
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     parts = stored(_fragments(docs, rows, keys, n, levels), "fragments")
     side = lambda c: parts.select(F.col("key").alias(c), "part", F.col("n").alias(f"n{c}"), F.col("h").alias(f"h{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), ["a", "part"])
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), ["a", "part"])
     partial = both.select("a", "b", "part", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("o"))
     # A fragment that came twice, from equal rows, counts once.
     partial = partial.groupBy("a", "b", "part").agg(F.max("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
@@ -201,17 +215,17 @@ def _across(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     In each n-gram's group the rows of the largest component are met by the others only, not by each other.
     """
-    own = shared.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    own = shared.join(labels.select(F.col("node").alias("key"), "label").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     own = stored(own, "members")
     per = own.groupBy("h", "label").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("major"), F.count("*").alias("labels"))
     per = stored(per.where("labels > 1").select("h", "major"), "open")
-    rows = own.join(per, "h")
+    rows = own.join(per.hint("merge"), "h")
     x = rows.where("label <> major").select("h", F.col("key").alias("kx"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
     y = rows.select("h", F.col("key").alias("ky"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("pos").alias("py"), "major")
     left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     enough = (100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))
     meet = (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("major")) | (F.col("kx") < F.col("ky"))) & enough
-    pairs = x.join(y, "h").where(meet).select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"))
+    pairs = x.join(y.hint("merge"), "h").where(meet).select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"))
     return pairs.distinct()
 
 
@@ -221,14 +235,14 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     rows = stored(_sets(docs, n), "sets")
     levels = gram_levels(docs, n)
-    prefix = stored(_prefixes(docs, n, percent, levels), "prefixes")
-    common = prefix.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("h")
-    shared = stored(prefix.join(stored(common, "common"), "h").distinct(), "shared")
-    discard(prefix)
+    common = _prefixes(docs, n, percent, levels).groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    common = stored(common.where("lo <> hi").select("h"), "common")
+    prefix = _prefixes(docs, n, percent, levels, bit_filter(common))
+    shared = stored(prefix.distinct().join(common.hint("merge"), "h"), "shared")
     first = stored(shared.groupBy("key").agg(F.max("n").alias("n"), F.collect_list("h").alias("hs")), "first-fragments")
     # Each class against one leader: of the classes that have an n-gram earliest, the one that it shares most with.
     leaders = shared.groupBy("h").agg(F.min(F.struct("pos", "key")).alias("s")).select("h", F.col("s.key").alias("leader"))
-    star = shared.join(leaders, "h").where("key <> leader").groupBy("key", "leader").agg(F.count("*").alias("m"))
+    star = shared.join(leaders.hint("merge"), "h").where("key <> leader").groupBy("key", "leader").agg(F.count("*").alias("m"))
     star = star.groupBy("key").agg(F.max_by("leader", F.struct("m", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("key").alias("b"))
     links = _linked(docs, rows, stored(_plausible(star, first, percent), "pairs"), n, percent, levels)
     pairs = _across(shared, components(links), percent)
