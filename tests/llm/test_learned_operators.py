@@ -189,18 +189,102 @@ def test_scores_know_word_order_and_frequency(spark):
     data = [(i, t + " xxyyx" * 20, True) for i, t in enumerate(texts)] + [(900, rare, True)] + [(1000 + i, t, False) for i, t in enumerate(held)]
     got = {r.doc_id: r.score / r.n_tokens for r in mixing.score(spark.createDataFrame(data, "doc_id long, text string, train boolean").coalesce(1)).collect()}
     assert got[1000] > got[1001] + 0.2 and got[1002] > got[1003]
-    counts = mixing.bit_tables(mixing.blocks_of(spark.createDataFrame([(1, "to to to be", True), (2, "to", False)], "doc_id long, text string, train boolean").coalesce(1)), mixing.STARTS)
-    assert counts[: mixing.STARTS[1]].sum() == (4 * 3 + 1) * 8
 
 
-def test_bit_model_is_a_distribution():
-    """Probabilities of all words over two letters up to a length, with the closing space, sum to less than one."""
+def test_score_against_brute_force(spark):
+    """Counts, mixing and adaptation by plain loops; the weights are those learned, the slots those of the tables."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 5))) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["one new only", "unseen new words new unseen " * 2, "", "abc \u4e2d\u4e2d"]
+    data = [(i, t, i % 4 != 1) for i, t in enumerate(texts)]
+    blocks = mixing.stored(mixing.blocks_of(spark.createDataFrame(data, "doc_id long, text string, train boolean").repartition(3)), "b")
+    starts, n_train = mixing.starts_for(5000), sum(t for *_, t in data)
+    blocks, n_words, n_types = mixing.counted(blocks, 256)
+    tree, counts = mixing.bit_tables(blocks, starts, n_train)
+    weights = mixing.learn_weights(blocks, starts, tree, counts, n_train)
+    got = {r.doc_id: r.score for r in mixing.document_scores(blocks, starts, tree, counts, weights, n_words, n_types, n_train).collect()}
+
+    def hashed(w):
+        return 1 if w is None else int(mixing.Words(pa.array([w]), mixing.NON_SPACE).hash[0])
+
+    tokens = {d: [*t.split(), None] for d, t, _ in data}
+    count = collections.Counter(w for d, _, train in data if train for w in tokens[d])
+    assert (n_words, n_types) == (sum(count.values()) - n_train, len(count) - 1)
+    seen = collections.defaultdict(lambda: [0.0, 0.0])
+
+    def path(before, w, new):
+        """(place in the tree, slots, bit) of each bit."""
+        code = mixing.codes(np.array([hashed(w)], np.uint64))
+        b = mixing.TokenBits(code, np.array([before], np.uint64), np.array([new]), starts)
+        return [(("tree", int(b.tree[0, k])), *(int(s[0, k]) for s in b.slots), int(b.bit[0, k])) for k in range(1 if new else mixing.DEPTH)]
+
+    def spelling(w):
+        raw = w.encode()
+        b = mixing.SpellingBits(np.frombuffer(raw, np.uint8), np.array([len(raw)]), starts)
+        return [(*(int(s[j, k]) for s in b.slots), int(b.bit[j, k])) for j in range(len(raw) + 1) for k in range(8)]
+
+    for d, _, train in data:
+        before = 0
+        for w in tokens[d] if train else []:
+            for k, (*places, bit) in enumerate(path(before, w, False)):
+                bit = int(count[w] == 1) if k == 0 else bit
+                for x in places:
+                    seen[x][bit] += 1
+            if count[w] == 1 and w is not None:
+                for *places, bit in spelling(w):
+                    for x in places:
+                        seen[x][bit] += 1
+            before = hashed(w)
+    odds = lambda x: math.log(seen[x][1] + 0.2) - math.log(seen[x][0] + 0.2)
+    bit_ln = lambda z, bit: -math.log1p(math.exp(-z if bit else z))
+    sure = lambda x: (x != 0) + (abs(x) > 2.5)
+    for d, _, _ in data:
+        totals, before, used = [math.log(1 - c) if len(tokens[d]) > 1 else 0.0 for c in mixing.CACHES], 0, collections.Counter()
+        for place, w in enumerate(tokens[d]):
+            ln = 0.0
+            for k, (*places, bit) in enumerate(path(before, w, count[w] == 0)):
+                x = [odds(p) for p in places]
+                z = float(np.dot(weights[0][k * 9 + sure(x[1]) * 3 + sure(x[2])], x))
+                ln += bit_ln(z, bit)
+            if count[w] == 0:
+                for k, (*places, bit) in enumerate(spelling(w)):
+                    x = [odds(p) for p in places]
+                    ln += bit_ln(float(np.dot(weights[1][min(k // 8, 3) * 8 + k % 8 + 32 * (x[2] != 0)], x)), bit)
+            else:
+                code = int(mixing.codes(np.array([hashed(w)], np.uint64))[0])
+                ln += math.log(count[w] / sum(n for v, n in count.items() if int(mixing.codes(np.array([hashed(v)], np.uint64))[0]) == code))
+            for k, c in enumerate(mixing.CACHES):
+                totals[k] += ln if c == 0 or place == 0 or w is None else math.log((1 - c) * math.exp(ln) + c * used[w] / place)
+            used[w] += 1
+            before = hashed(w)
+        want = (max(totals) + math.log(sum(math.exp(t - max(totals)) for t in totals) / len(totals))) / math.log(10)
+        assert got[d] == pytest.approx(want, rel=1e-4, abs=1e-4), d
+
+
+def test_bit_model_is_a_distribution(spark):
+    """At the real rate: the codes of all tokens after any word, with new or not, and all spellings up to a length, sum to one at most."""
     rng = np.random.default_rng(0)
-    odds = rng.normal(0, 1, int(mixing.STARTS[-1])).astype(np.float32)
+    starts = mixing.starts_for(5000)
+    counts = rng.integers(0, 4, (int(starts[-1]), 2)).astype(np.float32)
+    tree = mixing.tree_of(rng.integers(0, 2, 1 << mixing.CODE), 1000)
     words = [bytes([a]) for a in range(33, 256)] + [bytes([a, b]) for a in range(33, 256) for b in range(33, 256)]
-    mixer = mixing.Mixer(odds, rate=0.0)
-    ln = mixer.score(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]))
-    assert 0 < np.exp(ln).sum() < 1
+    spelling, tokens = mixing.spelling_mixer(), mixing.token_mixer()
+    bits = mixing.SpellingBits(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]), starts)
+    x = [mixing.log_odds(counts)[s] for s in bits.slots]
+    spelling.learn(x, bits, np.ones(len(bits.bit), np.float32))
+    assert 0 < np.exp(np.add.reduceat(spelling.judge(x, bits), bits.first)).sum() < 1
+    total = 0.0
+    code = np.arange(1 << mixing.CODE)
+    for part in np.split(code, 64):
+        bits = mixing.TokenBits(part, np.full(len(part), 77, np.uint64), np.zeros(len(part), bool), starts)
+        x = [mixing.log_odds(tree)[bits.tree], *(mixing.log_odds(counts)[s] for s in bits.slots)]
+        if not total:
+            tokens.learn(x, bits, np.ones(len(part), np.float32))
+        total += np.exp(tokens.judge(x, bits)).sum()
+        tokens.rate = 0.0
+    bits = mixing.TokenBits(code[:1], np.full(1, 77, np.uint64), np.ones(1, bool), starts)
+    total += np.exp(tokens.judge([mixing.log_odds(tree)[bits.tree], *(mixing.log_odds(counts)[s] for s in bits.slots)], bits)).sum()
+    assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_tool_calls(spark):
