@@ -235,7 +235,8 @@ def test_score_against_brute_force(spark):
                     for x in places:
                         seen[x][bit] += 1
             before = hashed(w)
-    odds = lambda x: math.log(seen[x][1] + 0.2) - math.log(seen[x][0] + 0.2)
+    more = lambda x: 0.01 if isinstance(x, tuple) else 0.2
+    odds = lambda x: math.log(seen[x][1] + more(x)) - math.log(seen[x][0] + more(x))
     bit_ln = lambda z, bit: -math.log1p(math.exp(-z if bit else z))
     sure = lambda x: (x != 0) + (abs(x) > 2.5)
     for d, _, _ in data:
