@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import open_fs, scratch, unit_keys, unit_text
 
-MAGIC = b"CBPF0001"
+MAGIC = b"CBPF0002"
+INDEX = struct.Struct("<QQBQ")  # blocks, documents, planes of a block, bytes of the compressed table of blocks
 FOOTER = struct.Struct("<QQQI8s")  # index offset and size, ids in the file, ids in a block, MAGIC
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 22
 MANIFEST = "shard int, part int, n_docs long, n_ids long, n_bytes long"
@@ -91,7 +92,8 @@ class Writer:
         n, planes = len(self.index), 32 if self.bits else 4
         table = np.array([[o, c, *sizes] for o, c, sizes in self.index], "<u8").reshape(n, 2 + planes)
         docs = np.array([self.docs, self.counts, self.nulls], "<i8").reshape(3, -1)
-        index = struct.pack("<QQB", n, docs.shape[1], planes) + self.press.compress(table.tobytes()) + b"|SPLIT|" + self.press.compress(docs.tobytes())
+        blocks = self.press.compress(table.tobytes())
+        index = INDEX.pack(n, docs.shape[1], planes, len(blocks)) + blocks + self.press.compress(docs.tobytes())
         return b"".join([*self.body, index, FOOTER.pack(self.size, len(index), self.n_ids, self.block_ids, MAGIC)])
 
 
@@ -106,8 +108,8 @@ class Reader:
         if magic != MAGIC or bytes(self.data[: len(MAGIC)]) != MAGIC:
             raise ValueError("not a file of bit planes")
         index = bytes(self.data[at : at + size])
-        n, n_docs, self.planes = struct.unpack("<QQB", index[:17])
-        blocks, _, docs = index[17:].partition(b"|SPLIT|")
+        n, n_docs, self.planes, size = INDEX.unpack(index[: INDEX.size])
+        blocks, docs = index[INDEX.size : INDEX.size + size], index[INDEX.size + size :]
         self.table = np.frombuffer(self.press.decompress(blocks), "<u8").reshape(n, 2 + self.planes) if n else np.zeros((0, 6), "<u8")
         self.docs = np.frombuffer(self.press.decompress(docs), "<i8").reshape(3, -1) if n_docs else np.zeros((3, 0), "<i8")
 
@@ -153,13 +155,34 @@ class LibraryEncoder:
         self.tk = Tokenizer.from_file(path)
         self.tk.encode_special_tokens = literal
         self.added = [t.content for t in self.tk.get_added_tokens_decoder().values() if t.content and not (literal and t.special)]
+        self.bytes_of = np.array([len(self.tk.id_to_token(i) or "") for i in range(self.tk.get_vocab_size())], np.int64)  # a letter of a piece stands for a byte
+        # Two generations: units that are asked for again outlive the change.
         self.cache: dict[str, bytes] = {}
-        self.limit = units
+        self.old: dict[str, bytes] = {}
+        self.limit = units // 2
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, keys: list[str]) -> None:
+        """Units that begin with a space or a line break are encoded as one text, cut again where their bytes end."""
+        alone = [k for k in keys if k[:1] == "\x00"]
+        joined = [k for k in keys if k[:1] != "\x00"]
+        for i in range(0, len(joined), 2000):
+            some = joined[i : i + 2000]
+            units = list(map(unit_text, some))
+            ids = np.array(self.tk.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
+            at, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(u.encode()) for u in units])
+            cut = np.searchsorted(at, ends)
+            if cut[-1] < len(at) and (at[cut] == ends).all():
+                raw, last = ids.tobytes(), (4 * (cut + 1)).tolist()
+                self.cache.update((k, raw[a:b]) for k, a, b in zip(some, [0, *last], last, strict=False))
+            else:
+                alone += some
+        if alone:
+            self._learn_apart(alone)
+
+    def _learn_apart(self, keys: list[str]) -> None:
         got = self.tk.encode([unit_text(k) for k in keys], is_pretokenized=True, add_special_tokens=False)
         ids = np.array(got.ids, "<u4")
         owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
@@ -174,10 +197,12 @@ class LibraryEncoder:
             keys = [None if t and any(a in t for a in self.added) else unit_keys(t or "") for t in texts[i : i + 256]]
             new = set().union(*(k for k in keys if k is not None)).difference(self.cache)
             if len(self.cache) + len(new) > self.limit:
-                self.cache.clear()
+                self.cache, self.old = {}, self.cache
                 new = set().union(*(k for k in keys if k is not None))
             if new:
-                self._learn(list(new))
+                again = new.intersection(self.old)
+                self.cache.update((k, self.old[k]) for k in again)
+                self._learn(list(new - again))
             get = self.cache.__getitem__
             for k, t in zip(keys, texts[i : i + 256], strict=True):
                 yield self.whole(t) if k is None else b"".join(map(get, k))
