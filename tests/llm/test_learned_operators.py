@@ -304,6 +304,48 @@ def test_tool_calls(spark):
     assert tool_calls.link(c.where("false"), r.where("false"), {}).count() == 0
 
 
+def test_tool_calls_survive_odd_arguments(spark):
+    deep = "[" * 5000 + "]" * 5000
+    odd = ['{"query":1e999,"n":1}', '{"query":"\\ud800","n":1}', '{"query":' + deep + ',"n":1}', "[" * 100_000, '{"query":' + "9" * 5000 + ',"n":1}', "NaN", "null", "", None, '{"x":"$\\udfff","\\udc00":1}', '{"query":"' + "long " * 200_000 + '","n":true}']
+    c = spark.createDataFrame([(1, k, f"c{k}", "search", a, 7) for k, a in enumerate(odd)] + [(None, 1, "z", "search", "{}", 7)], "conv_id long, turn long, call_id string, name string, arguments string, level int")
+    r = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    got = {x.call_id: x for x in tool_calls.link(c, r, tool_calls.SCHEMAS).collect()}
+    assert len(got) == len(odd) + 1 and [k for k, x in got.items() if x.valid] == ["c1"]
+    assert all(got[f"c{k}"].errors == "broken JSON" for k in (0, 3, 4, 5, 7, 8)) and "c2" in got
+    assert got["c1"].json == '{"arguments":{"n":1,"query":"\\ud800"},"id":"c1","name":"search","result":null}' and got["z"].level is None
+    assert tool_calls.check({"a": 1, "b": None}, {"properties": {"a": {"type": "date"}, "b": {"type": ["string", "null"]}}}) == ["a is no date"]
+
+
+def test_tool_call_order_against_brute_force(spark):
+    """Levels and positions of random graphs, by one task and by rounds of joins; pieces put together give the order."""
+    rng = random.Random(19)
+    calls = []
+    for conv in range(12):
+        n = rng.randint(1, 14)
+        for k in range(n):
+            back = conv % 3 == 0  # these may wait on each other
+            deps = [rng.randrange(n if back else max(k, 1)) for _ in range(rng.randint(0, 2))] if k or back else []
+            calls.append((conv, rng.randint(0, 5), f"c{k}", "search", json.dumps({"query": [f"$c{d}" for d in deps], "n": 1, "x": "$none"})))
+    want = {}
+    for conv in range(12):
+        own = {c: (t, {d[1:] for d in json.loads(a)["query"]}) for v, t, c, _, a in calls if v == conv}
+        level = {}
+        while new := [c for c, (_, d) in own.items() if c not in level and all(x in level for x in d if x in own)]:
+            level |= {c: max((level[x] + 1 for x in own[c][1] if x in own), default=0) for c in new}
+        for p, c in enumerate(sorted(level, key=lambda c: (level[c], own[c][0], c))):
+            want[conv, c] = (level[c], p)
+    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string")
+    linked = tool_calls.link(c, spark.createDataFrame([], "conv_id long, turn long, call_id string, content string"), tool_calls.SCHEMAS)
+    got = linked.collect()
+    assert {(r.conv_id, r.call_id): (r.level, r.position) for r in got if r.level is not None} == want and len(got) == len(calls)
+    small = c.where("conv_id < 5").select("conv_id", "call_id", "turn", F.expr("transform(from_json(get_json_object(arguments, '$.query'), 'array<string>'), x -> substring(x, 2))").alias("deps"))
+    assert {(r.conv_id, r.call_id): (r.level, r.position) for r in tool_calls.levels(small, 5).collect() if r.level is not None} == {k: v for k, v in want.items() if k[0] < 5}
+    pieces = sorted(tool_calls.serialised(linked, 4).collect(), key=lambda r: (r.conv_id, r.piece))
+    for conv in range(12):
+        ids = [x["id"] for r in pieces if r.conv_id == conv for x in json.loads(r.json)]
+        assert ids == sorted((k[1] for k in want if k[0] == conv), key=lambda c: want[conv, c][1])
+
+
 def test_conversation_calls_keep_the_whole_text(spark):
     texts = ["short", 'a "quoted"\n\\ part ' * 5, "\u4e2d\U0001f600 " * 30, "$call_1_0" + "x" * 60, "word " * 60_000]
     turns = [(k, turn, role, t) for k, t in enumerate(texts) for turn, role in ((0, "user"), (1, "assistant"))]
