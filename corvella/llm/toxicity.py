@@ -11,7 +11,9 @@ no letter or digit stands before it and no space after it, and closes the other
 partner quotes nothing. Single marks are not told from apostrophes and do not count.
 
 Only documents with crc32(doc_id as text) mod 3 other than 1 teach. At most SAMPLE_ROWS labelled documents
-are used for the fit, chosen by a hash of doc_id; that is its documented bound.
+are used for the fit, chosen by a hash of doc_id; that is its documented bound, and it bounds the lexicon, which holds
+all words of three letters or more, and all beginnings of four to seven letters, that pass its tests. Words of any length
+are matched. Letters are lower-cased by Spark, for all uses alike.
 
 Rows: null and empty texts have no hits and get the score of a text without hits; equal texts get equal
 scores; without labels, or without toxic ones, every score is the prior (0 with no labels).
@@ -34,8 +36,10 @@ from .wordhash import ALNUM, NON_SPACE, Words, pieces, text_buffer
 SAMPLE_ROWS = 20_000
 WINDOW = 8
 BLANK_LINE = re.compile(rb"\n[ \t\r]*\n")
+#: Marks and spaces beyond ASCII that are no part of a word; what joins letters (apostrophes, joiners) stays.
+PUNCTUATION = "[\u00a0\u00a1\u00a7\u00b6\u00b7\u00bf\u1680\u2000-\u200a\u2010-\u2017\u2020-\u202f\u2030-\u205f\u3000-\u3003\u3008-\u3011\u3014-\u301f\uff01\uff0c\uff0e\uff1a\uff1b\uff1f]"
 # Typographic marks and what they are read as: guillemets with a space inside them, marks that only open or close, others.
-MARKS = (("(^|[\\s(])\u00ab ", '\\1"'), (" \u00bb([\\s,.;:!?)]|$)", '"\\1'), ("[\u300c\u300e]", ' "'), ("[\u300d\u300f]", '" '), ("[\u201c\u201d\u201e\u201f\u00ab\u00bb]", '"'))
+MARKS = (("(^|[\\s(])\u00ab ", '\\1"'), (" \u00bb([\\s,.;:!?)]|$)", '"\\1'), ("[\u300c\u300e]", ' "'), ("[\u300d\u300f]", '" '), ("[\u201c\u201d\u201e\u201f\u00ab\u00bb]", '"'), (PUNCTUATION, " "))
 N_FEATURES = 7
 BLANK = ~NON_SPACE
 
@@ -228,7 +232,7 @@ def numbers(lexicon: Lexicon, column: pa.Array) -> np.ndarray:
     x[:, 3] = count(plain & (kind[at] == 4))
     x[:, 4] = count(quoted)
     np.maximum.at(x[:, 5], doc[plain], np.log(near[plain]))
-    x[:, 6] = np.minimum(np.bincount(doc[plain], minlength=rows) / np.maximum(words.count, 1) * 20, 3)
+    x[:, 6] = np.log1p(np.bincount(doc[plain], minlength=rows) / np.maximum(words.count, 1) * 20)
     return x
 
 
@@ -243,12 +247,12 @@ def learn_lexicon(texts: DataFrame, n_toxic: int, purity: float = 0.9) -> Lexico
     for pattern, mark in MARKS:
         text = F.regexp_replace(text, pattern, mark.replace("\\1", "$1"))
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
-    seen = texts.select("toxic", F.explode(words).alias("w")).where("length(w) between 3 and 40").groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    seen = texts.select("toxic", F.explode(words).alias("w")).where("length(w) >= 3").groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     seen = seen.cache()
-    whole = seen.where((F.col("t") >= least) & (F.col("t") >= purity * F.col("n"))).orderBy(F.desc("t"), "w").limit(5000).collect()
+    whole = seen.where((F.col("t") >= least) & (F.col("t") >= purity * F.col("n"))).select("w").collect()
     begins = seen.select("t", "n", F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda k: F.when(F.length("w") > k, F.substring("w", F.lit(1), k)))).alias("s")).where("s is not null")
     begins = begins.groupBy("s").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count_if(F.col("t") > 0).alias("kinds"), F.max("t").alias("most"))
-    begins = begins.where((F.col("t") >= 2 * least) & (F.col("t") >= purity * F.col("n")) & (F.col("kinds") >= 8) & (F.col("most") * 2 < F.col("t"))).orderBy(F.desc("t"), "s").limit(5000).collect()
+    begins = begins.where((F.col("t") >= 2 * least) & (F.col("t") >= purity * F.col("n")) & (F.col("kinds") >= 8) & (F.col("most") * 2 < F.col("t"))).select("s").collect()
     seen.unpersist()
     stems: list[str] = []
     for s in sorted((r.s for r in begins), key=lambda s: (len(s), s)):
@@ -322,12 +326,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose own text is predicted toxic; other columns stay as they are."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    names, at = docs.columns, docs.columns.index("text")
+    names, at = docs.columns, len(docs.columns)
 
     def run(batches):
         for b in pieces(batches, at):
-            lower = pa.array([None if t is None else t.lower() for t in b.column(at).to_pylist()], pa.string())
-            ok = model.scores(numbers(model.lexicon, lower)) < 0.7
-            yield pa.RecordBatch.from_arrays(b.columns, names=names).filter(pa.array(ok))
+            ok = model.scores(numbers(model.lexicon, b.column(at))) < 0.7
+            yield pa.RecordBatch.from_arrays(b.columns[:at], names=names).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.select("*", F.lower(F.col("text").cast("string")).alias("__lower")).mapInArrow(run, docs.schema)

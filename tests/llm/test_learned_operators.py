@@ -40,6 +40,20 @@ def test_toxicity_quotations():
     assert quoted_hits(None, "", '"', bad + ' "' + bad + '"') == [(0, 0)] * 3 + [(1, 1)]
 
 
+def test_toxicity_reads_marks_beyond_ascii_as_no_part_of_words():
+    assert quoted_hits(*[f"well{m}blockhead{m}so" for m in "\u2014\u2013\u2026\u00a0\u00bf\u3001\uff01"]) == [(1, 0)] * 7
+    assert quoted_hits("he said \u201cblockhead\u201d loudly") == [(0, 1)]
+
+
+def test_toxicity_stage_agrees_with_the_scores(spark, tmp_path):
+    docs, labels = toxic_corpus(spark, 200)
+    labels.select("doc_id", "toxic", F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.upper("text")).otherwise(F.col("text"))).unionByName(spark.createDataFrame([(None, None), (3, ""), (3, "")], "doc_id long, text string")).withColumn("score", F.lit("x"))
+    kept = sorted(str(r.doc_id) for r in toxicity.stage(spark, docs, str(tmp_path)).collect())
+    want = sorted(str(r.doc_id) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect() if r.score < 0.7)
+    assert kept == want and 0 < len(kept) < docs.count()
+
+
 def test_toxicity_matches_long_words():
     assert quoted_hits("nitwit" + "x" * 100, "\u0436" * 40, "x" * 100) == [(1, 0), (1, 0), (0, 0)]
 
