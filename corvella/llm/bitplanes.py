@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch, unit_keys, unit_text
+from .common import kept_by_worker, open_fs, scratch, unit_keys, unit_text
 
 MAGIC = b"CBPF0002"
 INDEX = struct.Struct("<QQBQ")  # blocks, documents, planes of a block, bytes of the compressed table of blocks
@@ -208,14 +208,9 @@ class LibraryEncoder:
                 yield self.whole(t) if k is None else b"".join(map(get, k))
 
 
-_encoders: dict[tuple[str, bool], LibraryEncoder] = {}
-
-
 def encoder(path: str, literal: bool = False) -> LibraryEncoder:
     """One for each worker process, so that its cache lasts from task to task."""
-    if (path, literal) not in _encoders:
-        _encoders[path, literal] = LibraryEncoder(path, literal=literal)
-    return _encoders[path, literal]
+    return kept_by_worker(lambda: LibraryEncoder(path, literal=literal), "ids", path, literal)
 
 
 def write_ids(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int = 0, bits: bool = False, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS, literal: bool = True) -> DataFrame:

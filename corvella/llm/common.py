@@ -99,6 +99,17 @@ def unit_text(key: str) -> str:
     return key[1:] if first == "\x00" else key if first == "\n" else " " + key
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept_by_worker(make, *key):
+    """What a worker process keeps from task to task, made once; only the last asked for, as operators follow each other."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 class Memo(dict):
     """A bounded cache: filled by make(key), emptied when it holds limit entries or 64 MB of keys."""
 

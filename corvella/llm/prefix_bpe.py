@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, unit_keys, unit_text
+from .common import Memo, kept_by_worker, unit_keys, unit_text
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -167,13 +167,8 @@ class PrefixBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_coders: dict[tuple[str, str], PrefixBpe] = {}
-
-
 def coder(path: str, pattern: str) -> PrefixBpe:
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = PrefixBpe(load_ranks(path), pattern)
-    return _coders[path, pattern]
+    return kept_by_worker(lambda: PrefixBpe(load_ranks(path), pattern), "prefix-bpe", path, pattern)
 
 
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, table
+from .common import crc32_mod, kept_by_worker, table
 from .wordhash import ALNUM, NON_SPACE, Words, pieces, text_buffer
 
 SAMPLE_ROWS = 20_000
@@ -143,16 +143,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights[1:]) + self.weights[0], -30, 30)))
 
 
-_known: dict[tuple, dict[int, int]] = {}
-
-
 def known(lexicon: Lexicon) -> dict[int, int]:
     """This worker's cache of what words are, by hash: 0 none, else 1 + 2 * kind + errors."""
-    key = (tuple(lexicon.words), tuple(lexicon.stems))
-    if key not in _known:
-        _known.clear()
-        _known[key] = {}
-    return _known[key]
+    return kept_by_worker(dict, "toxicity", tuple(lexicon.words), tuple(lexicon.stems))
 
 
 def hits(lexicon: Lexicon, words: Words) -> np.ndarray:
@@ -161,7 +154,7 @@ def hits(lexicon: Lexicon, words: Words) -> np.ndarray:
     at = np.zeros(len(unique), np.int64)
     at[back[::-1]] = np.arange(len(back))[::-1]
     cache = known(lexicon)
-    if len(cache) > 1_500_000:
+    if len(cache) > 400_000:
         cache.clear()
     kinds = np.zeros(len(unique), np.int8)
     start, end, data = words.start[at].tolist(), words.end[at].tolist(), words.data.tobytes()

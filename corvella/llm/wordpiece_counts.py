@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, kept_by_worker
 
 
 class LongestMatch:
@@ -101,14 +101,9 @@ def pieces_of(path: str) -> tuple[set[bytes], set[bytes]]:
     return first - {b""}, more - {b""}
 
 
-_automata: dict[str, LongestMatch] = {}
-
-
 def automaton(path: str) -> LongestMatch:
-    """One for each worker process."""
-    if path not in _automata:
-        _automata[path] = LongestMatch(*pieces_of(path))
-    return _automata[path]
+    """One for each worker process, so that its cache lasts from task to task."""
+    return kept_by_worker(lambda: LongestMatch(*pieces_of(path)), "longest-match", path)
 
 
 def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
