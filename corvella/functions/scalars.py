@@ -9,7 +9,10 @@ HASH_EDGE = 10 * 1024
 # Content types by file extension, and the event each starts.
 CONTENT_TYPES = {".pdf": "application/pdf", ".md": "text/markdown", ".markdown": "text/markdown", ".json": "application/json"}
 EVENTS = {".pdf": "pdf", ".md": "markdown", ".markdown": "markdown", ".json": "json"}
-BOUNDARIES = (r"^#{1,6}\s+.+", r"^\d+\.\s+.+", r"^[A-Z][A-Z\s]+$", r"^\[Page \d+\]", r"^Chapter\s+\d+", r"^Section\s+\d+")
+# Lines that begin a section.
+BOUNDARIES = (r"^#{1,6}\s+", r"^\d+\.\s+", r"^[A-Z][A-Z\s]{2,}$", r"^\[Page \d+\]", r"^Chapter \d+", r"^Section \d+")
+# Words whose full stop ends no sentence.
+ABBREVIATIONS = "Mr|Mrs|Dr|Ms|Prof|Sr|Jr|Inc|Ltd|Corp|Co|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 
 
 def short_sha(prefix: str, length: int, *parts: Column) -> Column:
@@ -88,6 +91,18 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def careful_sentences(text: Column) -> Column:
+    """Split between a terminator and a capital, but not after titles, company suffixes and months."""
+    gap = rf"(?U)(?<=[.!?])(?<!\b(?:{ABBREVIATIONS})\.)\s+(?=[A-Z])"
+    return F.filter(F.transform(F.split(text, gap), strip), lambda s: s != "")
+
+
+def extractor(content_type: Column, name: Column) -> Column:
+    """The extractor of a file, by content type or suffix; null for files that have none."""
+    kind, suffix = F.coalesce(content_type, F.lit("")), extension(F.coalesce(name, F.lit("")))
+    return F.when((kind == "application/pdf") | (suffix == ".pdf"), "pdf").when((kind == "text/markdown") | suffix.isin(".md", ".markdown"), "markdown")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

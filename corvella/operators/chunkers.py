@@ -7,17 +7,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import BOUNDARIES, chunk_id
+from ..config import Options
+from ..functions.scalars import ABBREVIATIONS, BOUNDARIES, chunk_id
 
 Chunk = tuple[str, int, int]
 _CUT = set(" \n\t.,!?;:")
 _TOKEN = re.compile(r"\w+|[^\w\s]|\s+")
 _BOUNDARY = re.compile("|".join(f"(?:{b})" for b in BOUNDARIES))
 SEPARATORS = ["\n\n\n", "\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", ""]
-_ABBREVIATION = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Sr|Jr|Inc|Ltd|Corp|Co|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\.|\d\.(?=\d)")
+_GAP = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+_ABBREVIATION = re.compile(rf"\b(?:{ABBREVIATIONS})\.\Z")
 
 
 def character(text: str, size: int = 1200, overlap: int = 300) -> Iterator[Chunk]:
@@ -58,7 +60,7 @@ def sections(text: str) -> Iterator[str]:
     lines: list[str] = []
     blank = 0
     for line in re.sub(r"\n\s*\n+", "\n\n", text).split("\n"):
-        if lines and (_BOUNDARY.match(line.strip()) or blank >= 2):
+        if lines and (_BOUNDARY.match(line) or blank >= 2):
             yield "\n".join(lines)
             lines = []
         blank = blank + 1 if not line.strip() else 0
@@ -132,9 +134,13 @@ def recursive(text: str, most: int = 1500, least: int = 400, overlap: int = 300)
 
 
 def careful_sentences(text: str) -> list[str]:
-    """Sentences, not cut after titles, company suffixes, months or inside decimals."""
-    safe = _ABBREVIATION.sub(lambda m: m[0].replace(".", "\0"), text)
-    return [s for s in (p.replace("\0", ".").strip() for p in re.split(r"(?<=[.!?])\s+(?=[A-Z])", safe)) if s]
+    """Sentences, not cut after titles, company suffixes and months."""
+    out, at = [], 0
+    for gap in _GAP.finditer(text):
+        if not _ABBREVIATION.search(text[max(0, gap.start() - 6) : gap.start()]):
+            out.append(text[at : gap.start()].strip())
+            at = gap.end()
+    return [s for s in (*out, text[at:].strip()) if s]
 
 
 def hashed_vector(text: str, dim: int = 64) -> np.ndarray:
@@ -211,21 +217,48 @@ STRATEGIES: dict[str, Callable[[str], Iterator[Chunk]]] = {"character": characte
 _FIELDS = pa.list_(pa.struct([("chunk_index", pa.int64()), ("text_content", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())]))
 
 
-def chunk(docs: DataFrame, strategy: str = "character", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """key, chunk_index, text_content, char_start, char_end, chunk_id. Unknown strategies mean character; null texts give no rows."""
-    name = strategy if strategy in STRATEGIES else "character"
-    cut = STRATEGIES[name]
+def sizes(options: Options, strategy: str) -> dict[str, float]:
+    """The options of a strategy, by the names of its parameters."""
+    o = options
+    return {
+        "character": {"size": o.chunk_size, "overlap": o.chunk_overlap}, "token": {"size": o.token_max, "overlap": o.token_overlap},
+        "semantic": {"most": o.semantic_max, "least": o.semantic_min, "overlap": o.chunk_overlap}, "recursive_semantic": {"most": o.semantic_max, "least": o.semantic_min, "overlap": o.chunk_overlap},
+        "embedding_semantic": {"most": o.similarity_max, "least": o.semantic_min, "threshold": o.similarity_threshold}, "linguistic": {"most": o.linguistic_max, "least": o.linguistic_min, "threshold": o.linguistic_threshold},
+    }[_known(strategy)]
+
+
+def _known(strategy: str) -> str:
+    return strategy if strategy in STRATEGIES else "character"
+
+
+def _cutter(strategy: str, options: dict):
+    cut = STRATEGIES[strategy]
 
     @F.arrow_udf("array<struct<chunk_index:long,text_content:string,char_start:long,char_end:long>>")
     def cutter(texts: pa.Array) -> pa.Array:
         return pa.array([[(i, *c) for i, c in enumerate(cut(t or "", **options))] for t in texts.to_pylist()], _FIELDS)
 
-    rows = docs.select(F.col(key), F.inline(cutter(F.col(text))))
+    return cutter
+
+
+def chunk(docs: DataFrame, strategy: str = "character", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key, chunk_index, text_content, char_start, char_end, chunk_id. Unknown strategies mean character; null texts give no rows."""
+    name = _known(strategy)
+    rows = docs.select(F.col(key), F.inline(_cutter(name, options)(F.col(text))))
     return rows.withColumn("chunk_id", chunk_id(F.col(key).cast("string"), name, F.col("chunk_index")))
 
 
+def chunk_arrays(docs: DataFrame, strategy: str = "character", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key and the array of a text's chunks, empty for null texts: for statistics of a text without a shuffle."""
+    cutter = _cutter(_known(strategy), options).asNondeterministic()  # not evaluated again for a filter on its result
+    return docs.select(F.col(key), cutter(F.col(text)).alias("chunks"))
+
+
 def coverage(chunks: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Share of each text's characters that chunks span, and whether over a twentieth is lost."""
-    spans = chunks.groupBy(key).agg(F.sum(F.col("char_end") - F.col("char_start")).alias("covered"), F.max("char_end").alias("last_end"))
-    n = F.length(F.col(text))
-    return docs.select(key, n.cast("long").alias("n_chars")).join(spans, key, "left").select(key, "n_chars", F.coalesce("covered", F.lit(0)).alias("covered"), F.coalesce("last_end", F.lit(0)).alias("last_end"), (F.coalesce("last_end", F.lit(0)) < 0.95 * F.col("n_chars")).alias("lossy"))
+    """Characters of each text in chunks (covered counts overlaps twice, spanned once), and whether over a twentieth is in none."""
+    before = F.max("char_end").over(Window.partitionBy(key).orderBy("char_start", "char_end").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.col("char_end") - F.greatest(F.col("char_start"), F.coalesce(before, F.lit(0))), F.lit(0))
+    spans = chunks.select(key, "char_start", "char_end", fresh.alias("fresh")).groupBy(key).agg(F.sum(F.col("char_end") - F.col("char_start")).alias("covered"), F.sum("fresh").alias("spanned"), F.max("char_end").alias("last_end"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    n = F.length(F.col(text)).cast("long")
+    return docs.select(key, n.alias("n_chars")).join(spans, key, "left").select(key, "n_chars", zero("covered").alias("covered"), zero("spanned").alias("spanned"), zero("last_end").alias("last_end"), (zero("spanned") < 0.95 * F.col("n_chars")).alias("lossy"))

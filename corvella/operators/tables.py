@@ -13,9 +13,16 @@ def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of new replace those of old; without a window over untouched rows."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """Rows of new replace those of old; without a window over untouched rows.
+
+    Of rows of new with one key, that with the highest version stays, or any one where there is no version."""
+    if version is None:
+        last = new.dropDuplicates([key])
+    else:
+        rows = F.struct(*[F.col(c) for c in new.columns])
+        last = new.groupBy(F.col(key).alias("_key")).agg(F.max_by(rows, F.col(version)).alias("r")).where("r IS NOT NULL").select("r.*")
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(last)
 
 
 def delete(old: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -28,9 +35,10 @@ def latest(log: DataFrame, key: str, value: str, at: str, *tie: str) -> DataFram
 
 
 def mark_duplicates(new: DataFrame, known: DataFrame | None = None, order: str = "doc_id") -> DataFrame:
-    """existing_document_id: the known document with the hash, else the first of the batch that has it."""
-    w = Window.partitionBy("quick_hash").orderBy(order)
-    out = new.withColumn("first_id", F.first(order).over(w))
+    """existing_id: the known document with the hash, else the first of the batch that has it. A null hash equals no other.
+
+    The first of a hash is a partial aggregate, so that a hash shared by most files makes no group of theirs."""
+    out = new.join(new.groupBy("quick_hash").agg(F.min(order).alias("first_id")), "quick_hash", "left")
     out = out.withColumn("existing_id", F.when(F.col("first_id") != F.col(order), F.col("first_id")))
     if known is not None:
         k = known.groupBy("quick_hash").agg(F.min(order).alias("known_id"))

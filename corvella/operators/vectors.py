@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
@@ -14,11 +17,43 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     return vectors.select("*", cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc(F.round("score", 9)), "vec_id").limit(k)
 
 
+BLOCK = 4096
+
+
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact search for a stated set of query vectors (query_id, query_vector), which is broadcast; partial top-k before the shuffle."""
-    scored = vectors.crossJoin(F.broadcast(queries)).where("query_id <> vec_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
+    """Exact search for a stated set of query vectors (query_id, query_vector); partial top-k before the shuffle.
+
+    The queries are counted and broadcast in blocks of about 4,096, each with a pass of its own over the vectors."""
+    blocks = -(-queries.count() // BLOCK) or 1
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = vectors.crossJoin(F.broadcast(block)).where("query_id <> vec_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def hashed(codes: Column, dims: int = 64) -> Column:
+    """Entries (dim, x) of a unit vector from the 16-bit codes of a text's words: a code's slot, and its top bit as the sign.
+
+    Slots that no word has are left out; where the signs cancel everywhere, x is null."""
+
+    @F.arrow_udf("array<struct<dim:long,x:double>>")
+    def fold(lists: pa.Array) -> pa.Array:
+        n = len(lists)
+        code = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        slot = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64) * dims + code % dims
+        sums = np.bincount(slot, np.where(code >= 32768, 1.0, -1.0), n * dims).reshape(n, dims)
+        seen = np.bincount(slot, minlength=n * dims).reshape(n, dims) > 0
+        norm = np.sqrt((sums * sums).sum(axis=1))
+        row, dim = np.nonzero(seen)
+        x = sums[row, dim] / np.where(norm == 0, 1.0, norm)[row]
+        ends = np.concatenate([[0], np.cumsum(seen.sum(axis=1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(dim.astype(np.int64)), pa.array(x, mask=(norm == 0)[row])], names=["dim", "x"]))
+
+    return fold(codes)
 
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:

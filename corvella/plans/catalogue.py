@@ -55,11 +55,12 @@ def chunk_character(spark, d):
 
 @query(CHARACTER + "SELECT doc_id, count(*) AS n_chunks, cast(sum(length(text_content)) AS bigint) AS sum_chars, cast(min(length(text_content)) AS bigint) AS min_chars, cast(max(length(text_content)) AS bigint) AS max_chars, round(avg(length(text_content)), 6) AS avg_chars FROM chunks GROUP BY doc_id")
 def chunk_character_stats(spark, d):
-    n = F.length("text_content").cast("long")
-    return C.chunk(docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(n).alias("sum_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.round(F.avg(n), 6).alias("avg_chars"))
+    a = C.chunk_arrays(docs(spark, d)).select("doc_id", F.transform("chunks", lambda c: F.length(c["text_content"]).cast("long")).alias("n")).where(F.size("n") > 0)
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)
+    return a.select("doc_id", F.size("n").cast("long").alias("n_chunks"), total.alias("sum_chars"), F.array_min("n").alias("min_chars"), F.array_max("n").alias("max_chars"), F.round(total / F.size("n"), 6).alias("avg_chars"))
 
 
-@query(CHARACTER + "SELECT doc_id, cast(length(text) AS bigint) AS n_chars, cast(coalesce(c, 0) AS bigint) AS covered, coalesce(m, 0) AS last_end, coalesce(m, 0) < 0.95 * length(text) AS lossy FROM documents LEFT JOIN (SELECT doc_id, sum(char_end - char_start) AS c, max(char_end) AS m FROM chunks GROUP BY doc_id) USING (doc_id)")
+@query(CHARACTER + "SELECT doc_id, cast(length(text) AS bigint) AS n_chars, cast(coalesce(c, 0) AS bigint) AS covered, cast(coalesce(s, 0) AS bigint) AS spanned, coalesce(m, 0) AS last_end, coalesce(s, 0) < 0.95 * length(text) AS lossy FROM documents LEFT JOIN (SELECT doc_id, sum(char_end - char_start) AS c, sum(greatest(char_end - greatest(char_start, coalesce(b, 0)), 0)) AS s, max(char_end) AS m FROM (SELECT *, max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, char_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM chunks) GROUP BY doc_id) USING (doc_id)")
 def chunk_coverage(spark, d):
     return C.coverage(C.chunk(docs(spark, d)), docs(spark, d))
 
@@ -107,19 +108,15 @@ def split_sentences_naive(spark, d):
     return docs(spark, d).select("doc_id", F.explode(S.sentences(F.col("text"))).alias("sentence")).groupBy("doc_id", "sentence").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\b(Mr|Mrs|Dr|Ms|Prof|Sr|Jr|Inc|Ltd|Corp|Co|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.', '\1' || chr(2), 'g'), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+ lambda s: regexp_replace(replace(s, chr(2), '.'), '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS s FROM documents) SELECT doc_id, cast(unnest(range(len(s))) AS bigint) AS n, unnest(s) AS sentence FROM p""")
 def split_sentences_abbrev(spark, d):
-    @F.arrow_udf("array<string>")
-    def split(texts):
-        import pyarrow as pa
-
-        return pa.array([C.careful_sentences(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
-
-    return docs(spark, d).select("doc_id", F.posexplode(split("text")).alias("n", "sentence"))
+    s = docs(spark, d).select("doc_id", F.posexplode(S.careful_sentences(F.col("text"))).alias("n", "sentence"))
+    return s.withColumn("n", F.col("n").cast("long"))
 
 
 _PREFIXED = "CASE i % 5 WHEN 0 THEN '## ' || l WHEN 1 THEN '3. ' || l WHEN 2 THEN 'Section 2 ' || l WHEN 3 THEN '[Page 4]' ELSE l END"
-_BOUNDARY_SQL = " OR ".join(f"regexp_matches(x, '{b}')" for b in S.BOUNDARIES)
+_BOUNDARY_SQL = r"regexp_matches(x, '^(#{1,6}\s|[0-9]+\.\s|[A-Z][A-Z\s][A-Z\s]+$|\[Page [0-9]+\]|(Chapter|Section) [0-9])')"
 
 
 @query(f"""WITH l AS (SELECT doc_id, i, {_PREFIXED} AS x FROM (SELECT doc_id, unnest(s) AS l, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))
@@ -144,11 +141,9 @@ def overlap_prev_chunk(spark, d):
 @query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), h AS (SELECT doc_id, ('0x' || substring(md5(w), 1, 4))::int AS h FROM t), b AS (SELECT doc_id, h % 64 AS dim, cast(sum(CASE WHEN h >= 32768 THEN 1 ELSE -1 END) AS double) AS x FROM h GROUP BY ALL)
  SELECT doc_id, cast(dim AS bigint) AS dim, round(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0), 6) AS x FROM b""")
 def embed_hashed(spark, d):
-    w = docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
-    h = w.select("doc_id", F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 4), 16, 10).cast("long").alias("h"))
-    b = h.groupBy("doc_id", (F.col("h") % 64).alias("dim")).agg(F.sum(F.when(F.col("h") >= 32768, 1).otherwise(-1)).cast("double").alias("x"))
-    n = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))
-    return b.select("doc_id", "dim", F.round(F.try_divide("x", F.when(n != 0, n)), 6).alias("x"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    codes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int"))
+    return docs(spark, d).select("doc_id", F.inline(vectors.hashed(codes))).withColumn("x", F.round("x", 6))
 
 
 _Q = "(SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
@@ -237,8 +232,7 @@ def event_stats_duration(spark, d):
 @query(LOGS + """SELECT *, CASE WHEN completed > 0 THEN 'healthy' ELSE 'degraded' END AS health FROM (SELECT group_id, max(event_id) AS last_event, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed
  FROM logs WHERE started_at >= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events) GROUP BY group_id)""")
 def consumer_health(spark, d):
-    last = logs(spark, d).agg((F.max("started_at") - F.expr("INTERVAL 5 MINUTES")).alias("t")).first()["t"]
-    return stats.health(logs(spark, d), F.lit(last))
+    return stats.health(logs(spark, d), logs(spark, d).agg(F.max("started_at") - F.expr("INTERVAL 5 MINUTES")).scalar())
 
 
 @query(LOGS + "SELECT coalesce(status, '*') AS status, count(*) AS n, cast(sum(user_id % 7) AS bigint) AS emails FROM logs GROUP BY ROLLUP (status)")
@@ -255,15 +249,17 @@ def batch_stats(spark, d):
 @query(CHARACTER + """SELECT doc_id, count(*) AS total, count(*) FILTER (st = 'completed') AS completed, count(*) FILTER (st = 'failed') AS failed, count(*) FILTER (st = 'pending') AS pending FROM (
  SELECT doc_id, CASE WHEN quality IS NULL THEN 'pending' WHEN (chunk_index + quality) % 7 = 0 THEN 'failed' ELSE 'completed' END AS st FROM chunks LEFT JOIN labels USING (doc_id)) GROUP BY doc_id""")
 def chunk_status_pivot(spark, d):
-    c = C.chunk(docs(spark, d)).select("doc_id", "chunk_index").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    st = F.when(F.col("quality").isNull(), "pending").when((F.col("chunk_index") + F.col("quality")) % 7 == 0, "failed").otherwise("completed")
-    return c.select("doc_id", st.alias("st")).groupBy("doc_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("st") == s).alias(s) for s in ("completed", "failed", "pending")])
+    c = C.chunk_arrays(docs(spark, d)).select("doc_id", F.size("chunks").alias("n")).where("n > 0").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    bad = F.size(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i + F.col("quality")) % 7 == 0))
+    by = c.select("doc_id", F.col("n").cast("long").alias("total"), F.when(F.col("quality").isNull(), 0).otherwise(bad).cast("long").alias("failed"), F.when(F.col("quality").isNull(), F.col("n")).otherwise(0).cast("long").alias("pending"))
+    g = by.groupBy("doc_id").agg(*[F.sum(x).alias(x) for x in ("total", "failed", "pending")])
+    return g.select("doc_id", "total", (F.col("total") - F.col("failed") - F.col("pending")).alias("completed"), "failed", "pending")
 
 
 @query(LOGS + "SELECT event_id, topic, status FROM logs WHERE started_at >= (SELECT max(ts) - INTERVAL 24 HOUR FROM events) ORDER BY started_at DESC, event_id LIMIT 100")
 def recent_logs(spark, d):
-    last = logs(spark, d).agg((F.max("started_at") - F.expr("INTERVAL 24 HOURS")).alias("t")).first()["t"]
-    return stats.newest(logs(spark, d).where(F.col("started_at") >= F.lit(last))).select("event_id", "topic", "status")
+    since = logs(spark, d).agg(F.max("started_at") - F.expr("INTERVAL 24 HOURS")).scalar()
+    return stats.newest(logs(spark, d).where(F.col("started_at") >= since)).select("event_id", "topic", "status")
 
 
 @query(LOGS + "SELECT event_id, topic FROM logs WHERE status = 'failed' ORDER BY started_at DESC, event_id LIMIT 50")
@@ -318,10 +314,12 @@ def microbatch_fixed(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", n.alias("batch_no")).groupBy("user_id", "batch_no").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (
+_BATCHES = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (
  SELECT user_id, event_id, rn, 0::bigint AS b, 1 AS c, t AS f FROM o WHERE rn = 1 UNION ALL
- SELECT o.user_id, o.event_id, o.rn, CASE WHEN c >= 5 OR t - f >= 172800000000 THEN b + 1 ELSE b END, CASE WHEN c >= 5 OR t - f >= 172800000000 THEN 1 ELSE c + 1 END, CASE WHEN c >= 5 OR t - f >= 172800000000 THEN t ELSE f END FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
- SELECT user_id, b AS batch_no, count(*) AS n, min(event_id) AS first_id FROM r GROUP BY ALL""")
+ SELECT o.user_id, o.event_id, o.rn, CASE WHEN c >= 5 OR t - f >= 172800000000 THEN b + 1 ELSE b END, CASE WHEN c >= 5 OR t - f >= 172800000000 THEN 1 ELSE c + 1 END, CASE WHEN c >= 5 OR t - f >= 172800000000 THEN t ELSE f END FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1) """
+
+
+@query(_BATCHES + "SELECT user_id, b AS batch_no, count(*) AS n, min(event_id) AS first_id FROM r GROUP BY ALL")
 def microbatch_count_or_timeout(spark, d):
     return microbatch.batches(table(spark, d, "events"), 5, 48 * 3600).groupBy("user_id", "batch_no").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
@@ -471,3 +469,6 @@ def email_pipeline(spark, d):
 def vector_hydrate(spark, d):
     hits = vectors.top_k(table(spark, d, "embeddings"), _first(spark, d)).select("vec_id", F.round("score", 6).alias("score"))
     return F.broadcast(hits).join(docs(spark, d), F.col("doc_id") == F.col("vec_id")).select("vec_id", "score", "lang", "source")
+
+
+from . import flows  # noqa: E402, F401  adds its queries

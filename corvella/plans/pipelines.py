@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..config import Options
 from ..functions import scalars as S
 from ..operators import chunkers, tables
 
 
-def ingest(uploads: DataFrame, processed: DataFrame, max_bytes: int, strategy: str = "character") -> tuple[DataFrame, DataFrame]:
+def ingest(uploads: DataFrame, processed: DataFrame, max_bytes: int, strategy: str = "character", options: Options | None = None) -> tuple[DataFrame, DataFrame]:
     """(uploads with their status, chunks of those that are new). uploads: doc_id, text; processed: doc_id."""
     u = uploads.select("doc_id", "text", F.octet_length("text").alias("file_size"), S.quick_hash(F.lit("doc.md"), F.col("text").cast("binary")).alias("quick_hash"))
     u = tables.mark_duplicates(u).join(processed.select("doc_id", F.lit(True).alias("done")).distinct(), "doc_id", "left")
     status = F.when(F.col("file_size") > max_bytes, "failed").when(F.col("status") == "duplicate", "duplicate").when(F.col("done"), "skipped").otherwise("completed")
     u = u.withColumn("status", status)
-    return u, chunkers.chunk(u.where("status = 'completed'"), strategy)
+    return u, chunkers.chunk(u.where("status = 'completed'"), strategy, **(chunkers.sizes(options, strategy) if options else {}))
 
 
 def index(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import CONTENT_TYPES, EVENTS, by_extension, decoded, quick_hash
+from ..functions.scalars import CONTENT_TYPES, EVENTS, by_extension, decoded, quick_hash, strip
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,10 +30,10 @@ def markdown_text(files: DataFrame) -> DataFrame:
 
 
 def page_text(pages: DataFrame) -> DataFrame:
-    """document_id, page_no, page_text to one text: a marker and the text of each non-empty page, in order."""
-    marked = pages.where(F.trim("page_text") != "").select("document_id", F.struct("page_no", F.concat(F.lit("[Page "), F.col("page_no").cast("string"), F.lit("]\n"), F.col("page_text"), F.lit("\n\n")).alias("t")).alias("p"))
+    """document_id, page_no, page_text to one text: a marker and the text of each page that is not empty, in order."""
+    marked = pages.where("page_text <> ''").select("document_id", F.struct("page_no", F.concat(F.lit("[Page "), F.col("page_no").cast("string"), F.lit("]\n"), F.col("page_text"), F.lit("\n\n")).alias("t")).alias("p"))
     joined = marked.groupBy("document_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    return joined.select("document_id", F.rtrim(F.array_join(F.col("ps.t"), "")).alias("text"))
+    return joined.select("document_id", strip(F.array_join(F.col("ps.t"), "")).alias("text"))
 
 
 def supported_types(spark: SparkSession) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OUT = "user_id long, event_id long, batch_no long"
+CLOSED = "user_id long, batch_no long, n long, first_id long, reason string"
 
 
 def step(state: tuple[int, int, int] | None, ts: int, n: int, wait: int) -> tuple[int, int, int]:
@@ -59,15 +60,53 @@ def stream_batches(events: DataFrame, n: int, wait_seconds: float) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(run, OUT, "no long, count long, first long", "append", GroupStateTimeout.NoTimeout)
 
 
+def closed_batches(events: DataFrame, n: int, wait_seconds: float, delay: str = "10 minutes") -> DataFrame:
+    """Batches of a stream (user_id, event_id, ts) as they close: 'full' at n events, 'timeout' once the wait has passed.
+
+    A timer on event time closes a batch for which no later event comes; delay says how late events may be:
+    later ones are dropped by the watermark, like any at the epoch or before. Batches that are still open when the stream stops stay in the state and are closed by the next run."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    wait = int(wait_seconds * 1_000_000)
+
+    def run(key, frames, state):
+        no, count, first, first_id = tuple(state.get) if state.exists else (0, 0, 0, 0)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], no, count, first_id, "timeout"))
+            no, count = no + 1, 0
+        else:
+            rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
+            for t, i in zip(rows["t"].tolist(), rows["event_id"].tolist(), strict=True):
+                if count and t - first >= wait:
+                    out.append((key[0], no, count, first_id, "timeout"))
+                    no, count = no + 1, 0
+                if not count:
+                    first, first_id = t, i
+                count += 1
+                if count == n:
+                    out.append((key[0], no, count, first_id, "full"))
+                    no, count = no + 1, 0
+        state.update((no, count, first, first_id))
+        if count:
+            state.setTimeoutTimestamp(max((first + wait) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["user_id", "batch_no", "n", "first_id", "reason"])
+
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("t"))
+    return rows.groupBy("user_id").applyInPandasWithState(run, CLOSED, "no long, count long, first long, first_id long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Runs a stream over what has arrived and stops."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def idempotent(stream: DataFrame, done, write) -> None:
-    """In each micro-batch, skips events that done() lists as completed, then writes by batch id."""
+def idempotent(stream: DataFrame, done, write, checkpoint: str) -> None:
+    """In each micro-batch, skips events that done() lists as completed, then writes by batch id.
+
+    The checkpoint keeps what was read over a restart; a batch that was cut off comes again under its number."""
 
     def each(batch: DataFrame, number: int) -> None:
         write(batch.join(done().select("event_id"), "event_id", "left_anti").dropDuplicates(["event_id"]), number)
 
-    stream.writeStream.foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corvella.config import Options
 from corvella.functions import scalars as S
-from corvella.operators import tables, vectors
+from corvella.operators import chunkers, embedding, logs, routing, tables, vectors
 from corvella.sources import files
 from corvella.streaming import microbatch
 
@@ -66,7 +66,9 @@ def test_uploads_and_pages(spark, tmp_path):
     got = {r.filename: r.status for r in files.uploads(spark, str(tmp_path)).select("filename", "status").collect()}
     assert got == {"a.md": "uploaded", "b.exe": "failed"}
     pages = spark.createDataFrame([("d", 2, "two"), ("d", 1, "one"), ("d", 3, " ")], "document_id string, page_no int, page_text string")
-    assert files.page_text(pages).first().text.strip() == "[Page 1]\none\n\n[Page 2]\ntwo"
+    assert files.page_text(pages).first().text == "[Page 1]\none\n\n[Page 2]\ntwo\n\n[Page 3]"
+    bare = spark.createDataFrame([("d", 1, "one"), ("d", 2, ""), ("d", 3, None)], "document_id string, page_no int, page_text string")
+    assert files.page_text(bare).first().text == "[Page 1]\none"
 
 
 def test_batch_step():
@@ -86,3 +88,95 @@ def test_options(spark):
     except ValueError:
         return
     raise AssertionError
+
+
+def test_upsert_keeps_the_last_version(spark):
+    old = spark.createDataFrame([(1, "a", 0)], "id int, v string, n int")
+    new = spark.createDataFrame([(1, "b", 2), (1, "c", 1), (2, "d", 1)], "id int, v string, n int")
+    assert sorted(map(tuple, tables.upsert(old, new, "id", "n").collect())) == [(1, "b", 2), (2, "d", 1)]
+    assert tables.upsert(old, new, "id").count() == 2
+
+
+def test_embed_retries_then_single_texts(spark):
+    def picky(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [[float(len(t))] for t in texts]
+
+    df = spark.createDataFrame([(1, 0, "x", "good"), (1, 1, "y", "bad"), (2, 0, "z", ""), (3, 0, "w", None)], "doc_id long, chunk_index long, chunk_id string, text_content string").coalesce(1)
+    out = embedding.embed(df, picky, attempts=2)
+    got = {r.chunk_id: (r.embedding, r.embedding_status, r.embedding_error, r.attempts) for r in out.collect()}
+    assert got == {"x": ([4.0], "completed", None, 3), "y": (None, "failed", "no", 3), "z": (None, "skipped", None, 0), "w": (None, "skipped", None, 0)}
+    assert [r.chunk_id for r in embedding.failures(out).collect()] == ["y"]
+    assert embedding.embed(df.where("doc_id > 9"), picky).count() == 0
+
+
+def test_log_of_a_retried_event(spark):
+    e = spark.createDataFrame([(7, 0), (None, 0)], "event_id long, s int")
+    at = lambda n: F.timestamp_seconds(F.lit(n))
+    log = logs.started(e, "event", "event_id", at(1)).union(logs.finished(e, "event", "event_id", at(2), F.lit("no"))).union(logs.started(e, "event", "event_id", at(3))).union(logs.finished(e, "event", "event_id", at(3)))
+    row = logs.current(log.union(log)).collect()
+    assert len(row) == 1 and (row[0].status, row[0].error) == ("completed", None)
+    assert logs.history(log.union(log)).first().states == ["processing", "failed", "processing", "completed"]
+
+
+def test_routing_without_topic(spark):
+    e = spark.createDataFrame([(1, None, None), (2, "t", None), (3, "document.uploaded", "pdf"), (4, "document.uploaded", "x")], "id int, topic string, event_type string")
+    r = routing.route(e, {"t": "h"}, {"pdf": "p"})
+    assert {x.id: x.handler for x in r.collect()} == {1: "dead_letter", 2: "h", 3: "p", 4: "dead_letter"}
+    assert routing.dead_letters(r, "id", F.lit("{}")).count() == 2
+    assert [x.id for x in routing.dispatch(r, {"p": lambda d: d})["p"].collect()] == [3]
+
+
+def test_timer_closes_a_batch_without_a_later_event(spark, tmp_path):
+    import time
+
+    t = lambda s: f"timestamp_seconds({s})"
+    for rows in ([(1, 1, 1000), (2, 2, 1000)], [(2, 3, 1100)]):
+        spark.createDataFrame(rows, "user_id long, event_id long, s long").selectExpr("user_id", "event_id", f"{t('s')} AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema("user_id long, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    microbatch.once(microbatch.closed_batches(stream, 3, 9, "0 seconds"), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [(1, 0, 1, 1, "timeout"), (2, 0, 1, 2, "timeout")]
+
+
+def test_idempotent_skips_and_resumes(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (2,)], "event_id long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long").parquet(str(tmp_path / "in"))
+    seen = []
+    for _ in range(2):
+        microbatch.idempotent(stream, lambda: spark.createDataFrame([(1,)], "event_id long"), lambda b, n: seen.extend(r.event_id for r in b.collect()), str(tmp_path / "state"))
+    assert seen == [2]
+
+
+def test_sentences_in_columns_equal_those_in_python(spark):
+    text = "On 3 May. Then Dr. Who left.  He paid 3.5. ok? Yes! Xsep. No"
+    want = ["On 3 May. Then Dr. Who left.", "He paid 3.5. ok?", "Yes!", "Xsep.", "No"]
+    assert chunkers.careful_sentences(text) == want and one(spark, S.careful_sentences(F.lit(text))) == want
+
+
+def test_boundaries_and_extractors(spark):
+    lines = {"OK": False, "OKAY": True, "# ": True, "#": False, "Chapter 1": True, " Chapter 1": False, "[Page 3] x": True}
+    assert {k: one(spark, S.is_boundary(F.lit(k))) for k in lines} == lines
+    assert one(spark, S.extractor(F.lit(None), F.lit("a.PDF"))) == "pdf" and one(spark, S.extractor(F.lit("text/markdown"), F.lit(None))) == "markdown" and one(spark, S.extractor(F.lit(""), F.lit("a.txt"))) is None
+
+
+def test_coverage_sees_losses_inside(spark):
+    d = spark.createDataFrame([(1, "x" * 100)], "doc_id long, text string")
+    c = spark.createDataFrame([(1, 0, 40), (1, 30, 50), (1, 90, 100)], "doc_id long, char_start long, char_end long")
+    row = chunkers.coverage(c, d).first()
+    assert (row.covered, row.spanned, row.last_end, row.lossy) == (70, 60, 100, True)
+
+
+def test_top_k_each_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<float>")
+    q = v.selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    whole = sorted(map(tuple, vectors.top_k_each(v, q, 2).collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    assert sorted(map(tuple, vectors.top_k_each(v, q, 2).collect())) == whole and len(whole) == 18
+
+
+def test_sizes_of_options(spark):
+    d = spark.createDataFrame([(1, "x" * 50)], "doc_id long, text string")
+    assert chunkers.chunk(d, "character", **chunkers.sizes(Options(chunk_size=20, chunk_overlap=0), "character")).count() == 3
