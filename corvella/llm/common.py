@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset and Spark is local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.gettempdir() + "/corvella-scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -406,3 +406,108 @@ def test_pipeline(spark, small):
         docs = spark.createDataFrame(out.collect(), out.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert 0 < len(last) == docs.count() and all(r.n_tokens == len(r.ids) for r in last)
+
+
+def test_rules_are_tried_in_order(spark):
+    """Two causes of bad texts give two rules; the expression gives what trying the rules one by one gives."""
+    rng = random.Random(21)
+    docs, labels = [], []
+    for i in range(600):
+        words = [rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(80)]
+        if i % 5 == 0:
+            words = [w + "***" for w in words]
+        elif i % 5 == 1:
+            words = [w.upper() for w in words]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 > 1)))
+    d, m = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    rules = decision_list.fit(d, m)
+    assert len(rules) >= 2
+    mixed = [*docs, (900, "A***!!! " * 60), (901, None), (902, "plain words here " * 30)]
+    df = spark.createDataFrame(mixed, "doc_id long, text string")
+    stats = {r.doc_id: r.asDict() for r in decision_list._with_features(decision_list.base_statistics(df)).collect()}
+
+    def first(x):
+        for k, rule in enumerate(rules, 1):
+            if all(x[f"f_{f}"] >= at if side == ">=" else x[f"f_{f}"] < at for f, side, at in rule):
+                return k
+        return 0
+
+    for r in decision_list.judged(df, rules).collect():
+        x = stats[r.doc_id]
+        failed = x["n_words"] < 50 or 100 * x["n_repeat_words"] > 50 * x["n_words"]
+        assert (r.base_failed, r.rule, r.kept) == (failed, 0 if failed else first(x), not failed and first(x) == 0)
+
+
+def test_growing_against_brute_force(spark):
+    """The first condition is the one with the highest gain of all thresholds."""
+    rng = random.Random(22)
+    data = [(int(rng.random() < 0.3), *[rng.randint(0, 30) for _ in decision_list.FEATURES]) for _ in range(400)]
+    data = [(b, *(x + 12 * b if k == 2 else x for k, x in enumerate(xs))) for b, *xs in data]
+    points = {f: sorted({r[k + 1] for r in data})[::3] for k, f in enumerate(decision_list.FEATURES)}
+    names = ", ".join(f"f_{f} long" for f in decision_list.FEATURES)
+    df = spark.createDataFrame(data, f"bad int, {names}")
+    bins = [sum((F.when(F.col(f"f_{f}") >= t, 1).otherwise(0) for t in ts), F.lit(0)).alias(f"b_{f}") for f, ts in points.items()]
+    got = decision_list._counts(df.select("*", *bins), points)
+    for (f, side, at), n in got.items():
+        k = decision_list.FEATURES.index(f) + 1
+        hit = [r[0] for r in data if (r[k] >= at if side == ">=" else r[k] < at)]
+        assert n == (sum(hit), len(hit) - sum(hit))
+
+
+def test_stages_with_odd_rows(spark, small, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and an empty table in every stage."""
+    import corpus_pipeline
+
+    good = " ".join(f"word{i % 97} then{i % 89}" for i in range(200))
+    item = spark.read.parquet(f"{small}/benchmark.parquet").where("length(text) > 100").first().text
+    data = [(1, None), (2, ""), (3, " \n"), (4, good), (4, good), (5, good + " x"), (None, good + " y"), (6, "z" * 200_000), (7, good[::-1] + " " + item), (None, None)]
+    extra = ("score", "predicted", "kept", "rule", "n_words", "label", "key", "h", "n", "hit_spans", "items", "n_tokens", "ids")
+    df = spark.createDataFrame([(*r, *range(len(extra))) for r in data], "doc_id long, text string, " + ", ".join(f"{c} int" for c in extra))
+    stages = dict(corpus_pipeline.STAGES)
+    got = {}
+    for name, stage in stages.items():
+        out = stage(spark, df, small)
+        if name != "byte_level_bpe":
+            assert out.columns == df.columns, name
+        got[name] = out.collect()
+        assert stage(spark, df.where("false"), small).count() == 0, name
+    ids = lambda name: sorted((-1 if r.doc_id is None else r.doc_id for r in got[name]))
+    assert not {1, 2, 3, 6} & set(ids("quality_rules"))
+    assert ids("ngram_jaccard_join") == [-1, 1, 2, 3, 4, 6, 7]
+    assert ids("benchmark_decontamination") == [-1, -1, 1, 2, 3, 4, 4, 5, 6]
+    assert {1, 2, 3} <= set(ids("toxicity")) and len(got["byte_level_bpe"]) == len(data)
+
+
+def test_pipeline_run_against_brute_force(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = mixing.stored(stage(spark, docs, small), "by-hand")
+    texts = {r.doc_id: (r.text or "").translate(UPPER) for r in docs.collect()}
+    words = {i: SPACE.findall(t) for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for i, w in words.items()}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    order = sorted(sets)
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            n = len(sets[a] & sets[b])
+            if n and 180 * n >= 80 * (len(sets[a]) + len(sets[b])):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    alnum = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for r in spark.read.parquet(f"{small}/benchmark.parquet").collect():
+        w = alnum.findall((r.text or "").translate(UPPER))
+        windows |= {tuple(w[k : k + 10]) for k in range(max(len(w) - 9, 1))} if w else set()
+    sizes = {len(w) for w in windows}
+    dirty = lambda w: any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
+    want = sorted(i for i in order if root(i) == i and not dirty(alnum.findall(texts[i])))
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, small).collect()) == want and want
