@@ -53,6 +53,15 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
 
 
+def extractor(content_type: Column, name: Column) -> Column:
+    """pdf or markdown, by content type or by suffix; null for what neither names."""
+    lower = F.lower(F.coalesce(name, F.lit("")))
+    kind = F.coalesce(content_type, F.lit(""))
+    pdf = (kind == CONTENT_TYPES[".pdf"]) | lower.endswith(".pdf")
+    markdown = (kind == CONTENT_TYPES[".md"]) | lower.endswith(".md") | lower.endswith(".markdown")
+    return F.when(pdf, "pdf").when(markdown, "markdown")
+
+
 def by_extension(name: Column, values: dict[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
     return F.try_element_at(table, extension(name))
@@ -97,12 +106,6 @@ def careful_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, gap), strip), lambda s: s != "")
 
 
-def extractor(content_type: Column, name: Column) -> Column:
-    """The extractor of a file, by content type or suffix; null for files that have none."""
-    kind, suffix = F.coalesce(content_type, F.lit("")), extension(F.coalesce(name, F.lit("")))
-    return F.when((kind == "application/pdf") | (suffix == ".pdf"), "pdf").when((kind == "text/markdown") | suffix.isin(".md", ".markdown"), "markdown")
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -78,3 +78,9 @@ def document_status(embedded: DataFrame) -> DataFrame:
     st = F.col("embedding_status")
     g = embedded.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count_if(st == "completed").alias("embedded"), F.count_if(st == "failed").alias("embedding_errors"))
     return g.withColumn("has_partial_failure", F.col("embedding_errors") > 0).withColumn("status", F.when((F.col("embedded") == 0) & (F.col("embedding_errors") > 0), "failed").otherwise("completed"))
+
+
+def document_stats(embedded: DataFrame, strategy: str, batch: int = 300) -> DataFrame:
+    """Per document: chunks, vectors, errors, how many batches of chunks were saved, and the strategy that cut them."""
+    d = document_status(embedded)
+    return d.select("doc_id", F.ceil(F.col("n_chunks") / batch).alias("batches"), F.col("n_chunks").alias("total_chunks"), "embedded", "embedding_errors", F.lit(strategy).alias("strategy"))

@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import attachment_id, embedding_id
 from . import tables
 
+Fetcher = Callable[[str], tuple[int, bytes]]
+
+
+def fetch(rows: DataFrame, fetcher: Fetcher, url: str = "url", at_once: int = 8) -> DataFrame:
+    """rows with content and fetch_error. Only an answer of 200 gives content; another status, or an error of the fetcher,
+    is the row's error. Null and empty urls are not fetched and are errors. At most at_once answers are held at a time."""
+    kept = rows.drop("content", "fetch_error")
+    schema = kept.withColumns({"content": F.lit(None).cast("binary"), "fetch_error": F.lit(None).cast("string")}).schema
+
+    def one(address: str | None) -> tuple[bytes | None, str | None]:
+        if not address:
+            return None, "no download url"
+        try:
+            status, body = fetcher(address)
+        except Exception as e:  # any error of the service is the row's error
+            return None, str(e)
+        return (body, None) if status == 200 else (None, f"HTTP {status}")
+
+    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in records:
+            for at in range(0, record.num_rows, at_once):
+                part = record.slice(at, at_once)
+                got = [one(u) for u in part.column(url).to_pylist()]
+                added = [pa.array([c for c, _ in got], pa.binary()), pa.array([e for _, e in got], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "content", "fetch_error"])
+
+    return kept.mapInArrow(run, schema)
+
 
 def attachment_rows(mails: DataFrame, base: str, allowed: str, max_bytes: int, fetched: Column | None = None) -> DataFrame:
     """One row for each element of attachments (name, size, url) of each mail (email_id, account_id), with its path or its error.
@@ -28,6 +59,15 @@ def back_references(embedded: DataFrame) -> DataFrame:
     return embedded.where("embedding_status = 'completed'").select("document_id", embedding_id(F.col("document_id")).alias("embedding_id"))
 
 
+def push_ids(mails: DataFrame, attachments: DataFrame, key: str = "email_id") -> DataFrame:
+    """mails with attachment_ids: those they had, then those of their attachment rows in order, each once."""
+    new = attachments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "attachment_id"))).alias("_new"))
+    none = F.array().cast("array<string>")
+    had = F.coalesce("attachment_ids", none) if "attachment_ids" in mails.columns else none
+    out = mails.join(new, key, "left")
+    return out.withColumn("attachment_ids", F.array_distinct(F.concat(had, F.coalesce(F.col("_new.attachment_id"), none)))).drop("_new")
+
+
 def hydrate(mails: DataFrame, vectors: DataFrame, attachments: DataFrame, key: str = "email_id") -> DataFrame:
     """Every mail with its vector (null if none) and its attachments in order (empty if none). vectors: one row a key."""
     a = attachments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "name", "status"))).alias("attachments"))

@@ -36,6 +36,23 @@ def dead_letters(routed: DataFrame, key: str, payload: Column) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("key"), "topic", payload.alias("value"), F.col("routing_error").alias("error"), F.lit(0).cast("long").alias("retry_count"))
 
 
+def messages(events: DataFrame, topic: Column, key: str, *fields: str) -> DataFrame:
+    """topic, key and value: the fields as JSON, times as ISO strings in the session's zone; null fields are left out."""
+    kinds = {f.name: f.dataType.typeName() for f in events.schema}
+    iso = lambda f: F.date_format(f, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(f) if kinds[f].startswith("timestamp") else F.col(f)
+    return events.select(topic.alias("topic"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*[iso(f) for f in fields])).alias("value"))
+
+
+def produce(rows: DataFrame, kind: str = "parquet", **options: str) -> None:
+    """Appends messages to a sink of Spark; a stream goes through write_branches. Ids in the values make repeats harmless."""
+    rows.write.format(kind).options(**options).mode("append").save()
+
+
+def browse(letters: DataFrame, n: int = 50) -> DataFrame:
+    """The first n dead letters by partition and offset."""
+    return letters.select("partition", "offset", "key", "value", "timestamp").orderBy("partition", "offset").limit(n)
+
+
 def dispatch(routed: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
     """Each handler's result on its own events; handlers run apart, so that one's failure leaves the others' writes alone."""
     return {name: f(routed.where(F.col("handler") == name)) for name, f in handlers.items()}

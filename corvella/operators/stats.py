@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import duration_ms
@@ -34,3 +34,24 @@ def health(logs: DataFrame, since) -> DataFrame:
 
 def newest(logs: DataFrame, n: int = 100) -> DataFrame:
     return logs.orderBy(F.desc("started_at"), "event_id").limit(n)
+
+
+def since(logs: DataFrame, as_of, hours: int, status: str | None = None) -> DataFrame:
+    """Logs that started in the hours before as_of, of one status or of all."""
+    out = logs.where(F.col("started_at") >= as_of - F.make_dt_interval(hours=F.lit(hours)))
+    return out if status is None else out.where(F.col("status") == status)
+
+
+def running(batched: DataFrame, n: int, *by: str) -> DataFrame:
+    """Per key of batched rows (batch_no): emails, batches, their mean size, and the size of the last one if it is not full."""
+    b = batched.groupBy(*by, "batch_no").agg(F.count("*").alias("size"))
+    last = F.max_by("size", "batch_no")
+    g = b.groupBy(*by).agg(F.sum("size").alias("emails"), F.count("*").alias("batches"), last.alias("last"))
+    mean = F.round(F.try_divide("emails", "batches"), 6)
+    return g.select(*by, "emails", "batches", mean.alias("average_batch_size"), F.when(F.col("last") < n, F.col("last")).otherwise(0).cast("long").alias("current_batch_size"))
+
+
+def counters(batched: DataFrame, failed: Column, *by: str) -> DataFrame:
+    """Events, failed ones, and batches of each consumer. Batches are counted, not listed: one count per (key, batch) first."""
+    b = batched.groupBy(*by, "user_id", "batch_no").agg(F.count("*").alias("n"), F.count_if(failed).alias("bad"))
+    return b.groupBy(*by).agg(F.sum("n").alias("total_events"), F.sum("bad").alias("failed_events"), F.count("*").alias("total_batches"))

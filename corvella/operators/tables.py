@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import CONTENT_TYPES, by_extension, safe_name
+from ..functions.scalars import CONTENT_TYPES, by_extension, extractor, safe_name
 
 
 def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -46,6 +46,25 @@ def mark_duplicates(new: DataFrame, known: DataFrame | None = None, order: str =
     return out.drop("first_id").withColumn("status", F.when(F.col("existing_id").isNotNull(), "duplicate").otherwise("uploaded"))
 
 
+def unprocessed(docs: DataFrame, uploads: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents with neither a completed upload nor a chunk. Null keys are kept: nothing says they were processed."""
+    return docs.join(uploads.where("status = 'completed'").select(key), key, "left_anti").join(chunks.select(key), key, "left_anti")
+
+
+def with_content(uploads: DataFrame, blobs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """uploads (content_type, filename) joined with their blobs (content), and the extractor each takes or its error."""
+    handler = extractor(F.col("content_type"), F.col("filename"))
+    error = F.when(handler.isNull(), F.concat(F.lit("Unsupported content type: "), F.coalesce("content_type", F.lit(""))))
+    return uploads.join(blobs.select(key, "content"), key).withColumns({"extractor": handler, "extract_error": error})
+
+
+def merge_payload(fixed: Column, metadata: Column) -> Column:
+    """Both maps as one; keys of the metadata win. A null map counts as empty."""
+    empty = F.create_map().cast("map<string,string>")
+    fixed, metadata = F.coalesce(fixed, empty), F.coalesce(metadata, empty)
+    return F.map_concat(F.map_filter(fixed, lambda k, v: ~F.map_contains_key(metadata, k)), metadata)
+
+
 def retry_candidates(failures: DataFrame, max_retries: int = 3) -> DataFrame:
     return failures.where((F.col("status") == "pending_retry") & (F.col("retry_count") < max_retries))
 

@@ -398,8 +398,7 @@ def payload_merge(spark, d):
     """Fixed keys give way to those of the chunk's metadata."""
     fixed = F.create_map(F.lit("content_type"), F.lit("pdf"), F.lit("text_preview"), F.substring("text", 1, 200), F.lit("mongo_collection"), F.lit("documents"))
     meta = F.create_map(F.lit("content_type"), F.col("source"), F.lit("lang"), F.col("lang"))
-    kept = F.map_filter(fixed, lambda k, v: ~F.map_contains_key(meta, k))
-    return docs(spark, d).select("doc_id", F.map_concat(kept, meta).alias("p")).select("doc_id", *[F.col("p")[k].alias(k) for k in ("content_type", "text_preview", "lang", "mongo_collection")])
+    return docs(spark, d).select("doc_id", tables.merge_payload(fixed, meta).alias("p")).select("doc_id", *[F.col("p")[k].alias(k) for k in ("content_type", "text_preview", "lang", "mongo_collection")])
 
 
 @query(LOGS + "SELECT group_id, count(*) FILTER (status = 'failed') AS storage_errors, cast(ceil(count(*) / 300.0) AS bigint) AS batches, count(*) FILTER (status = 'failed') > 0 AS has_partial_failure, CASE WHEN count(*) FILTER (status = 'completed') = 0 THEN 'failed' ELSE 'completed' END AS status FROM logs GROUP BY group_id")
@@ -471,4 +470,4 @@ def vector_hydrate(spark, d):
     return F.broadcast(hits).join(docs(spark, d), F.col("doc_id") == F.col("vec_id")).select("vec_id", "score", "lang", "source")
 
 
-from . import flows  # noqa: E402, F401  adds its queries
+from . import flows  # noqa: E402, F401  adds its queries and those of records

@@ -134,3 +134,6 @@ def stream_batch_timeout(spark, d):
     from ..sources.streams import events_once
 
     return events_once(spark, d, lambda s: microbatch.closed_batches(s, 5, 48 * 3600, "0 seconds"), microbatch.CLOSED)
+
+
+from . import records  # noqa: E402, F401  adds its queries

@@ -11,7 +11,11 @@ from ..streaming.microbatch import once
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/corvella-scratch"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file:///tmp/corvella-scratch"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corvella.config import Options
 from corvella.functions import scalars as S
-from corvella.operators import chunkers, embedding, logs, routing, tables, vectors
+from corvella.operators import chunkers, embedding, logs, mail, routing, tables, vectors
 from corvella.sources import files
 from corvella.streaming import microbatch
 
@@ -180,3 +180,46 @@ def test_top_k_each_in_blocks(spark, monkeypatch):
 def test_sizes_of_options(spark):
     d = spark.createDataFrame([(1, "x" * 50)], "doc_id long, text string")
     assert chunkers.chunk(d, "character", **chunkers.sizes(Options(chunk_size=20, chunk_overlap=0), "character")).count() == 3
+
+
+def test_extractor_takes_a_bare_suffix(spark):
+    rows = spark.createDataFrame([(None, ".md"), ("", "a.PDF"), ("application/pdf", None), ("text/plain", "a.md.txt"), (None, None)], "k string, n string")
+    assert [r[0] for r in rows.select(S.extractor(F.col("k"), F.col("n"))).collect()] == ["markdown", "pdf", "pdf", None, None]
+
+
+def test_fetch_keeps_every_row(spark):
+    def service(url):
+        if url == "down":
+            raise OSError("down")
+        return (200, b"x") if url == "ok" else (500, b"page of an error")
+
+    rows = spark.createDataFrame([(1, "ok"), (2, "down"), (3, "other"), (4, ""), (5, None), (1, "ok")], "id int, url string").withColumn("content", F.lit("old"))
+    got = [(r.id, bytes(r.content) if r.content else None, r.fetch_error) for r in mail.fetch(rows, service).orderBy("id").collect()]
+    assert got == [(1, b"x", None), (1, b"x", None), (2, None, "down"), (3, None, "HTTP 500"), (4, None, "no download url"), (5, None, "no download url")]
+
+
+def test_push_keeps_what_was_there(spark):
+    m = spark.createDataFrame([("a", ["9"]), ("b", None), ("c", ["1"])], "email_id string, attachment_ids array<string>")
+    a = spark.createDataFrame([("a", 1, "8"), ("a", 0, "9"), ("b", 0, "7")], "email_id string, pos int, attachment_id string")
+    assert {r.email_id: r.attachment_ids for r in mail.push_ids(m, a).collect()} == {"a": ["9", "8"], "b": ["7"], "c": ["1"]}
+
+
+def test_messages_reach_a_sink(spark, tmp_path):
+    rows = spark.sql("SELECT 't' AS topic, 1 AS id, timestamp_ntz'2024-01-02 03:04:05.5' AS at, cast(NULL AS string) AS note")
+    routing.produce(routing.messages(rows, F.col("topic"), "id", "id", "at", "note"), path=str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("t", "1", '{"id":1,"at":"2024-01-02T03:04:05.500000"}')]
+
+
+def test_json_stream_reads_what_arrives(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"event_id": 1, "kind": "x"}\nnot json\n')
+    microbatch.once(files.json_stream(spark, str(folder), "event_id long, kind string"), str(tmp_path / "rows"), str(tmp_path / "state"))
+    (folder / "b.json").write_text('{"event_id": 2, "kind": "y"}\n')
+    microbatch.once(files.json_stream(spark, str(folder), "event_id long, kind string"), str(tmp_path / "rows"), str(tmp_path / "state"))
+    assert sorted(str(r.event_id) for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == ["1", "2", "None"]
+
+
+def test_payload_of_null_maps(spark):
+    got = spark.sql("SELECT map('a', '1') AS x, cast(NULL AS map<string,string>) AS y").select(tables.merge_payload(F.col("x"), F.col("y")), tables.merge_payload(F.col("y"), F.col("x"))).first()
+    assert got[0] == got[1] == {"a": "1"}
