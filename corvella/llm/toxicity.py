@@ -2,7 +2,8 @@
 
 The lexicon holds whole words and stems (beginnings shared by many words) that almost only toxic documents
 use. It is a trie; a word of the text is turned into a Levenshtein automaton, and walking both together
-finds the entries within the allowed distance. Each hit is judged in a window of words around it: hits close
+finds the entries within the allowed distance. An entry that several ordinary words of the labelled rows are near takes no
+errors, and no such word is a misspelling of another entry; what remains weighs as much as the entry itself. Each hit is judged in a window of words around it: hits close
 together count more, and hits inside quotation marks are kept apart, so that quotation differs from abuse.
 A logistic regression over these few numbers gives the score.
 
@@ -22,9 +23,11 @@ scores; without labels, or without toxic ones, every score is the prior (0 with
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +38,16 @@ from .wordhash import ALNUM, NON_SPACE, Words, pieces, text_buffer
 
 SAMPLE_ROWS = 20_000
 WINDOW = 8
+#: So many ordinary words near an entry make it one that takes no errors.
+ORDINARY_NEAR = 3
 BLANK_LINE = re.compile(rb"\n[ \t\r]*\n")
 #: Marks and spaces beyond ASCII that are no part of a word; what joins letters (apostrophes, joiners) stays.
 PUNCTUATION = "[\u00a0\u00a1\u00a7\u00b6\u00b7\u00bf\u1680\u2000-\u200a\u2010-\u2017\u2020-\u202f\u2030-\u205f\u3000-\u3003\u3008-\u3011\u3014-\u301f\uff01\uff0c\uff0e\uff1a\uff1b\uff1f]"
 # Typographic marks and what they are read as: guillemets with a space inside them, marks that only open or close, others.
 MARKS = (("(^|[\\s(])\u00ab ", '\\1"'), (" \u00bb([\\s,.;:!?)]|$)", '"\\1'), ("[\u300c\u300e]", ' "'), ("[\u300d\u300f]", '" '), ("[\u201c\u201d\u201e\u201f\u00ab\u00bb]", '"'), (PUNCTUATION, " "))
 N_FEATURES = 7
+#: Numbers that share a weight: words with their misspellings, stems with theirs.
+TIED = np.eye(5)[[0, 0, 1, 1, 2, 3, 4]]
 BLANK = ~NON_SPACE
 
 
@@ -88,8 +95,10 @@ class LevenshteinAutomaton:
 class Lexicon:
     """Words and stems in one trie, with a quick test that lets almost all other words pass by."""
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], strict: Iterable[str] = (), ordinary: Iterable[str] = ()):
+        """strict: entries that take no errors. ordinary: words that are no misspellings."""
         self.words, self.stems = sorted(words), sorted(stems)
+        self.strict, self.ordinary = frozenset(strict), frozenset(ordinary)
         self.trie: dict = {}
         for kind, entries in (("word", self.words), ("stem", self.stems)):
             for entry in entries:
@@ -105,30 +114,30 @@ class Lexicon:
             for shift in (-1, 0, 1):
                 self.second.setdefault((len(a) + shift, len(b)), set()).add(b)
 
-    @staticmethod
-    def allowed(entry: str) -> int:
-        return 1 if len(entry) >= 5 else 0
+    def allowed(self, entry: str) -> int:
+        return 1 if len(entry) >= 5 and entry not in self.strict else 0
 
-    def match(self, word: str) -> tuple[int, int] | None:
-        """(kind, errors) of the best entry: kind 0 a whole word, 1 a stem; None for no entry."""
+    def entries(self, word: str) -> Iterator[tuple[int, int, str]]:
+        """(kind, errors, entry) of each entry within its distance: kind 0 a whole word, 1 a stem."""
         if len(word) < 3 or not (any(word[:n] in s for n, s in self.first.items()) or any(word[p : p + n] in s for (p, n), s in self.second.items())):
-            return None
+            return
         automaton = LevenshteinAutomaton(word, 1)
-        best, todo = None, [(self.trie, automaton.start())]
+        most = 0 if word in self.ordinary else 1
+        todo = [(self.trie, automaton.start())]
         while todo:
             node, state = todo.pop()
             for letter, below in node.items():
-                if letter == "word":
-                    e = automaton.errors(state)
-                    if e is not None and e <= self.allowed(below):
-                        best = min(best or (9, 9), (0, e), key=lambda x: (x[1], x[0]))
-                elif letter == "stem":
-                    e = automaton.prefix_errors(state)
-                    if e is not None and e <= self.allowed(below):
-                        best = min(best or (9, 9), (1, e), key=lambda x: (x[1], x[0]))
-                elif len(letter) == 1 and (new := automaton.step(state, letter)):
-                    todo.append((below, new))
-        return best
+                if len(letter) == 1:
+                    if new := automaton.step(state, letter):
+                        todo.append((below, new))
+                    continue
+                e = automaton.errors(state) if letter == "word" else automaton.prefix_errors(state)
+                if e is not None and e <= min(most, self.allowed(below)):
+                    yield int(letter == "stem"), e, below
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        """(kind, errors) of the best entry; None for no entry."""
+        return min(((kind, e) for kind, e, _ in self.entries(word)), key=lambda x: (x[1], x[0]), default=None)
 
 
 @dataclass
@@ -145,7 +154,7 @@ class Model:
 
 def known(lexicon: Lexicon) -> dict[int, int]:
     """This worker's cache of what words are, by hash: 0 none, else 1 + 2 * kind + errors."""
-    return kept_by_worker(dict, "toxicity", tuple(lexicon.words), tuple(lexicon.stems))
+    return kept_by_worker(dict, "toxicity", tuple(lexicon.words), tuple(lexicon.stems), lexicon.strict, lexicon.ordinary)
 
 
 def hits(lexicon: Lexicon, words: Words) -> np.ndarray:
@@ -246,12 +255,30 @@ def learn_lexicon(texts: DataFrame, n_toxic: int, purity: float = 0.9) -> Lexico
     begins = seen.select("t", "n", F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda k: F.when(F.length("w") > k, F.substring("w", F.lit(1), k)))).alias("s")).where("s is not null")
     begins = begins.groupBy("s").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count_if(F.col("t") > 0).alias("kinds"), F.max("t").alias("most"))
     begins = begins.where((F.col("t") >= 2 * least) & (F.col("t") >= purity * F.col("n")) & (F.col("kinds") >= 8) & (F.col("most") * 2 < F.col("t"))).select("s").collect()
-    seen.unpersist()
     stems: list[str] = []
     for s in sorted((r.s for r in begins), key=lambda s: (len(s), s)):
         if not any(s.startswith(x) for x in stems):
             stems.append(s)
-    return Lexicon([r.w for r in whole if not any(r.w.startswith(s) for s in stems)], stems)
+    lexicon = Lexicon([r.w for r in whole if not any(r.w.startswith(s) for s in stems)], stems)
+    lexicon = exact_where_ordinary(lexicon, seen.where(F.col("t") < purity * F.col("n")))
+    seen.unpersist()
+    return lexicon
+
+
+def exact_where_ordinary(lexicon: Lexicon, words: DataFrame) -> Lexicon:
+    """The lexicon with what the ordinary words (w, each once) of the labelled rows say about misspellings."""
+
+    def run(frames):
+        for f in frames:
+            found = [(w, list(lexicon.entries(w))) for w in f["w"].tolist()]
+            yield pd.DataFrame([(w, entry) for w, near in found if all(e for _, e, _ in near) for _, _, entry in near], columns=["w", "entry"])
+
+    near = words.select("w").mapInPandas(run, "w string, entry string").cache()
+    many = near.groupBy("entry").count().where(F.col("count") >= ORDINARY_NEAR).select("entry")
+    strict = [r.entry for r in many.collect()]
+    ordinary = [r.w for r in near.join(F.broadcast(many), "entry", "left_anti").select("w").distinct().collect()]
+    near.unpersist()
+    return Lexicon(lexicon.words, lexicon.stems, strict, ordinary)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> list[float]:
@@ -287,16 +314,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     model = Model(lexicon, prior=float(y.mean()))
     if 0 < y.sum() < len(y) and x.any():
         # More hits never speak against toxicity: numbers that would get a negative weight are left out.
-        use = np.ones(N_FEATURES, bool)
+        tied = x @ TIED
+        use = np.ones(TIED.shape[1], bool)
         while True:
-            w = fit_weights(x[:, use], y)
+            w = fit_weights(tied[:, use], y)
             negative = np.array(w[1:]) < 0
             if not negative.any():
                 break
             use[np.flatnonzero(use)[negative]] = False
-        weights = np.zeros(N_FEATURES)
+        weights = np.zeros(TIED.shape[1])
         weights[use] = w[1:]
-        model.weights = [w[0], *weights.tolist()]
+        model.weights = [w[0], *(TIED @ weights).tolist()]
     return model
 
 
