@@ -242,7 +242,7 @@ def _lower(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text"))
 
 
-def learn_lexicon(texts: DataFrame, n_toxic: int, purity: float = 0.9) -> Lexicon:
+def learn_lexicon(texts: DataFrame, n: int, n_toxic: int, purity: float = 0.9) -> Lexicon:
     """texts: doc_id, text (lower case), toxic. Entries that at least a few toxic documents and hardly others have."""
     least = max(4, n_toxic // 60)
     text = F.col("text")
@@ -260,7 +260,8 @@ def learn_lexicon(texts: DataFrame, n_toxic: int, purity: float = 0.9) -> Lexico
         if not any(s.startswith(x) for x in stems):
             stems.append(s)
     lexicon = Lexicon([r.w for r in whole if not any(r.w.startswith(s) for s in stems)], stems)
-    lexicon = exact_where_ordinary(lexicon, seen.where(F.col("t") < purity * F.col("n")))
+    # Ordinary words are no commoner in toxic documents than in all; an entry that clean texts quote is not one.
+    lexicon = exact_where_ordinary(lexicon, seen.where(F.col("t") * n <= F.col("n") * n_toxic))
     seen.unpersist()
     return lexicon
 
@@ -302,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     n, n_toxic = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not n_toxic:
         return Model(Lexicon([], []))
-    lexicon = learn_lexicon(texts, n_toxic)
+    lexicon = learn_lexicon(texts, n, n_toxic)
 
     def run(batches):
         for b in pieces(batches, 1):
