@@ -69,11 +69,11 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of some texts: data (lower-cased bytes), start, end (places in data), doc (row), hash, first (by row, into the words)."""
+    """Words of some texts: data (bytes, A-Z lower-cased if so asked), start, end (places in data), doc (row), hash, first (by row, into the words)."""
 
-    def __init__(self, column: pa.Array, kind: np.ndarray):
+    def __init__(self, column: pa.Array, kind: np.ndarray, lower: bool = True):
         raw, at = text_buffer(column)
-        self.data = _LOWER[raw]
+        self.data = _LOWER[raw] if lower else raw
         n, rows = len(raw), len(at) - 1
         inside = kind[self.data]
         before, after = np.empty(n, bool), np.empty(n, bool)
