@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decision_list, decontaminate, jaccard_join, mixing, prefix_bpe, substring_dedup, tool_calls, toxicity, warc_derivatives, wordpiece_counts
+from . import bitplanes, decision_list, decontaminate, hard_negatives, impact_search, jaccard_join, mixing, prefix_bpe, substring_dedup, tool_calls, toxicity, warc_derivatives, wordpiece_counts
 
 QUERIES = {
     "op1_context_mixing": mixing.op1,
@@ -15,11 +15,16 @@ QUERIES = {
     "op8_prefix_bpe": prefix_bpe.op8,
     "op9_jaccard_fragments": jaccard_join.op9,
     "op10_longest_match_counts": wordpiece_counts.op10,
+    "op11_impact_ordered": impact_search.op11,
     "op12_level_doubling": substring_dedup.op12,
+    "op13_score_sort": hard_negatives.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_derivatives": warc_derivatives.OP2_SQL,
     "op5_suffix_decontamination": decontaminate.OP5_SQL,
+    "op11_impact_ordered": impact_search.op11,
+    "op11_impact_ordered": impact_search.OP11_SQL,
     "op12_level_doubling": substring_dedup.OP12_SQL,
+    "op13_score_sort": hard_negatives.OP13_SQL,
 }
