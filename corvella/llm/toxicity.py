@@ -16,7 +16,8 @@ all words of three letters or more, and all beginnings of four to seven letters,
 are matched. Letters are lower-cased by Spark, for all uses alike.
 
 Rows: null and empty texts have no hits and get the score of a text without hits; equal texts get equal
-scores; without labels, or without toxic ones, every score is the prior (0 with no labels).
+scores; a doc_id with several labels is toxic if one says so; without labels, or without toxic ones, every score is the prior
+(0 with no labels).
 """
 
 from __future__ import annotations
@@ -269,7 +270,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    marks = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.where(crc32_mod(F.col("doc_id"), 3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = _lower(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).join(F.broadcast(marks), "doc_id")
     n, n_toxic = texts.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()

@@ -54,26 +54,6 @@ def test_toxicity_stage_agrees_with_the_scores(spark, tmp_path):
     assert kept == want and 0 < len(kept) < docs.count()
 
 
-def test_ordinary_words_are_no_misspellings(spark):
-    lexicon = toxicity.Lexicon(["blockhead", "moron"], [])
-    near = spark.createDataFrame([("moran",), ("moon",), ("morons",), ("blockheap",), ("house",), ("",), (None,)], "w string").where("w is not null")
-    got = toxicity.exact_where_ordinary(lexicon, near)
-    assert got.strict == {"moron"} and got.ordinary == {"blockheap"}
-    assert got.match("moron") == (0, 0) and got.match("morom") is None
-    assert got.match("blockhaed") is None and got.match("blokhead") == (0, 1) and got.match("blockheap") is None
-    assert toxicity.exact_where_ordinary(lexicon, near.where("false")).match("morom") == (0, 1)
-
-
-def test_misspellings_weigh_as_much_as_entries(spark):
-    model = toxicity.fit(*toxic_corpus(spark, 200))
-    weights = model.weights[1:]
-    assert weights[0] == weights[1] > 0 and weights[2] == weights[3]
-    loose = next(w for w in model.lexicon.words if model.lexicon.allowed(w) and "q" not in w)
-    filler = "zz " * 40
-    entry, misspelt, none = model.scores(toxicity.numbers(model.lexicon, pa.array([filler + loose, filler + loose[:-1] + "q", filler])))
-    assert entry == misspelt > none
-
-
 def test_toxicity_matches_long_words():
     assert quoted_hits("nitwit" + "x" * 100, "\u0436" * 40, "x" * 100) == [(1, 0), (1, 0), (0, 0)]
 
