@@ -7,7 +7,7 @@ and start again. Rules that are not pure enough on the held back rows end the se
 by DataFrame aggregations; the driver sees only counts per statistic and threshold.
 
 Rows: a null or empty text has no words and fails the base rule; statistics are never null; equal rows get
-equal verdicts; with no labelled rows the list is empty and keeps all that passes the base rule.
+equal verdicts; a doc_id with several labels is bad if one says so; with no labelled rows the list is empty and keeps all that passes the base rule.
 """
 
 from __future__ import annotations
@@ -173,7 +173,7 @@ def _with_features(stats: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[list[Condition]]:
     """Learns the list from at most sample_rows labelled documents."""
-    marks = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (1 - F.col("quality").cast("int")).alias("bad")).dropDuplicates(["doc_id"])
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min(F.col("quality").cast("int"))).alias("bad"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
     # Statistics are written before any filter on them: a filter pushed below would repeat their expressions.
@@ -193,7 +193,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose text fails the base rule or meets a learned rule; of rows with one doc_id all stay if one may."""
+    """Drops the rows whose own text fails the base rule or meets a learned rule; rows are told apart by doc_id and text."""
     rules = fit(docs, table(spark, sf_dir, "labels"))
-    kept = stored(judged(docs, rules), "judged").where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    kept = stored(judged(docs.select(key.alias("doc_id"), "text"), rules), "judged").where("kept").select(F.col("doc_id").alias("__key")).distinct()
+    return docs.join(kept, key == F.col("__key"), "left_semi")
