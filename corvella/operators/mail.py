@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import attachment_id, embedding_id
 from . import tables
+from .embedding import in_order, timed
 
 Fetcher = Callable[[str], tuple[int, bytes]]
 
 
-def fetch(rows: DataFrame, fetcher: Fetcher, url: str = "url", at_once: int = 8) -> DataFrame:
-    """rows with content and fetch_error. Only an answer of 200 gives content; another status, or an error of the fetcher,
-    is the row's error. Null and empty urls are not fetched and are errors. At most at_once answers are held at a time."""
+def fetch(rows: DataFrame, fetcher: Fetcher, url: str = "url", at_once: int = 8, timeout: float | None = 30.0) -> DataFrame:
+    """rows with content and fetch_error. Only an answer of 200 gives content; another status, an error of the fetcher, or no
+    answer within timeout seconds is the row's error. Null and empty urls are not fetched and are errors. A task has at most
+    at_once fetches in flight and holds twice as many answers; rows keep their order."""
     kept = rows.drop("content", "fetch_error")
     schema = kept.withColumns({"content": F.lit(None).cast("binary"), "fetch_error": F.lit(None).cast("string")}).schema
 
@@ -24,18 +26,15 @@ def fetch(rows: DataFrame, fetcher: Fetcher, url: str = "url", at_once: int = 8)
         if not address:
             return None, "no download url"
         try:
-            status, body = fetcher(address)
+            status, body = timed(lambda: fetcher(address), timeout)
         except Exception as e:  # any error of the service is the row's error
             return None, str(e)
         return (body, None) if status == 200 else (None, f"HTTP {status}")
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in records:
-            for at in range(0, record.num_rows, at_once):
-                part = record.slice(at, at_once)
-                got = [one(u) for u in part.column(url).to_pylist()]
-                added = [pa.array([c for c, _ in got], pa.binary()), pa.array([e for _, e in got], pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "content", "fetch_error"])
+        single = ((record.slice(at, 1), u) for record in records for at, u in enumerate(record.column(url).to_pylist()))
+        for (part, _), (content, error) in in_order(single, lambda x: one(x[1]), at_once):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[*part.schema.names, "content", "fetch_error"])
 
     return kept.mapInArrow(run, schema)
 
