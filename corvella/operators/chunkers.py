@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import base64
 import re
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Options
 from ..functions.scalars import ABBREVIATIONS, BOUNDARIES, chunk_id
+from .embedding import Embedder, embed_texts
 
 Chunk = tuple[str, int, int]
+#: Entities and topics of each of some sentences.
+Annotator = Callable[[list[str]], Sequence[tuple[set[str], set[str]]]]
+# Characters before which a window of characters may end.
 _CUT = set(" \n\t.,!?;:")
-_TOKEN = re.compile(r"\w+|[^\w\s]|\s+")
+_TOKEN = re.compile(r"\w+|[^\w \t\n\x0b\f\r]|[ \t\n\x0b\f\r]+")
 _BOUNDARY = re.compile("|".join(f"(?:{b})" for b in BOUNDARIES))
+# Where the recursive strategy cuts, from the coarsest to the finest.
 SEPARATORS = ["\n\n\n", "\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", ""]
 _GAP = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 _ABBREVIATION = re.compile(rf"\b(?:{ABBREVIATIONS})\.\Z")
@@ -37,16 +44,73 @@ def character(text: str, size: int = 1200, overlap: int = 300) -> Iterator[Chunk
         at = end - overlap if end - overlap > at else end
 
 
-def token(text: str, size: int = 500, overlap: int = 50) -> Iterator[Chunk]:
-    """Windows of tokens; the last is the one that reaches the end."""
+def token(text: str, size: int = 500, overlap: int = 50) -> Iterator[tuple[str, int, int, int]]:
+    """Windows of words, marks and runs of white space, with their number; the last is the one that reaches the end."""
     spans = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     at = 0
     while at < len(spans):
         end = min(at + size, len(spans))
-        yield text[spans[at][0] : spans[end - 1][1]], spans[at][0], spans[end - 1][1]
+        yield text[spans[at][0] : spans[end - 1][1]], spans[at][0], spans[end - 1][1], end - at
         if end == len(spans):
             return
-        at = end - overlap
+        at = max(at + 1, end - overlap)
+
+
+# The published pattern that cuts a text before byte pairs are merged.
+BPE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Vocabulary:
+    """A byte-pair vocabulary of lines 'base64 of the token, rank', read where it is made and sent to the tasks."""
+
+    def __init__(self, path: str, pattern: str = BPE_PATTERN):
+        with open(path, "rb") as f:
+            self.lines = f.read()
+        self.pattern, self.name = pattern, path
+
+    def encoding(self):
+        """Of tiktoken; a worker makes it once."""
+        import tiktoken
+
+        key = (hash(self.lines), self.pattern)
+        if key not in _encodings:
+            ranks = {base64.b64decode(t): int(n) for t, n in map(bytes.split, self.lines.splitlines())}
+            _encodings[key] = tiktoken.Encoding(self.name, pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return _encodings[key]
+
+
+_encodings: dict = {}
+
+
+def bpe(text: str, vocabulary: Vocabulary, size: int = 500, overlap: int = 50) -> Iterator[tuple[str, int, int, int]]:
+    """Windows of at most size byte-pair tokens, with their number; no cut splits a character.
+
+    Where a window would end or begin within a character, it does so at the last token before that begins one; a window
+    whose every token ends within one character goes on to its end."""
+    encoding = vocabulary.encoding()
+    ids = encoding.encode_ordinary(text)
+    ends = np.cumsum([0, *(len(t) for t in encoding.decode_tokens_bytes(ids))])
+    data = np.frombuffer(text.encode(), np.uint8)
+    begins = np.append((data & 0xC0) != 0x80, True)  # a character, or the end
+    character_at = np.concatenate([[0], np.cumsum(begins[:-1])])
+    whole = begins[ends]
+    at = 0
+    while at < len(ids):
+        end = min(at + size, len(ids))
+        while end > at and not whole[end]:
+            end -= 1
+        if end == at:
+            end = min(at + size, len(ids))
+            while not whole[end]:
+                end += 1
+        a, b = int(character_at[ends[at]]), int(character_at[ends[end]])
+        yield text[a:b], a, b, end - at
+        if end == len(ids):
+            return
+        begin = end - overlap
+        while begin > at and not whole[begin]:
+            begin -= 1
+        at = begin if begin > at else end
 
 
 def tail(text: str, n: int, only_first_half: bool = False) -> str:
@@ -143,30 +207,43 @@ def careful_sentences(text: str) -> list[str]:
     return [s for s in (*out, text[at:].strip()) if s]
 
 
-def hashed_vector(text: str, dim: int = 64) -> np.ndarray:
-    """A bag of words by hash, of length one; the default embedder."""
-    import zlib
-
-    v = np.zeros(dim)
-    for w in re.findall(r"\w+", text.lower()):
-        h = zlib.crc32(w.encode())
-        v[h % dim] += 1 if h & 0x80000000 else -1
-    n = np.linalg.norm(v)
-    return v / n if n else v
+def hashed_vectors(texts: list[str], dim: int = 64) -> np.ndarray:
+    """Bags of words by hash, of length one; the default embedder."""
+    codes: dict[str, tuple[int, float]] = {}
+    slots, signs = [], []
+    for row, text in enumerate(texts):
+        for w in re.findall(r"\w+", text.lower()):
+            if w not in codes:
+                h = zlib.crc32(w.encode())
+                codes[w] = h % dim, 1.0 if h & 0x80000000 else -1.0
+            slot, sign = codes[w]
+            slots.append(row * dim + slot)
+            signs.append(sign)
+    v = np.bincount(np.array(slots, np.int64), np.array(signs), len(texts) * dim).reshape(len(texts), dim)
+    n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(n == 0, 1.0, n)
+
+
+def sentence_vectors(sentences: list[str], embedder: Embedder | None, **calls) -> np.ndarray:
+    """A row for each sentence; those that the embedder fails on have zeros, which are like nothing."""
+    if embedder is None:
+        return hashed_vectors(sentences)
+    found = [v for v, *_ in embed_texts(sentences, embedder, **calls)]
+    size = max((len(v) for v in found if v is not None), default=1)
+    return np.array([v if v is not None else [0.0] * size for v in found], float).reshape(len(found), size)
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> float:
-    n = np.linalg.norm(a) * np.linalg.norm(b)
+    n = np.sqrt(a @ a) * np.sqrt(b @ b)
     return float(a @ b / n) if n else 0.0
 
 
-def embedding(text: str, most: int = 1500, least: int = 400, threshold: float = 0.8, embed: Callable[[str], np.ndarray] = hashed_vector) -> Iterator[Chunk]:
+def join_alike(sentences: list[str], vectors: np.ndarray, most: int = 1500, least: int = 400, threshold: float = 0.8) -> Iterator[Chunk]:
     """Joins sentences while they are like the running mean of the chunk and fit; drops what stays under least."""
     held: list[str] = []
     size = at = 0
     mean = np.zeros(1)
-    for s in careful_sentences(text):
-        v = embed(s)
+    for s, v in zip(sentences, vectors, strict=True):
         if held and size + len(s) <= most and _cosine(mean, v) >= threshold:
             held.append(s)
             size += len(s)
@@ -180,41 +257,105 @@ def embedding(text: str, most: int = 1500, least: int = 400, threshold: float =
         yield " ".join(held), at, at + size
 
 
-def annotate(sentence: str) -> tuple[set[str], set[str]]:
-    """(entities, topics): runs of capitalised words; longer lower-case words. Stands in for a language model."""
-    entities = set(re.findall(r"(?:[A-Z]\w+)(?: [A-Z]\w+){0,2}", sentence))
-    return entities, {w for w in re.findall(r"[^\W\d_]{3,}", sentence.lower())}
+# What is no entity.
+NO_ENTITIES = frozenset({"the", "a", "an", "this", "that", "these", "those"})
+#: Common words that are no topic; a parameter of capitals.
+NO_TOPICS = frozenset("the and for are was were with from that this these those has have had not but its his her their they them you your our who which what when where will would can could may into onto over under than then there here also been being".split())
+
+
+def capitals(no_entities: frozenset[str] = NO_ENTITIES, no_topics: frozenset[str] = NO_TOPICS) -> Annotator:
+    """The default annotator, in the place of a language model: runs of up to three capitalised words; words of three letters or more."""
+
+    def annotate(sentences: list[str]) -> list[tuple[set[str], set[str]]]:
+        out = []
+        for s in sentences:
+            entities = {e.lower() for e in re.findall(r"[A-Z]\w+(?: [A-Z]\w+){0,2}", s)}
+            out.append((entities - no_entities, set(re.findall(r"[^\W\d_]{3,}", s.lower())) - no_topics))
+        return out
 
+    return annotate
 
-def linguistic(text: str, most: int = 2000, least: int = 500, threshold: float = 0.5, embed: Callable[[str], np.ndarray] = hashed_vector) -> Iterator[Chunk]:
-    """Splits where the topic changes (once least is reached) or most would be passed; drops nothing."""
+
+def join_topics(sentences: list[str], vectors: np.ndarray, notes: Sequence[tuple[set[str], set[str]]], most: int = 2000, least: int = 500, threshold: float = 0.5) -> Iterator[tuple[str, int, int, list[str], list[str]]]:
+    """Splits where the topic changes (once least is reached) or most would be passed; drops nothing. With entities and topics of each chunk."""
     held: list[str] = []
     size = at = 0
     entities: set[str] = set()
     topics: set[str] = set()
     mean = np.zeros(1)
-    share = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
-    for s in careful_sentences(text):
-        e, t = annotate(s)
-        v = embed(s)
-        if held:
+    share = lambda a, b: len(a & b) / len(a | b) if a or b else 0.0
+    for s, v, (e, t) in zip(sentences, vectors, notes, strict=True):
+        if held and size + len(s) > most:
+            split = True
+        elif held and size >= least:
             cos, es, ts = _cosine(mean, v), share(entities, e), share(topics, t)
-            like = 0.5 * cos + 0.25 * es + 0.25 * ts if cos > 0 else 0.5 * es + 0.5 * ts
-            if size + len(s) > most or (like < threshold and size >= least):
-                yield " ".join(held), at, at + size
-                at += size
-                held, size, entities, topics = [], 0, set(), set()
+            split = (0.5 * cos + 0.25 * es + 0.25 * ts if cos > 0 else 0.5 * es + 0.5 * ts) < threshold
+        else:
+            split = False
+        if split:
+            yield " ".join(held), at, at + size, sorted(entities), sorted(topics)
+            at += size
+            held, size, entities, topics = [], 0, set(), set()
         held.append(s)
         size += len(s)
         entities |= e
         topics |= t
         mean = v if len(held) == 1 else mean * ((len(held) - 1) / len(held)) + v / len(held)
     if held:
-        yield " ".join(held), at, at + size
+        yield " ".join(held), at, at + size, sorted(entities), sorted(topics)
+
+
+#: Sentences that are embedded and annotated together, those of one text at least.
+TOGETHER = 4096
+
 
+def _by_sentences(texts: list[str], fold: Callable[[list[str], np.ndarray, Sequence], Iterator], embedder: Embedder | None, annotator: Annotator | None, calls: dict) -> Iterator[list]:
+    """The chunks of each text, in two phases: the sentences of many texts are embedded together, then each text is folded over."""
 
-STRATEGIES: dict[str, Callable[[str], Iterator[Chunk]]] = {"character": character, "token": token, "semantic": semantic, "recursive_semantic": recursive, "embedding_semantic": embedding, "linguistic": linguistic}
-_FIELDS = pa.list_(pa.struct([("chunk_index", pa.int64()), ("text_content", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())]))
+    def folded(group: list[list[str]]) -> Iterator[list]:
+        every = [s for sentences in group for s in sentences]
+        vectors = sentence_vectors(every, embedder, **calls)
+        notes = annotator(every) if annotator else every
+        at = 0
+        for sentences in group:
+            end = at + len(sentences)
+            yield list(fold(sentences, vectors[at:end], notes[at:end]))
+            at = end
+
+    group: list[list[str]] = []
+    held = 0
+    for text in texts:
+        group.append(careful_sentences(text))
+        held += len(group[-1])
+        if held >= TOGETHER:
+            yield from folded(group)
+            group, held = [], 0
+    yield from folded(group)
+
+
+def embedding(texts: list[str], embedder: Embedder | None = None, calls: dict | None = None, **sizes) -> Iterator[list[Chunk]]:
+    """join_alike over each text. embedder: a batch embedder that may fail; calls: how embed_texts calls it."""
+    return _by_sentences(texts, lambda s, v, _: join_alike(s, v, **sizes), embedder, None, calls or {})
+
+
+def linguistic(texts: list[str], embedder: Embedder | None = None, annotator: Annotator | None = None, calls: dict | None = None, **sizes) -> Iterator[list[tuple[str, int, int, list[str], list[str]]]]:
+    """join_topics over each text."""
+    return _by_sentences(texts, lambda s, v, n: join_topics(s, v, n, **sizes), embedder, annotator or capitals(), calls or {})
+
+
+def _each(cut: Callable) -> Callable:
+    return lambda texts, **options: (list(cut(t, **options)) for t in texts)
+
+
+def _tokens(texts: list[str], vocabulary: Vocabulary | None = None, **options) -> Iterator[list]:
+    return (list(token(t, **options) if vocabulary is None else bpe(t, vocabulary, **options)) for t in texts)
+
+
+#: Chunks of each of some texts.
+STRATEGIES: dict[str, Callable[..., Iterator[list]]] = {"character": _each(character), "token": _tokens, "semantic": _each(semantic), "recursive_semantic": _each(recursive), "embedding_semantic": embedding, "linguistic": linguistic}
+_FIELDS = [("chunk_index", pa.int64()), ("text_content", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())]
+_MORE = {"token": [("token_count", pa.int64())], "linguistic": [("entities", pa.list_(pa.string())), ("topics", pa.list_(pa.string()))]}
+_SQL = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.string()): "array<string>"}
 
 
 def sizes(options: Options, strategy: str) -> dict[str, float]:
@@ -232,33 +373,74 @@ def _known(strategy: str) -> str:
 
 
 def _cutter(strategy: str, options: dict):
-    cut = STRATEGIES[strategy]
+    cut, fields = STRATEGIES[strategy], _FIELDS + _MORE.get(strategy, [])
+    kind = pa.list_(pa.struct(fields))
 
-    @F.arrow_udf("array<struct<chunk_index:long,text_content:string,char_start:long,char_end:long>>")
+    @F.arrow_udf(f"array<struct<{','.join(f'{n}:{_SQL[t]}' for n, t in fields)}>>")
     def cutter(texts: pa.Array) -> pa.Array:
-        return pa.array([[(i, *c) for i, c in enumerate(cut(t or "", **options))] for t in texts.to_pylist()], _FIELDS)
+        return pa.array([[(i, *c) for i, c in enumerate(chunks)] for chunks in cut([t or "" for t in texts.to_pylist()], **options)], kind)
 
     return cutter
 
 
 def chunk(docs: DataFrame, strategy: str = "character", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """key, chunk_index, text_content, char_start, char_end, chunk_id. Unknown strategies mean character; null texts give no rows."""
+    """key, chunk_index, text_content, char_start, char_end, chunk_id; token_count of token chunks, entities and topics of linguistic ones.
+
+    Options are the sizes of the strategy, and embedder, annotator, calls or vocabulary where it has them. Unknown strategies
+    mean character; null texts give no rows."""
     name = _known(strategy)
     rows = docs.select(F.col(key), F.inline(_cutter(name, options)(F.col(text))))
     return rows.withColumn("chunk_id", chunk_id(F.col(key).cast("string"), name, F.col("chunk_index")))
 
 
 def chunk_arrays(docs: DataFrame, strategy: str = "character", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """key and the array of a text's chunks, empty for null texts: for statistics of a text without a shuffle."""
+    """key, n_chars and the array of a text's chunks, empty for null texts: for statistics of a text without a shuffle."""
     cutter = _cutter(_known(strategy), options).asNondeterministic()  # not evaluated again for a filter on its result
-    return docs.select(F.col(key), cutter(F.col(text)).alias("chunks"))
+    return docs.select(F.col(key), F.length(F.col(text)).cast("long").alias("n_chars"), cutter(F.col(text)).alias("chunks"))
+
+
+def with_metadata(chunks: DataFrame, strategy: str, options: Options, **more: Column) -> DataFrame:
+    """chunks with chunk_metadata: strategy, size, token count and the sizes asked for, and what more names; later keys win."""
+    fixed = {"chunking_strategy": F.lit(_known(strategy)), "chunk_size": F.length("text_content")}
+    if "token_count" in chunks.columns:
+        fixed["token_count"] = F.col("token_count")
+    if "entities" in chunks.columns:
+        fixed |= {"entity_count": F.size("entities"), "topic_count": F.size("topics")}
+    fixed |= {f"{k}_config": F.lit(v) for k, v in sizes(options, strategy).items()}
+    return chunks.withColumn("chunk_metadata", F.create_map(*[x for k, v in (fixed | more).items() for x in (F.lit(k), v.cast("string"))]))
+
+
+def _gone_over(spans: Column, n: Column) -> Column:
+    """struct of covered (overlaps count twice), spanned (once), last_end and the lost ranges of a text of n characters."""
+    kind = "struct<covered:long,spanned:long,last_end:long,lost:array<struct<start:long,end:long>>>"
+    zero = F.from_json(F.lit('{"covered":0,"spanned":0,"last_end":0,"lost":[]}'), kind)
+
+    def gap(a: Column, b: Column) -> Column:
+        return F.when(b > a, F.array(F.struct(a.alias("start"), b.alias("end")))).otherwise(F.array().cast("array<struct<start:long,end:long>>"))
+
+    def step(s: Column, x: Column) -> Column:
+        fresh = F.greatest(x["char_end"] - F.greatest(x["char_start"], s["last_end"]), F.lit(0).cast("long"))
+        return F.struct((s["covered"] + x["char_end"] - x["char_start"]).alias("covered"), (s["spanned"] + fresh).alias("spanned"), F.greatest(s["last_end"], x["char_end"]).alias("last_end"), F.concat(s["lost"], gap(s["last_end"], x["char_start"])).alias("lost"))
+
+    last = lambda s: F.struct(s["covered"], s["spanned"], s["last_end"], F.concat(s["lost"], gap(s["last_end"], n)).alias("lost"))
+    return F.aggregate(F.array_sort(spans), zero, lambda s, x: step(s, x).cast(kind), last)
+
+
+def _covered(rows: DataFrame, key: str) -> DataFrame:
+    """From key, n_chars and spans."""
+    none = F.array().cast("array<struct<char_start:long,char_end:long>>")
+    found = rows.select(key, "n_chars", _gone_over(F.coalesce("spans", none), F.coalesce("n_chars", F.lit(0).cast("long"))).alias("c"))
+    return found.select(key, "n_chars", "c.covered", "c.spanned", "c.last_end", "c.lost").withColumn("lossy", F.col("spanned") < 0.95 * F.col("n_chars"))
+
+
+def coverage_of(arrays: DataFrame, key: str = "doc_id", keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """coverage from the rows of chunk_arrays, without a shuffle; keep: which chunks count."""
+    chunks = F.col("chunks") if keep is None else F.filter("chunks", keep)
+    span = lambda c: F.struct(c["char_start"].alias("char_start"), c["char_end"].alias("char_end"))
+    return _covered(arrays.select(key, "n_chars", F.transform(chunks, span).alias("spans")), key)
 
 
 def coverage(chunks: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Characters of each text in chunks (covered counts overlaps twice, spanned once), and whether over a twentieth is in none."""
-    before = F.max("char_end").over(Window.partitionBy(key).orderBy("char_start", "char_end").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.greatest(F.col("char_end") - F.greatest(F.col("char_start"), F.coalesce(before, F.lit(0))), F.lit(0))
-    spans = chunks.select(key, "char_start", "char_end", fresh.alias("fresh")).groupBy(key).agg(F.sum(F.col("char_end") - F.col("char_start")).alias("covered"), F.sum("fresh").alias("spanned"), F.max("char_end").alias("last_end"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    n = F.length(F.col(text)).cast("long")
-    return docs.select(key, n.alias("n_chars")).join(spans, key, "left").select(key, "n_chars", zero("covered").alias("covered"), zero("spanned").alias("spanned"), zero("last_end").alias("last_end"), (zero("spanned") < 0.95 * F.col("n_chars")).alias("lossy"))
+    """Per text: characters in chunks (covered counts overlaps twice, spanned once), the last end, the lost ranges, whether over a twentieth is lost."""
+    spans = chunks.groupBy(key).agg(F.collect_list(F.struct(F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))).alias("spans"))
+    return _covered(docs.select(key, F.length(F.col(text)).cast("long").alias("n_chars")).join(spans, key, "left"), key)

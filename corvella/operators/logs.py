@@ -54,6 +54,17 @@ def history(log: DataFrame) -> DataFrame:
     return log.groupBy("log_id", "kind", "key").agg(F.transform(steps, lambda s: s["status"]).alias("states"))
 
 
+def email_started(events: DataFrame, at: Column, key: str = "event_id", mails: str = "mails") -> DataFrame:
+    """The start of an e-mail event, with the number of its mails (an array); null and empty arrays count 0."""
+    return started(events, "email", key, at, email_count=F.greatest(F.coalesce(F.size(mails), F.lit(0)), F.lit(0)))
+
+
+def email_stats(log: DataFrame) -> DataFrame:
+    """Per state of e-mail events: how many, and their mails."""
+    mails = log.where("kind = 'email'").groupBy("log_id").agg(F.max(F.col("details")["email_count"].cast("long")).alias("mails"))
+    return current(log.where("kind = 'email'")).join(mails, "log_id").groupBy("status").agg(F.count("*").alias("n"), F.sum(F.coalesce("mails", F.lit(0))).alias("emails"))
+
+
 def batch_stats(log: DataFrame) -> DataFrame:
     """Per state of batches: how many, rows they processed, mean seconds from start to end."""
     processed = log.groupBy("log_id").agg(F.max(F.col("details")["processed_count"].cast("long")).alias("processed"))

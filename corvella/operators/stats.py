@@ -32,6 +32,23 @@ def health(logs: DataFrame, since) -> DataFrame:
     return out.withColumn("health", F.when(F.col("completed") > 0, "healthy").otherwise("degraded"))
 
 
+def health_windows(logs: DataFrame, window: str = "5 minutes", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+    """health of each group in sliding windows of event time, for a stream (update mode) as for a table; a window that saw nothing completed is degraded.
+
+    What is later than delay is dropped by the watermark of a stream."""
+    w = F.window("started_at", window, slide)
+    st = F.col("status")
+    out = logs.withWatermark("started_at", delay).groupBy(w.alias("w"), "group_id").agg(F.max("event_id").alias("last_event"), F.count("*").alias("total"), F.count_if(st == "completed").alias("completed"), F.count_if(st == "failed").alias("failed"))
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "group_id", "last_event", "total", "completed", "failed", F.when(F.col("completed") > 0, "healthy").otherwise("degraded").alias("health"))
+
+
+def silent(windows: DataFrame) -> DataFrame:
+    """Each group as of the newest window of all: its own last window, and whether it is healthy there; degraded too if it has gone silent."""
+    last = windows.groupBy("group_id").agg(F.max("window_end").alias("last_seen"), F.max_by("health", "window_end").alias("health"))
+    gone = F.col("last_seen") < windows.agg(F.max("window_end")).scalar()
+    return last.select("group_id", "last_seen", gone.alias("silent"), F.when(gone, "degraded").otherwise(F.col("health")).alias("health"))
+
+
 def newest(logs: DataFrame, n: int = 100) -> DataFrame:
     return logs.orderBy(F.desc("started_at"), "event_id").limit(n)
 

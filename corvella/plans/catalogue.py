@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Options
 from ..functions import scalars as S
 from ..operators import chunkers as C
-from ..operators import stats, tables, vectors
+from ..operators import stats, tables, vector_index, vectors
 from ..sources.files import table
+from ..sources.streams import shared_folder
 from ..streaming import microbatch
 from . import pipelines
 
@@ -60,9 +62,37 @@ def chunk_character_stats(spark, d):
     return a.select("doc_id", F.size("n").cast("long").alias("n_chunks"), total.alias("sum_chars"), F.array_min("n").alias("min_chars"), F.array_max("n").alias("max_chars"), F.round(total / F.size("n"), 6).alias("avg_chars"))
 
 
-@query(CHARACTER + "SELECT doc_id, cast(length(text) AS bigint) AS n_chars, cast(coalesce(c, 0) AS bigint) AS covered, cast(coalesce(s, 0) AS bigint) AS spanned, coalesce(m, 0) AS last_end, coalesce(s, 0) < 0.95 * length(text) AS lossy FROM documents LEFT JOIN (SELECT doc_id, sum(char_end - char_start) AS c, sum(greatest(char_end - greatest(char_start, coalesce(b, 0)), 0)) AS s, max(char_end) AS m FROM (SELECT *, max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, char_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM chunks) GROUP BY doc_id) USING (doc_id)")
+def _coverage_sql(ctes: str, spans: str) -> str:
+    """Coverage of the spans (doc_id, char_start, char_end), with the lost ranges as text."""
+    return ctes + f""", spans AS ({spans}), m AS (SELECT *, coalesce(max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, char_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM spans),
+ ends AS (SELECT doc_id, cast(length(text) AS bigint) AS n, coalesce((SELECT max(char_end) FROM spans s WHERE s.doc_id = d.doc_id), 0) AS e FROM documents d),
+ gaps AS (SELECT doc_id, b AS x, char_start AS y FROM m WHERE char_start > b UNION ALL SELECT doc_id, e, n FROM ends WHERE n > e),
+ lost AS (SELECT doc_id, string_agg(x || '-' || y, ',' ORDER BY x) AS t FROM gaps GROUP BY doc_id),
+ sums AS (SELECT doc_id, cast(sum(char_end - char_start) AS bigint) AS c, cast(sum(greatest(char_end - greatest(char_start, b), 0)) AS bigint) AS s FROM m GROUP BY doc_id)
+ SELECT doc_id, n AS n_chars, coalesce(c, 0) AS covered, coalesce(s, 0) AS spanned, e AS last_end, coalesce(s, 0) < 0.95 * n AS lossy, coalesce(t, '') AS lost FROM ends LEFT JOIN sums USING (doc_id) LEFT JOIN lost USING (doc_id)"""
+
+
+def _as_text(covered: DataFrame) -> DataFrame:
+    return covered.withColumn("lost", F.array_join(F.transform("lost", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ","))
+
+
+@query(_coverage_sql(CHARACTER, "SELECT doc_id, char_start, char_end FROM chunks"))
 def chunk_coverage(spark, d):
-    return C.coverage(C.chunk(docs(spark, d)), docs(spark, d))
+    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d))))
+
+
+@query(_coverage_sql(CHARACTER, "SELECT doc_id, char_start, char_end FROM chunks WHERE chunk_index % 3 <> 1"))
+def chunk_coverage_lost(spark, d):
+    """What is lost where every third chunk is."""
+    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d)), keep=lambda c: c["chunk_index"] % 3 != 1))
+
+
+@query(CHARACTER + "SELECT doc_id, chunk_index, 'character' AS strategy, length(text_content)::varchar AS chunk_size, '1200' AS size_config, '300' AS overlap_config, source FROM chunks JOIN documents USING (doc_id)")
+def chunk_metadata(spark, d):
+    """The metadata of character chunks, with what the document brings."""
+    t = docs(spark, d)
+    m = C.with_metadata(C.chunk(t.select(F.struct("doc_id", "source").alias("k"), "text"), key="k").select("k.*", "chunk_index", "text_content"), "character", Options(), source=F.col("source"))
+    return m.select("doc_id", "chunk_index", *[F.col("chunk_metadata")[k].alias(n) for k, n in (("chunking_strategy", "strategy"), ("chunk_size", "chunk_size"), ("size_config", "size_config"), ("overlap_config", "overlap_config"), ("source", "source"))])
 
 
 @query("""SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE n // 900 + 1 END AS e_character, CASE WHEN n // 4 = 0 THEN 0 ELSE (n // 4) // 450 + 1 END AS e_token,
@@ -72,15 +102,35 @@ def estimate_chunks_all(spark, d):
     return docs(spark, d).select("doc_id", *[e.cast("long").alias(f"e_{k}") for k, e in S.estimates(F.length("text")).items()])
 
 
-_TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]|\s+"
+_TOKENS = r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]|\s+') AS k FROM documents),
+ w AS (SELECT doc_id, k, unnest(range(0, greatest(len(k) - 50, 1), 450)) AS a FROM t WHERE len(k) > 0),
+ chunks AS (SELECT doc_id, cast(a // 450 AS bigint) AS chunk_index, cast(least(500, len(k) - a) AS bigint) AS token_count, array_to_string(list_slice(k, a + 1, a + 500), '') AS text_content,
+  cast(length(array_to_string(list_slice(k, 1, a), '')) AS bigint) AS char_start, cast(length(array_to_string(list_slice(k, 1, a + 500), '')) AS bigint) AS char_end FROM w) """
 
 
-@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_TOKENS}') AS k FROM documents), w AS (SELECT doc_id, k, unnest(range(0, greatest(len(k) - 50, 1), 450)) AS a FROM t WHERE len(k) > 0)
- SELECT doc_id, cast(a // 450 AS bigint) AS chunk_index, cast(least(500, len(k) - a) AS bigint) AS token_count, array_to_string(list_slice(k, a + 1, a + 500), '') AS text_content FROM w""")
+@query(_TOKENS + "SELECT doc_id, chunk_index, token_count, text_content, char_start, char_end FROM chunks")
 def chunk_token(spark, d):
-    t = docs(spark, d).select("doc_id", F.regexp_extract_all("text", F.lit(_TOKENS), F.lit(0)).alias("k")).where(F.size("k") > 0)
-    w = t.select("doc_id", "k", F.posexplode(F.sequence(F.lit(0), F.greatest(F.size("k") - 51, F.lit(0)), F.lit(450))).alias("chunk_index", "a"))
-    return w.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.least(F.lit(500), F.size("k") - F.col("a")).cast("long").alias("token_count"), F.array_join(F.slice("k", F.col("a") + 1, 500), "").alias("text_content"))
+    return C.chunk(docs(spark, d), "token").select("doc_id", "chunk_index", "token_count", "text_content", "char_start", "char_end")
+
+
+@query(_coverage_sql(_TOKENS, "SELECT doc_id, char_start, char_end FROM chunks WHERE chunk_index % 3 <> 1"))
+def chunk_token_coverage_lost(spark, d):
+    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d), "token"), keep=lambda c: c["chunk_index"] % 3 != 1))
+
+
+def vocabulary(spark) -> C.Vocabulary:
+    """Of spark.corvella.token_vocabulary, or the public one that is installed."""
+    path = Options.of(spark).token_vocabulary
+    if not path:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return C.Vocabulary(path)
+
+
+@query()
+def chunk_token_bpe(spark, d):
+    return C.chunk(docs(spark, d), "token", vocabulary=vocabulary(spark))
 
 
 def _chunks(name):
@@ -163,12 +213,42 @@ def vector_topk_filtered(spark, d):
     return vectors.top_k(table(spark, d, "embeddings").where("label = 3"), _first(spark, d)).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
- SELECT query_id, vec_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS bigint) AS rank FROM s QUALIFY rank <= 10""")
+_EACH = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+ SELECT query_id, vec_id, score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS bigint) AS rank FROM s QUALIFY rank <= 10"""
+
+
+def _asked(spark, d) -> DataFrame:
+    """The stated queries: every hundredth id."""
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query(_EACH)
 def vector_topk_batch(spark, d):
+    return vectors.top_k_each(table(spark, d, "embeddings"), _asked(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _index(spark, d) -> tuple[DataFrame, vector_index.Index]:
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return vectors.top_k_each(e, q).withColumn("rank", F.col("rank").cast("long"))
+    index = vector_index.train(e)
+    return vector_index.build(e, index, shared_folder(spark)), index
+
+
+@query()
+def vector_index_search(spark, d):
+    """The nearest rows by the index; vector_index_recall measures what it misses."""
+    return vector_index.search(*_index(spark, d), _asked(spark, d))
+
+
+@query("SELECT count(*) AS queries, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, d):
+    found = vector_index.search(*_index(spark, d), _asked(spark, d))
+    r = vector_index.recall(found, vectors.top_k_each(table(spark, d, "embeddings"), _asked(spark, d)))
+    return r.select("queries", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+@query(_EACH)
+def vector_index_exact(spark, d):
+    return vector_index.search(*_index(spark, d), _asked(spark, d), exact=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""SELECT vec_id, CASE WHEN list_sum(list_transform(embedding::double[], lambda x: x * x)) = 0 THEN 0.0::double ELSE round(list_cosine_similarity(embedding::double[], q::double[]), 6) END AS score
@@ -444,6 +524,8 @@ def _mail_events(spark, d):
     m = F.struct(
         F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") % 3).cast("string")).alias("id"), F.substring("text", 1, 50).alias("subject"), F.struct(F.struct(F.col("role").alias("address")).alias("emailAddress")).alias("from_address"),
         F.struct(F.col("text").alias("content")).alias("body"), (F.col("turn") == 0).alias("is_read"),
+        F.when(F.col("turn") % 4 == 0, "high").alias("importance"), F.when(F.col("turn") % 2 == 0, F.array("role", F.lit("k"))).alias("keywords"),
+        F.when(F.col("turn") % 3 == 0, F.array(F.struct(F.lit("a").alias("id"), F.concat("role", F.lit(".pdf")).alias("name"), F.length("text").cast("long").alias("size"), F.lit("u").alias("contentLocation")))).alias("attachments"),
     )
     t = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", m.alias("m")))), lambda x: x["m"]).alias("value"))
     return t.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("event_id"), (F.col("conv_id") % 5).cast("string").alias("account_id"), F.struct("value").alias("response_data"))).alias("value"))
@@ -470,4 +552,4 @@ def vector_hydrate(spark, d):
     return F.broadcast(hits).join(docs(spark, d), F.col("doc_id") == F.col("vec_id")).select("vec_id", "score", "lang", "source")
 
 
-from . import flows  # noqa: E402, F401  adds its queries and those of records
+from . import flows  # noqa: E402, F401  adds its queries and those of records and state

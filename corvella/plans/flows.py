@@ -47,7 +47,7 @@ def embed_document_status(spark, d):
 @query()
 def chunk_coverage_all(spark, d):
     t = docs(spark, d)
-    return reduce(DataFrame.unionByName, [chunkers.coverage(chunkers.chunk(t, s), t).withColumn("strategy", F.lit(s)) for s in chunkers.STRATEGIES])
+    return reduce(DataFrame.unionByName, [chunkers.coverage_of(chunkers.chunk_arrays(t, s)).withColumn("strategy", F.lit(s)) for s in chunkers.STRATEGIES])
 
 
 def _event_log(spark, d) -> DataFrame:
@@ -136,4 +136,4 @@ def stream_batch_timeout(spark, d):
     return events_once(spark, d, lambda s: microbatch.closed_batches(s, 5, 48 * 3600, "0 seconds"), microbatch.CLOSED)
 
 
-from . import records  # noqa: E402, F401  adds its queries
+from . import records, state  # noqa: E402, F401  add their queries

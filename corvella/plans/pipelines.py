@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Options
 from ..functions import scalars as S
-from ..operators import chunkers, tables
+from ..operators import chunkers, logs, tables
 
 
 def ingest(uploads: DataFrame, processed: DataFrame, max_bytes: int, strategy: str = "character", options: Options | None = None) -> tuple[DataFrame, DataFrame]:
@@ -38,14 +38,32 @@ def emails(events: DataFrame) -> DataFrame:
     return e.select(
         S.email_document_id(F.col("m.id")).alias("document_id"), F.col("m.id").alias("email_id"), "account_id", "event_id", "pos",
         F.coalesce("m.subject", F.lit("")).alias("subject"), F.coalesce("m.from_address.emailAddress.address", F.lit("")).alias("sender"), F.col("m.received_date_time").alias("received_datetime"),
-        F.coalesce("m.body.content", F.lit("")).alias("content"), F.coalesce("m.is_read", F.lit(False)).alias("is_read"), F.coalesce("m.has_attachments", F.lit(False)).alias("has_attachments"), F.lit("processing").alias("status"),
+        F.coalesce("m.body.content", F.lit("")).alias("content"), F.coalesce("m.is_read", F.lit(False)).alias("is_read"), F.coalesce("m.has_attachments", F.lit(False)).alias("has_attachments"),
+        F.coalesce("m.importance", F.lit("normal")).alias("importance"), F.coalesce("m.keywords", F.array().cast("array<string>")).alias("keywords"), _attachments(F.col("m.attachments")).alias("attachments"), F.lit("processing").alias("status"),
     )
 
 
+def _attachments(a: Column) -> Column:
+    """name, size and url of each, as mail.attachment_rows takes them."""
+    return F.transform(F.coalesce(a, F.array().cast("array<struct<id:string,name:string,contentType:string,size:long,contentLocation:string>>")), lambda x: F.struct(x["name"].alias("name"), x["size"].alias("size"), x["contentLocation"].alias("url")))
+
+
 def process_emails(events: DataFrame, done: DataFrame, batch: int = 20, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Skips completed events, flattens, keeps the first of each e-mail id, batches by account and embeds non-empty bodies."""
+    """Skips completed events, flattens, keeps the first of each e-mail id, batches by account and embeds non-empty bodies.
+
+    embed: adds embedding_status by content, as embedding.embed does. A mail has failed if its embedding has; without embed all are completed."""
     e = emails(events).join(done.select("event_id").distinct(), "event_id", "left_anti")
     e = tables.first_wins(e, "email_id", "event_id", "pos")
     w = Window.partitionBy("account_id").orderBy("event_id", "pos", "email_id")
-    e = e.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / batch)).withColumn("embeds", F.length("content") > 0).withColumn("status", F.lit("completed"))
-    return embed(e) if embed else e
+    e = e.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / batch)).withColumn("embeds", F.length("content") > 0)
+    if embed is None:
+        return e.withColumn("status", F.lit("completed"))
+    return embed(e).withColumn("status", F.when(F.col("embedding_status") == "failed", "failed").otherwise("completed"))
+
+
+def log_emails(events: DataFrame, processed: DataFrame, started: Column, ended: Column) -> DataFrame:
+    """The log of JSON e-mail events: a start with the number of mails; an end, failed if one of its processed mails is, for those that have some."""
+    e = events.select(F.from_json("value", schemas.EMAIL_EVENT).alias("e")).select("e.event_id", F.col("e.response_data.value").alias("mails"))
+    outcome = processed.groupBy("event_id").agg(F.count_if(F.col("status") == "failed").alias("bad"))
+    error = F.when(F.col("bad") > 0, F.concat(F.col("bad").cast("string"), F.lit(" e-mails failed")))
+    return logs.email_started(e, started).unionByName(logs.finished(outcome, "email", "event_id", ended, error))

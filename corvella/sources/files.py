@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.at_rest import Table
 from ..functions.scalars import CONTENT_TYPES, EVENTS, by_extension, decoded, quick_hash, strip
 
 
@@ -25,6 +26,13 @@ def uploads(spark: SparkSession, folder: str, max_bytes: int = 50 * 1024 * 1024,
     )
 
 
+def save(spark: SparkSession, uploads: DataFrame, path: str, version: int, buckets: int = 64) -> list[int]:
+    """Puts uploads with their content into the table at path; a later version of a document takes the place of the earlier one."""
+    table = Table(path, "document_id", uploads.schema, buckets)
+    table.create(spark)
+    return table.change(uploads, version)
+
+
 def markdown_text(files: DataFrame) -> DataFrame:
     return files.select("document_id", decoded(F.col("content")).alias("text"))
 

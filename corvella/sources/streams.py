@@ -19,13 +19,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+#: Files of a micro-batch: what bounds the rows that a task holds of one key.
+FILES = 64
+
+
+def events_stream(spark: SparkSession, folder: str, files: int = FILES) -> DataFrame:
+    """The events table as a stream, at most so many files a micro-batch."""
+    path = f"{folder}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(_glob(path))
+
+
 def events_once(spark: SparkSession, folder: str, transform: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
     """Reads the events table as a stream, runs transform over all that is there, and returns what the sink has."""
-    path = f"{folder}/events.parquet"
-    kind = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(kind).parquet(_glob(path))
     out = shared_folder(spark)
-    once(transform(stream), f"{out}/rows", f"{out}/state")
+    once(transform(events_stream(spark, folder)), f"{out}/rows", f"{out}/state")
     return spark.read.schema(schema).parquet(f"{out}/rows")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OUT = "user_id long, event_id long, batch_no long"
@@ -60,40 +60,75 @@ def stream_batches(events: DataFrame, n: int, wait_seconds: float) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(run, OUT, "no long, count long, first long", "append", GroupStateTimeout.NoTimeout)
 
 
-def closed_batches(events: DataFrame, n: int, wait_seconds: float, delay: str = "10 minutes") -> DataFrame:
-    """Batches of a stream (user_id, event_id, ts) as they close: 'full' at n events, 'timeout' once the wait has passed.
+STATE = "no long, count long, first long, first_id long"
 
-    A timer on event time closes a batch for which no later event comes; delay says how late events may be:
-    later ones are dropped by the watermark, like any at the epoch or before. Batches that are still open when the stream stops stay in the state and are closed by the next run."""
+
+def closed_batches(events: DataFrame, n: int, wait_seconds: float, delay: str = "10 minutes", clock: str = "event") -> DataFrame:
+    """Batches of a stream (user_id, event_id, ts) as they close: 'full' at n events, 'timeout' once the wait has passed, 'shutdown' when told.
+
+    A timer closes a batch for which no later event comes. clock 'event': the wait is counted on ts, and delay says how late events
+    may be: later ones are dropped by the watermark, like any at the epoch or before. clock 'processing': it is counted
+    from the arrival of the first event, on the wall clock. A row whose column closing is true is no event: it closes
+    what is open for its user. Batches that are still open when the stream stops stay in the state: close_open lists them,
+    and the next run goes on with them."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     wait = int(wait_seconds * 1_000_000)
+    wall = clock == "processing"
 
     def run(key, frames, state):
         no, count, first, first_id = tuple(state.get) if state.exists else (0, 0, 0, 0)
         out = []
         if state.hasTimedOut:
-            out.append((key[0], no, count, first_id, "timeout"))
-            no, count = no + 1, 0
+            if count:
+                out.append((key[0], no, count, first_id, "timeout"))
+                no, count = no + 1, 0
         else:
-            rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
-            for t, i in zip(rows["t"].tolist(), rows["event_id"].tolist(), strict=True):
-                if count and t - first >= wait:
+            rows = pd.concat(list(frames)).sort_values(["closing", "t", "event_id"])
+            now = state.getCurrentProcessingTimeMs() * 1000
+            for t, i, closing in zip(rows["t"].tolist(), rows["event_id"].tolist(), rows["closing"].tolist(), strict=True):
+                t = now if wall else t
+                if count and not closing and t - first >= wait:
                     out.append((key[0], no, count, first_id, "timeout"))
                     no, count = no + 1, 0
+                if closing:
+                    if count:
+                        out.append((key[0], no, count, first_id, "shutdown"))
+                        no, count = no + 1, 0
+                    continue
                 if not count:
                     first, first_id = t, i
                 count += 1
                 if count == n:
                     out.append((key[0], no, count, first_id, "full"))
                     no, count = no + 1, 0
-        state.update((no, count, first, first_id))
-        if count:
+        state.update((no, count, first, int(first_id)))
+        if count and wall:
+            state.setTimeoutDuration(max(1, (first + wait - state.getCurrentProcessingTimeMs() * 1000) // 1000))
+        elif count:
             state.setTimeoutTimestamp(max((first + wait) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "batch_no", "n", "first_id", "reason"])
 
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("t"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, CLOSED, "no long, count long, first long, first_id long", "append", GroupStateTimeout.EventTimeTimeout)
+    closing = F.coalesce(F.col("closing"), F.lit(False)) if "closing" in events.columns else F.lit(False)
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows if wall else rows.withWatermark("ts", delay)
+    rows = rows.select("user_id", F.coalesce("event_id", F.lit(0).cast("long")).alias("event_id"), "ts", F.unix_micros("ts").alias("t"), closing.alias("closing"))
+    timer = GroupStateTimeout.ProcessingTimeTimeout if wall else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("user_id").applyInPandasWithState(run, CLOSED, STATE, "append", timer)
+
+
+def close_open(spark: SparkSession, checkpoint: str, ts: Column) -> DataFrame:
+    """For each user with an open batch in the state of a stopped stream of closed_batches: the row that closes it, to be put into its source.
+
+    ts must lie beyond the watermark."""
+    state = spark.read.format("statestore").load(checkpoint)
+    held = state.select("key.user_id", F.col("value.groupState.count").alias("count"))
+    return held.where("count > 0").select("user_id", F.lit(None).cast("long").alias("event_id"), ts.alias("ts"), F.lit(True).alias("closing"))
+
+
+def deduplicated(events: DataFrame, key: str = "event_id", at: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Drops events whose key came before, within the delay of the first one; what is older leaves the state. In a batch all are held."""
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
 def once(stream: DataFrame, path: str, checkpoint: str) -> None:
