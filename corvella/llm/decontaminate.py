@@ -4,9 +4,11 @@ A task cuts its documents into shards, sorts the suffixes of each shard's words,
 suffix by binary search. Suffixes that begin with a word that no test text has cannot match one and are
 left out of the array. Matches along a diagonal join to the longest verbatim match, with its place.
 
-The test set is a stated query set. It is sent to the tasks in blocks of at most block_words words, and each
-block is one more pass over the same rows, without shuffle or join, written before the next block is read into a set,
-so nothing that grows is broadcast or held by the driver.
+The test set is a stated query set. It is sent to the tasks in blocks of at most block_words words. All blocks but the
+last take a pass over the texts alone, of which only what hits is written (before the next block is read into a set, so
+that nothing that grows is broadcast or held by the driver); the last one passes over the rows, and what the others found
+is joined to them by the text's MD5. longest_matches looks every test suffix up, the last words of an item too, and
+finds its longest verbatim match of any length.
 
 Words are compared by 64-bit hashes. Rows: null and empty texts have no words and are clean; repeated rows
 are judged each for itself; test texts that are null or empty match nothing; test rows with the same
@@ -16,7 +18,9 @@ kept as they are; columns named like a result column are replaced in it.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,7 @@ class TestSet:
         self.window = window
         self.names = [None if i is None else str(i) for i, _ in items]
         words = Words(pa.array([t or "" for _, t in items], pa.string()), ALNUM)
+        self.count = words.count
         self.vocabulary, ids = np.unique(words.hash, return_inverse=True)
         self.ids = np.concatenate([ids.astype(np.int64) + 1, np.zeros(window + 64, np.int64)])
         self.bits = max(1, int(len(self.vocabulary) + 1).bit_length())
@@ -80,6 +85,7 @@ class SuffixArray:
         ids = np.zeros(len(words.hash) + rows + test.window + 64, np.int64)
         self.where = np.arange(len(words.hash)) + words.doc  # a zero stands between documents
         ids[self.where] = test.word_ids(words.hash)
+        self.ids = ids
         begin = np.flatnonzero(ids)
         keys = test.keys(ids, begin)
         order = np.lexsort(keys[::-1])
@@ -101,16 +107,24 @@ class SuffixArray:
             low, high = np.where(going & less, mid + 1, low), np.where(going & ~less, mid, high)
         return low
 
+    def range(self, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last + 1 of the suffixes that begin with so many words (a window at most) of the test suffixes at these places."""
+        t = self.test
+        low = self.search(t.keys(t.ids, at, size))
+        return low, self.search([k + (i == t.n_keys - 1) for i, k in enumerate(t.keys(t.ids, at, size, 1))])
+
+    def between(self, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(test suffix, place in the shard) of all suffixes in the ranges."""
+        n = high - low
+        return np.repeat(at, n), self.suffixes[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
     def matches(self) -> tuple[np.ndarray, np.ndarray]:
         """(place in the shard, window) of all occurrences of the windows."""
         t = self.test
         if not len(self.suffixes) or not len(t.at):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low = self.search(t.keys(t.ids, t.at, t.size))
-        high = self.search([k + (i == t.n_keys - 1) for i, k in enumerate(t.keys(t.ids, t.at, t.size, 1))])
-        n = high - low
-        window = np.repeat(np.arange(len(n)), n)
-        return self.suffixes[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], window
+        window, place = self.between(np.arange(len(t.at)), *self.range(t.at, t.size))
+        return place, window
 
 
 def judge(test: TestSet, words: Words) -> list[tuple]:
@@ -179,34 +193,140 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str | Non
 def find(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
     """The documents with the columns of RESULT: words in hit spans, items, and the longest match with its place."""
     docs = docs.drop(*NAMES)
-    keep = docs.schema
-    out, first, held = docs, True, []
+    earlier, held = [], []
     for block in _blocks(items, block_words):
-        if held:  # written before the next is built, so that a task holds one block
-            out, first = stored(_pass(out, TestSet(held, window), keep, first), "decontaminate"), False
+        if held:
+            earlier.append(stored(_hits(docs, TestSet(held, window)), "hits"))
         held = block
-    return _pass(out, TestSet(held, window), keep, first)
+    last = _pass(docs, TestSet(held, window))
+    if not earlier:
+        return last
+    hits = reduce(DataFrame.unionByName, earlier)  # a row a text and block
+    hits = hits.groupBy("text_md5").agg(F.collect_list(F.struct("hit_spans", "items", "longest", "longest_item", "longest_at")).alias("hits"))
+    key = F.md5(F.col("text").cast("binary"))
+    return _merged(last.join(hits, key == F.col("text_md5"), "left").drop("text_md5"), last.schema)
+
+
+def _arrays(rows: list[list], names: list[str]) -> list[pa.Array]:
+    kinds = dict(zip(NAMES, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64()), strict=True))
+    return [pa.array([r[NAMES.index(n)] for r in rows], kinds[n]) for n in names]
+
 
+def _hits(docs: DataFrame, test: TestSet) -> DataFrame:
+    """What hits: the text's MD5 and the columns of RESULT but n_words; equal texts once."""
+
+    def run(batches):
+        for batch in pieces(batches, 0):
+            texts = batch.column(0)
+            rows = [(k, list(r)) for k, r in enumerate(judge(test, Words(texts, ALNUM))) if r[1]]
+            keys = pa.array([hashlib.md5(texts[k].as_py().encode("utf-8", "surrogatepass")).hexdigest() for k, _ in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([keys, *_arrays([r for _, r in rows], NAMES[1:])], names=["text_md5", *NAMES[1:]])
+
+    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "text_md5 string, " + RESULT.split(", ", 1)[1])
+    return found.groupBy("text_md5").agg(F.first(F.struct(*NAMES[1:])).alias("r")).select("text_md5", "r.*")
+
+
+def _merged(rows: DataFrame, schema) -> DataFrame:
+    """The rows with what earlier blocks have found (column hits, null for nothing)."""
+    n = len(schema.names) - len(NAMES)
+
+    def run(batches):
+        for batch in batches:
+            out = [list(r.values()) for r in batch.select(NAMES).to_pylist()]
+            for row, found in zip(out, batch.column("hits").to_pylist(), strict=True):
+                for old in found or ():
+                    _merge(old, row)
+            yield pa.RecordBatch.from_arrays(batch.columns[:n] + _arrays(out, NAMES), names=schema.names)
 
-def _pass(docs: DataFrame, test: TestSet, keep, first: bool) -> DataFrame:
+    return rows.mapInArrow(run, schema)
+
+
+def _pass(docs: DataFrame, test: TestSet) -> DataFrame:
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    schema = StructType(keep.fields + _parse_datatype_string(RESULT).fields)
-    column, n_kept = keep.names.index("text"), len(keep.names)
+    schema = StructType(docs.schema.fields + _parse_datatype_string(RESULT).fields)
+    column = docs.columns.index("text")
 
     def run(batches):
         for batch in pieces(batches, column):
             rows = [list(r) for r in judge(test, Words(batch.column(column), ALNUM))]
-            if not first:
-                for row, old in zip(rows, batch.select(NAMES).to_pylist(), strict=True):
-                    _merge(old, row)
-            kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64()]
-            new = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:n_kept] + new, names=[*batch.schema.names[:n_kept], *NAMES])
+            yield pa.RecordBatch.from_arrays(batch.columns + _arrays(rows, NAMES), names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+MATCH = "item_id string, length long, item_at long, doc_id long, doc_at long"
+
+
+def longest_matches(docs: DataFrame, items: DataFrame, block_words: int = 1_000_000) -> DataFrame:
+    """For each item (item_id) the longest run of its words that stands in a document, of any length, with both places (in words).
+
+    Of equal lengths that with the smallest item_at, then doc_id (a null one last), then doc_at. Items that share no word with any
+    document give nothing."""
+    kind = items.schema["item_id"].dataType
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = None
+    for block in _blocks(items, block_words):
+        one = stored(_best(_longest(texts, TestSet(block, 10))), "matches")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = _longest(texts, TestSet([], 10))
+    return _best(found).withColumn("item_id", F.col("item_id").cast(kind))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    first = F.struct((-F.col("length")).alias("n"), "item_at", F.col("doc_id").isNull().alias("none"), "doc_id", "doc_at")
+    return found.groupBy("item_id").agg(F.min(first).alias("s")).select("item_id", (-F.col("s.n")).alias("length"), "s.item_at", "s.doc_id", "s.doc_at")
+
+
+def _longest(texts: DataFrame, test: TestSet) -> DataFrame:
+    starts = np.concatenate([[0], np.cumsum(test.count)]) if len(test.names) else np.zeros(1, np.int64)
+    every = np.arange(int(starts[-1]))
+    item = np.repeat(np.arange(len(test.names)), test.count)
+    left = starts[1:][item] - every if len(every) else every
+
+    def run(batches):
+        for batch in pieces(batches, 1):
+            words = Words(batch.column(1), ALNUM)
+            array = SuffixArray(test, words)
+            n = len(array.suffixes)
+            if not n or not len(every):
+                continue
+            # The neighbours of each test suffix; where they agree with it in a whole window, all that do.
+            low, high = array.range(every, np.minimum(left, test.window))
+            asked, place = array.between(every, np.maximum(low - 1, 0), np.minimum(high + 1, n))
+            length = np.zeros(len(asked), np.int64)
+            going = np.arange(len(asked))
+            while len(going):
+                at = length[going]
+                same = (at < left[asked[going]]) & (array.ids[place[going] + at] == test.ids[asked[going] + at])
+                going = going[same]
+                length[going] += 1
+            # The first suffix of each item with the longest match, and all places of that match.
+            order = np.lexsort((asked, -length, item[asked]))
+            order = order[np.concatenate([[True], np.diff(item[asked[order]]) != 0])]
+            suffix, most = asked[order], length[order]
+            suffix, most = suffix[most > 0], most[most > 0]
+            longest = np.zeros(len(every), np.int64)
+            longest[suffix] = most
+            long = (length == longest[asked]) & (length >= test.window)
+            some = most < test.window
+            more = array.between(suffix[some], *array.range(suffix[some], most[some]))
+            asked, place = np.concatenate([asked[long], more[0]]), np.concatenate([place[long], more[1]])
+            word = np.searchsorted(array.where, place)
+            doc, of = words.doc[word], item[asked]
+            at_doc = word - words.first[doc]
+            none = batch.column(0).is_null().to_numpy(zero_copy_only=False)[doc]
+            ids = batch.column(0).fill_null(0).to_numpy()[doc]
+            order = np.lexsort((at_doc, ids, none, of))
+            order = order[np.concatenate([[True], np.diff(of[order]) != 0])] if len(order) else order
+            asked = asked[order]
+            columns = [pa.array([test.names[k] for k in item[asked]], pa.string()), pa.array(longest[asked]), pa.array(asked - starts[item[asked]]), pa.array(ids[order], mask=none[order]), pa.array(at_doc[order])]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MATCH.split(", ")])
+
+    return texts.mapInArrow(run, MATCH)
+
+
 def remove(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents in which no window of a test text occurs, with all their columns, whatever their names."""
     plain = docs.toDF(*["text" if c == "text" else f"column{k}" for k, c in enumerate(docs.columns)])
