@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,7 +20,10 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = stored(both.groupBy(F.col("a").alias("label")).agg(F.least(F.col("label"), F.min("b")).alias("m")), "smallest")
-        found = stored(found.join(smallest, "label", "left").select("node", F.coalesce("m", "label").alias("label")), "labels")
+        labels = stored(found.join(smallest, "label", "left").select("node", F.coalesce("m", "label").alias("label")), "labels")
         left, right = (smallest.select(F.col("label").alias(c), F.col("m").alias(f"m{c}")) for c in "ab")
-        edges = stored(edges.join(left, "a").join(right, "b").select(F.col("ma").alias("a"), F.col("mb").alias("b")).where("a <> b").distinct(), "links")
+        fewer = stored(edges.join(left, "a").join(right, "b").select(F.col("ma").alias("a"), F.col("mb").alias("b")).where("a <> b").distinct(), "links")
+        for old in (edges, smallest, *([found] if hasattr(found, "stored_at") else [])):
+            discard(old)
+        found, edges = labels, fewer
     return found

@@ -32,6 +32,8 @@ from .wordhash import NON_SPACE, Words, mix, pieces
 
 BITS = np.uint64(52)
 SLOT_BITS, CHUNKS, PARTS = 22, 64, 4
+#: Rows of an n-gram's group that one task meets the others with; larger groups are salted.
+GROUP_ROWS = 4096
 
 
 class Shingles:
@@ -163,7 +165,7 @@ def _plausible(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
 
 
 def _fragments(docs: DataFrame, rows: DataFrame, keys: DataFrame, n: int, levels: np.ndarray) -> DataFrame:
-    """key, n, part, h (array) of some classes, from the text of one document of each."""
+    """key, n, part, h (array) of some classes, from the text of one document of each; stored."""
     cuts = pivots(levels)
 
     def run(batches):
@@ -192,13 +194,15 @@ def _fragments(docs: DataFrame, rows: DataFrame, keys: DataFrame, n: int, levels
 
     some = docs.mapInArrow(choose, "doc_id long, text_hash long, text string")
     texts = some.join(one.hint("merge"), (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text")
-    return texts.mapInArrow(run, "key long, n int, part int, h array<long>")
+    parts = stored(texts.mapInArrow(run, "key long, n int, part int, h array<long>"), "fragments")
+    discard(one)
+    return parts
 
 
 def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
     """The pairs (a, b) that reach the threshold: partial overlaps by fragment, summed per pair."""
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    parts = stored(_fragments(docs, rows, keys, n, levels), "fragments")
+    parts = _fragments(docs, rows, keys, n, levels)
     side = lambda c: parts.select(F.col("key").alias(c), "part", F.col("n").alias(f"n{c}"), F.col("h").alias(f"h{c}"))
     both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), ["a", "part"])
     partial = both.select("a", "b", "part", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("o"))
@@ -210,23 +214,24 @@ def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent:
     return links
 
 
-def _across(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components with a common n-gram after which enough of both sets is left.
+def _across(shared: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(pairs (a, b) of different components with a common n-gram after which enough of both sets is left; tables that they are read from).
 
-    In each n-gram's group the rows of the largest component are met by the others only, not by each other.
+    In each n-gram's group the rows of the largest component are met by the others only, not by each other. The rows
+    of a large group are dealt out by a salt, and those that meet them are sent to each part.
     """
     own = shared.join(labels.select(F.col("node").alias("key"), "label").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     own = stored(own, "members")
-    per = own.groupBy("h", "label").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("major"), F.count("*").alias("labels"))
-    per = stored(per.where("labels > 1").select("h", "major"), "open")
+    per = own.groupBy("h", "label").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("major"), F.count("*").alias("labels"), F.sum("m").alias("rows"))
+    per = stored(per.where("labels > 1").select("h", "major", F.ceil(F.col("rows") / GROUP_ROWS).cast("int").alias("salts")), "open")
     rows = own.join(per.hint("merge"), "h")
-    x = rows.where("label <> major").select("h", F.col("key").alias("kx"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    y = rows.select("h", F.col("key").alias("ky"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("pos").alias("py"), "major")
+    x = rows.where("label <> major").select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("key").alias("kx"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    y = rows.select("h", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.col("key").alias("ky"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("pos").alias("py"), "major")
     left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     enough = (100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))
     meet = (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("major")) | (F.col("kx") < F.col("ky"))) & enough
-    pairs = x.join(y.hint("merge"), "h").where(meet).select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"))
-    return pairs.distinct()
+    pairs = x.join(y.hint("merge"), ["h", "salt"]).where(meet).select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"))
+    return pairs.distinct(), [own, per]
 
 
 def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -239,14 +244,24 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame,
     common = stored(common.where("lo <> hi").select("h"), "common")
     prefix = _prefixes(docs, n, percent, levels, bit_filter(common))
     shared = stored(prefix.distinct().join(common.hint("merge"), "h"), "shared")
+    discard(common)
     first = stored(shared.groupBy("key").agg(F.max("n").alias("n"), F.collect_list("h").alias("hs")), "first-fragments")
+
+    def tested(pairs: DataFrame, *done: DataFrame) -> DataFrame:
+        some = stored(_plausible(pairs, first, percent), "pairs")
+        for table in done:
+            discard(table)
+        links = _linked(docs, rows, some, n, percent, levels)
+        discard(some)
+        return links
+
     # Each class against one leader: of the classes that have an n-gram earliest, the one that it shares most with.
     leaders = shared.groupBy("h").agg(F.min(F.struct("pos", "key")).alias("s")).select("h", F.col("s.key").alias("leader"))
     star = shared.join(leaders.hint("merge"), "h").where("key <> leader").groupBy("key", "leader").agg(F.count("*").alias("m"))
     star = star.groupBy("key").agg(F.max_by("leader", F.struct("m", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("key").alias("b"))
-    links = _linked(docs, rows, stored(_plausible(star, first, percent), "pairs"), n, percent, levels)
-    pairs = _across(shared, components(links), percent)
-    more = _linked(docs, rows, stored(_plausible(pairs, first, percent), "pairs"), n, percent, levels)
+    links = tested(star)
+    pairs, members = _across(shared, components(links), percent)
+    more = tested(pairs, shared, first, *members)
     return rows, links.union(more)
 
 
