@@ -51,16 +51,17 @@ def check(arguments, schema: dict | None) -> list[str]:
         return ["unknown tool"]
     if not isinstance(arguments, dict):
         return ["arguments are no object"]
-    known = schema.get("properties", {})
-    wrong = [f"missing {k}" for k in schema.get("required", []) if k not in arguments]
+    known = schema.get("properties") or {}
+    wrong = [f"missing {k}" for k in schema.get("required") or [] if k not in arguments]
     for k, v in sorted(arguments.items()):
         if k not in known:
             wrong.append(f"unexpected {_escaped(k)}")
             continue
-        kinds = known[k].get("type") or []
+        rule = known[k] or {}
+        kinds = rule.get("type") or []
         if kinds and not any(is_kind(v, x) for x in ([kinds] if isinstance(kinds, str) else kinds)):
             wrong.append(f"{k} is no {kinds if isinstance(kinds, str) else ' or '.join(map(str, kinds))}")
-        elif "enum" in known[k] and v not in known[k]["enum"]:
+        elif rule.get("enum") is not None and v not in rule["enum"]:
             wrong.append(f"{k} is not allowed")
     return wrong
 
