@@ -213,10 +213,10 @@ def encoder(path: str, literal: bool = False) -> LibraryEncoder:
     return kept_by_worker(lambda: LibraryEncoder(path, literal=literal), "ids", path, literal)
 
 
-def write_ids(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int = 0, bits: bool = False, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS, literal: bool = True) -> DataFrame:
+def write_ids(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int = 0, bits: bool = False, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS, literal: bool = False) -> DataFrame:
     """Encodes doc_id, text in ascending doc_id order into files below folder; returns the manifest, a row a file.
 
-    literal: whether added tokens in a text are read as plain text; the query does as the library does, and does not.
+    literal: whether added tokens in a text are read as plain text; as in the library they are not by default.
 
     Ranges of doc_id are dealt to tasks, so no task or the driver holds more than its share. A task writes
     each file under a name of its own try and then moves it to its final name, so that a repeated task
@@ -285,5 +285,5 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     folder = scratch(spark, "op7")
-    manifest = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, literal=False)
+    manifest = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return read_ids(spark, folder, manifest)

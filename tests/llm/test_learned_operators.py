@@ -193,6 +193,12 @@ def test_held_out_texts_teach_nothing(spark):
     assert got[1] == pytest.approx(got[0], abs=1e-5) and got[2] == pytest.approx(got[0], abs=1e-5)
 
 
+def test_scores_do_not_depend_on_files_and_partitions(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 7 != 2).alias("train"))
+    one, seven = ({r.doc_id: r.score for r in mixing.score(docs.repartition(n, F.xxhash64("doc_id", F.lit(n)))).collect()} for n in (1, 7))
+    assert one == pytest.approx(seven, rel=1e-6) and len(one) == docs.count()
+
+
 def test_scores_know_word_order_and_frequency(spark):
     """Contexts go across words, and every training occurrence counts."""
     rng = random.Random(16)
@@ -206,7 +212,7 @@ def test_scores_know_word_order_and_frequency(spark):
 
 
 def test_score_against_brute_force(spark):
-    """Counts, mixing and adaptation by plain loops; the weights are those learned, the slots those of the tables."""
+    """Counts, learning, mixing and adaptation by plain loops; the slots and the shares of the rounds are those of the operator."""
     rng = random.Random(17)
     words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 5))) for _ in range(40)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["one new only", "unseen new words new unseen " * 2, "", "abc \u4e2d\u4e2d"]
@@ -253,6 +259,34 @@ def test_score_against_brute_force(spark):
     odds = lambda x: math.log(seen[x][1] + more(x)) - math.log(seen[x][0] + more(x))
     bit_ln = lambda z, bit: -math.log1p(math.exp(-z if bit else z))
     sure = lambda x: (x != 0) + (abs(x) > 2.5)
+
+    def without(p, bit):
+        return math.log(max(seen[p][1] - bit, 0) + more(p)) - math.log(max(seen[p][0] - (1 - bit), 0) + more(p))
+
+    share = {d: s for row in blocks.collect() for d, s in zip(row.doc_ids, mixing.Block(row.asDict()).shares().tolist(), strict=True)}
+    learned = [np.tile([0.8, 0.15, 0.25], (153, 1)), np.tile([0.25, 0.35, 0.4], (64, 1))]
+    for part in mixing.ROUNDS:
+        slope, curve = [np.zeros(m.shape) for m in learned], [np.zeros((*m.shape, 3)) for m in learned]
+
+        def add(m, gate, x, bit, slope=slope, curve=curve):
+            p = 1 / (1 + math.exp(-float(np.clip(learned[m][gate] @ x, -11, 11))))
+            slope[m][gate] += (bit - p) * np.array(x)
+            curve[m][gate] += p * (1 - p) * np.outer(x, x)
+
+        for d, _, train in data:
+            before = 0
+            for w in tokens[d] if train and share[d] in part else []:
+                for k, (*places, bit) in enumerate(path(before, w, count[w] == 1)):
+                    x = [without(p, bit) for p in places]
+                    add(0, k * 9 + sure(x[1]) * 3 + sure(x[2]), x, bit)
+                for k, (*places, bit) in enumerate(spelling(w) if count[w] == 1 and w is not None else []):
+                    x = [without(p, bit) for p in places]
+                    add(1, min(k // 8, 3) * 8 + k % 8 + 32 * (x[2] != 0), x, bit)
+                before = hashed(w)
+        for m in (0, 1):
+            for g in range(len(learned[m])):
+                learned[m][g] = np.clip(learned[m][g] + np.linalg.solve(curve[m][g] + mixing.DAMPING * np.eye(3), slope[m][g]), -2, 4)
+    assert all(np.abs(a - b).max() < 2e-3 for a, b in zip(learned, weights, strict=True)) and any(np.abs(a[0] - a).max() > 0.1 for a in learned)
     for d, _, _ in data:
         totals, before, used = [math.log(1 - c) if len(tokens[d]) > 1 else 0.0 for c in mixing.CACHES], 0, collections.Counter()
         for place, w in enumerate(tokens[d]):
@@ -286,7 +320,8 @@ def test_bit_model_is_a_distribution(spark):
     spelling, tokens = mixing.spelling_mixer(), mixing.token_mixer()
     bits = mixing.SpellingBits(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]), starts)
     x = [mixing.log_odds(counts)[s] for s in bits.slots]
-    spelling.learn(x, bits, np.ones(len(bits.bit), np.float32))
+    spelling.gather(x, bits, np.ones(len(bits.bit), np.float32))
+    spelling.step(spelling.sums)
     assert 0 < np.exp(np.add.reduceat(spelling.judge(x, bits), bits.first)).sum() < 1
     total = 0.0
     code = np.arange(1 << mixing.CODE)
@@ -294,9 +329,9 @@ def test_bit_model_is_a_distribution(spark):
         bits = mixing.TokenBits(part, np.full(len(part), 77, np.uint64), np.zeros(len(part), bool), starts)
         x = [mixing.log_odds(tree)[bits.tree], *(mixing.log_odds(counts)[s] for s in bits.slots)]
         if not total:
-            tokens.learn(x, bits, np.ones(len(part), np.float32))
+            tokens.gather(x, bits, np.ones(len(part), np.float32))
+            tokens.step(tokens.sums)
         total += np.exp(tokens.judge(x, bits)).sum()
-        tokens.rate = 0.0
     bits = mixing.TokenBits(code[:1], np.full(1, 77, np.uint64), np.ones(1, bool), starts)
     total += np.exp(tokens.judge([mixing.log_odds(tree)[bits.tree], *(mixing.log_odds(counts)[s] for s in bits.slots)], bits)).sum()
     assert total == pytest.approx(1, abs=1e-4)
@@ -511,3 +546,29 @@ def test_pipeline_run_against_brute_force(spark, small):
     dirty = lambda w: any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
     want = sorted(i for i in order if root(i) == i and not dirty(alnum.findall(texts[i])))
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, small).collect()) == want and want
+
+
+def test_conflicting_labels_are_the_worse_ones(spark):
+    docs = spark.createDataFrame([(i, "word " * 60 + ("vile" if i % 2 else "fine")) for i in range(60)], "doc_id long, text string")
+    marks = [(i, i % 2, 1 - i % 2) for i in range(60)]
+    twice = spark.createDataFrame([*marks, *[(i, 0, 1) for i in range(60)]], "doc_id long, toxic int, quality int")
+    once = spark.createDataFrame(marks, "doc_id long, toxic int, quality int")
+    for labels in (twice, twice.orderBy(F.desc("doc_id"), "toxic")):
+        a, b = toxicity.fit(docs, labels), toxicity.fit(docs, once)
+        assert (a.lexicon.words, a.lexicon.stems, a.weights, a.prior) == (b.lexicon.words, b.lexicon.stems, b.weights, b.prior) and "vile" in a.lexicon.words
+        assert decision_list.fit(docs, labels) == decision_list.fit(docs, once)
+
+
+def test_quality_stage_judges_each_row_by_its_text(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = spark.createDataFrame([(1, text, 0), (1, "too short", 1), (None, text, 2), (None, None, 3), (1, text, 0)], "doc_id long, text string, n_words int")
+    assert sorted(r.n_words for r in decision_list.stage(spark, rows, str(tmp_path)).collect()) == [0, 0, 2]
+    assert decision_list.stage(spark, rows.limit(0), str(tmp_path)).count() == 0
+
+
+def test_tool_schemas_with_nulls():
+    for schema in ({}, {"properties": None, "required": None}, {"properties": {"a": None}}):
+        assert tool_calls.check({}, schema) == []
+    assert tool_calls.check({"a": 1}, {"properties": {"a": None}}) == [] and tool_calls.check({"b": 1}, {"properties": None}) == ["unexpected b"]
+    assert tool_calls.check({"a": 1}, {"properties": {"a": {"type": None, "enum": None}}}) == []

@@ -60,13 +60,14 @@ def test_files(bits):
     assert list(e.documents()) == []
 
 
-def test_op7_against_the_library(spark, docs):
+@pytest.mark.parametrize("literal", [False, True])
+def test_op7_against_the_library(spark, docs, literal):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
+    tk.encode_special_tokens = literal
     folder = scratch(spark, "t7")
-    manifest = bitplanes.write_ids(docs, P.path("byte_bpe_50k.json"), folder, file_ids=2000, block_ids=512)
+    manifest = bitplanes.write_ids(docs, P.path("byte_bpe_50k.json"), folder, file_ids=2000, block_ids=512, **({"literal": True} if literal else {}))
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in bitplanes.read_ids(spark, folder, manifest).collect())
     want, at = [], 0
     for d, t in sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "") for r in docs.collect()):
@@ -190,6 +191,35 @@ def test_op5_against_brute_force(spark, docs):
     assert decontaminate.find(empty(spark), items).count() == 0
 
 
+@pytest.mark.parametrize("block, parts", [(1_000_000, 1), (12, 3)])
+def test_op5_longest_matches_against_brute_force(spark, block, parts):
+    rng = random.Random(9)
+    some = lambda n, k=9: " ".join(rng.choices([f"w{j}" for j in range(k)], k=n))
+    items = [(0, some(30)), (1, some(4)), (2, "nowhere at all"), (3, None), (4, ""), (None, some(12)), (5, some(60, 3)), (6, "last word of w1 w2 unheard w3")]
+    texts = [(i, some(rng.randrange(80))) for i in range(40)] + [(90, items[0][1]), (80, "a " + items[0][1].upper() + " b"), (None, items[5][1]), (91, None), (92, ""), (5, "x w3 w3 " + items[6][1]), (93, some(300, 3))]
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: pattern.findall((t or "").translate(UPPER))
+    want = {}
+    for name, t in items:
+        q, found = words(t), []
+        for d, x in texts:
+            w = words(x)
+            for p in range(len(q)):
+                for a in range(len(w)):
+                    m = 0
+                    while p + m < len(q) and a + m < len(w) and q[p + m] == w[a + m]:
+                        m += 1
+                    found.append((-m, p, d is None, d or 0, a))
+        best = min(found, default=(0,))
+        if best[0]:
+            want[name] = (-best[0], best[1], None if best[2] else best[3], best[4])
+    d = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, length int").repartition(parts)
+    got = decontaminate.longest_matches(d, spark.createDataFrame(items, "item_id int, text string"), block)
+    assert {r.item_id: tuple(r)[1:] for r in got.collect()} == want and 2 not in want and want[0][0] == 30
+    assert decontaminate.longest_matches(empty(spark), d.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    assert decontaminate.longest_matches(d, empty(spark).withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
 @pytest.mark.parametrize("size", [*range(60, 132), *range(250, 515, 3)])
 def test_op5_finds_short_items_for_all_vocabulary_sizes(size):
     """Items of 1 to 10 words, in blocks of so many distinct words; keys of 63 bits would overflow."""
