@@ -2,6 +2,11 @@
 
 Labels teach the first two stages; rows that they reject go. Then one document of each group of near
 duplicates (five words, 0.8) stays, documents with benchmark passages go, and the rest is encoded.
+
+Rows: a null or empty text has no words and fails the quality rules; of repeated rows that pass both filters one stays, of
+rows with one doc_id and several texts each is judged by its own; a null doc_id is kept like any other. Other columns
+are kept up to the last stage, whatever their names. An empty table gives an empty one, as does one of which nothing is kept;
+without labels nothing is toxic and the quality rules are the base rule alone.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvella.llm import decision_list, decontaminate, jaccard_join, prefix_bpe, toxicity
-from corvella.llm.common import scratch, table
+from corvella.llm.common import discard, stored, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -23,9 +28,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
