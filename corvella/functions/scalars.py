@@ -100,6 +100,12 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def paragraphs(text: Column) -> Column:
+    """Split at blank lines, of any number; what is empty is left out."""
+    parts = F.split(F.regexp_replace(text, r"\n\s*\n+", "\n\n"), "\n\n")
+    return F.filter(F.transform(parts, strip), lambda p: p != "")
+
+
 def careful_sentences(text: Column) -> Column:
     """Split between a terminator and a capital, but not after titles, company suffixes and months."""
     gap = rf"(?U)(?<=[.!?])(?<!\b(?:{ABBREVIATIONS})\.)\s+(?=[A-Z])"

@@ -26,6 +26,23 @@ def durations(logs: DataFrame) -> DataFrame:
     return logs.groupBy("topic", "status").agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(ms), F.lit(0.0)), 3).alias("avg_ms"))
 
 
+def mail_totals(logs: DataFrame, mails: Column) -> DataFrame:
+    """Events and their mails by status, and of all ('*')."""
+    g = logs.rollup("status").agg(F.count("*").alias("n"), F.sum(mails).alias("emails"))
+    return g.select(F.coalesce("status", F.lit("*")).alias("status"), "n", "emails")
+
+
+def batch_totals(batches: DataFrame) -> DataFrame:
+    """By status of batches (processed): how many, rows they processed, mean size."""
+    return batches.groupBy("status").agg(F.count("*").alias("n"), F.sum("processed").alias("processed"), F.round(F.avg("processed"), 6).alias("avg_processed"))
+
+
+def saved(rows: DataFrame, by: str, batch: int = 300) -> DataFrame:
+    """By group of rows (status): errors, batches, whether a part failed, and 'failed' if nothing was completed."""
+    g = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("storage_errors"), F.count_if(F.col("status") == "completed").alias("ok"))
+    return g.select(by, "storage_errors", F.ceil(F.col("n") / batch).alias("batches"), (F.col("storage_errors") > 0).alias("has_partial_failure"), F.when(F.col("ok") == 0, "failed").otherwise("completed").alias("status"))
+
+
 def health(logs: DataFrame, since) -> DataFrame:
     recent = logs.where(F.col("started_at") >= since)
     out = recent.groupBy("group_id").agg(F.max("event_id").alias("last_event"), F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))

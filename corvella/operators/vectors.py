@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cosine
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
+def scored(vectors: DataFrame, query: list[float] | DataFrame) -> DataFrame:
+    """vectors with their cosine (score) to one vector, given by its numbers or as a table of one row and column."""
+    if isinstance(query, DataFrame):
+        one = F.broadcast(query.limit(1).toDF("_query"))  # one row
+        return vectors.crossJoin(one).withColumn("score", cosine(F.col("embedding"), F.col("_query"))).drop("_query")
+    return vectors.withColumn("score", cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])))
+
+
+def top_k(vectors: DataFrame, query: list[float] | DataFrame, k: int = 10) -> DataFrame:
     """Exact cosine search for one vector; ties by id. Filter vectors before the call."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select("*", cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc(F.round("score", 9)), "vec_id").limit(k)
+    return scored(vectors, query).orderBy(F.desc(F.round("score", 9)), "vec_id").limit(k)
 
 
 BLOCK = 4096

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Options
 from ..functions import scalars as S
 from ..operators import chunkers as C
-from ..operators import stats, tables, vector_index, vectors
+from ..operators import numbering, routing, stats, tables, vector_index, vectors
 from ..sources.files import table
 from ..sources.streams import shared_folder
 from ..streaming import microbatch
@@ -141,16 +141,34 @@ def _chunks(name):
     return run
 
 
-for _name in ("semantic", "recursive_semantic", "embedding_semantic", "linguistic"):
+_BOUNDARY_SQL = r"regexp_matches(x, '^(#{1,6}\s|[0-9]+\.\s|[A-Z][A-Z\s][A-Z\s]+$|\[Page [0-9]+\]|(Chapter|Section) [0-9])')"
+# Sections of lines; long ones packed sentence by sentence, with the tail of the piece before.
+_SEMANTIC = r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\n\s*\n+', chr(10) || chr(10), 'g'), chr(10)) AS s FROM documents)),
+ f AS (SELECT doc_id, i, x, sum(CASE WHEN i > 0 AND {BOUNDARY} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l),
+ sections AS (SELECT doc_id, k, string_agg(x, chr(10) ORDER BY i) AS t FROM f GROUP BY doc_id, k),
+ placed AS (SELECT doc_id, k, t, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM sections),
+ long AS (SELECT doc_id, k, off, string_split(regexp_replace(t, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)) AS s FROM placed WHERE length(t) > 1500),
+ r AS (SELECT doc_id, k, off, s, 0 AS i, '' AS held, cast(NULL AS varchar) AS done FROM long UNION ALL
+  SELECT doc_id, k, off, s, i + 1, CASE WHEN i = len(s) THEN '' WHEN held = '' THEN s[i + 1] WHEN length(held) + length(s[i + 1]) + 1 > 1500 THEN regexp_replace(CASE WHEN length(held) > 300 AND instr(right(held, 300), ' ') > 0 THEN substring(right(held, 300), instr(right(held, 300), ' ') + 1) ELSE right(held, 300) END || ' ' || s[i + 1], '^\s+|\s+$', '', 'g') ELSE held || ' ' || s[i + 1] END,
+   CASE WHEN i = len(s) OR (held <> '' AND length(held) + length(s[i + 1]) + 1 > 1500) THEN held END FROM r WHERE i <= len(s)),
+ pieces AS (SELECT doc_id, k, 0 AS i, off, t AS done FROM placed WHERE length(t) <= 1500 UNION ALL SELECT doc_id, k, i, off, done FROM r WHERE done IS NOT NULL),
+ chunks AS (SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS bigint) AS chunk_index, regexp_replace(done, '^\s+|\s+$', '', 'g') AS text_content, cast(off AS bigint) AS char_start, cast(off + length(done) AS bigint) AS char_end FROM pieces WHERE length(regexp_replace(done, '^\s+|\s+$', '', 'g')) >= 400) """.replace("{BOUNDARY}", _BOUNDARY_SQL)
+
+query(_SEMANTIC + "SELECT *, substring(sha256(doc_id || '|semantic|' || chunk_index), 1, 24) AS chunk_id FROM chunks")(_chunks("semantic"))
+for _name in ("recursive_semantic", "embedding_semantic", "linguistic"):
     query()(_chunks(_name))
 
 
-@query(r"""SELECT doc_id, cast(p AS bigint) AS n, regexp_replace(x, '^\s+|\s+$', '', 'g') AS paragraph FROM (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS p FROM (
- SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), chr(10) || ' ' || chr(10) || chr(10)), '\n\s*\n+', chr(10) || chr(10), 'g'), chr(10) || chr(10)) AS s FROM documents)) WHERE regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''""")
+@query(_coverage_sql(_SEMANTIC, "SELECT doc_id, char_start, char_end FROM chunks"))
+def chunk_semantic_coverage(spark, d):
+    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d), "semantic")))
+
+
+@query(r"""SELECT doc_id, cast(unnest(range(len(s))) AS bigint) AS n, unnest(s) AS paragraph FROM (SELECT doc_id, list_filter(list_transform(
+ string_split(regexp_replace(replace(text, chr(10), chr(10) || ' ' || chr(10) || chr(10)), '\n\s*\n+', chr(10) || chr(10), 'g'), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)""")
 def split_paragraphs(spark, d):
-    spaced = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit("\n \n\n")), r"\n\s*\n+", "\n\n")
-    p = docs(spark, d).select("doc_id", F.posexplode(F.split(spaced, "\n\n")).alias("n", "x")).select("doc_id", F.col("n").cast("long").alias("n"), S.strip(F.col("x")).alias("paragraph"))
-    return p.where("paragraph <> ''")
+    spaced = F.replace("text", F.lit("\n"), F.lit("\n \n\n"))
+    return docs(spark, d).select("doc_id", F.posexplode(S.paragraphs(spaced)).alias("n", "paragraph")).withColumn("n", F.col("n").cast("long"))
 
 
 @query(r"""SELECT doc_id, s AS sentence, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)))) AS s FROM documents) WHERE s <> '' GROUP BY ALL""")
@@ -166,7 +184,6 @@ def split_sentences_abbrev(spark, d):
 
 
 _PREFIXED = "CASE i % 5 WHEN 0 THEN '## ' || l WHEN 1 THEN '3. ' || l WHEN 2 THEN 'Section 2 ' || l WHEN 3 THEN '[Page 4]' ELSE l END"
-_BOUNDARY_SQL = r"regexp_matches(x, '^(#{1,6}\s|[0-9]+\.\s|[A-Z][A-Z\s][A-Z\s]+$|\[Page [0-9]+\]|(Chapter|Section) [0-9])')"
 
 
 @query(f"""WITH l AS (SELECT doc_id, i, {_PREFIXED} AS x FROM (SELECT doc_id, unnest(s) AS l, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))
@@ -200,7 +217,7 @@ _Q = "(SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
 
 
 def _first(spark, d):
-    return table(spark, d, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]
+    return table(spark, d, "embeddings").orderBy("vec_id").limit(1).select("embedding")
 
 
 @query(f"SELECT vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) AS score FROM embeddings, {_Q} ORDER BY round(list_cosine_similarity(embedding::double[], q::double[]), 9) DESC, vec_id LIMIT 10")
@@ -256,8 +273,7 @@ def vector_index_exact(spark, d):
 def vector_zero_norm(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     zero = e.orderBy("vec_id").limit(1).select(F.lit(-1).cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.lit(0).cast("float")).alias("embedding"))
-    q = F.array(*[F.lit(float(x)) for x in _first(spark, d)])
-    return e.union(zero).select("vec_id", F.round(S.cosine(F.col("embedding"), q), 6).alias("score"))
+    return vectors.scored(e.union(zero), _first(spark, d)).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT label, cast(dim AS bigint) AS dim, round(avg(x::double), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY ALL")
@@ -282,7 +298,8 @@ _SETS = r"""WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(tex
 
 
 def _neighbours(spark, d):
-    s = docs(spark, d).select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("a"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    s = docs(spark, d).select("doc_id", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("a"))  # hashes, as sets are shuffled
     return s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id").select("doc_id", S.jaccard(F.col("a"), F.col("b")).alias("j"))
 
 
@@ -317,13 +334,13 @@ def consumer_health(spark, d):
 
 @query(LOGS + "SELECT coalesce(status, '*') AS status, count(*) AS n, cast(sum(user_id % 7) AS bigint) AS emails FROM logs GROUP BY ROLLUP (status)")
 def email_stats(spark, d):
-    return logs(spark, d).rollup("status").agg(F.count("*").alias("n"), F.sum(F.col("user_id") % 7).alias("emails")).select(F.coalesce("status", F.lit("*")).alias("status"), "n", "emails")
+    return stats.mail_totals(logs(spark, d), F.col("user_id") % 7)
 
 
 @query(LOGS + ", b AS (SELECT group_id, status, event_id // 20 AS batch_id, count(*) AS processed FROM logs GROUP BY ALL) SELECT status, count(*) AS n, cast(sum(processed) AS bigint) AS processed, round(avg(processed), 6) AS avg_processed FROM b GROUP BY status")
 def batch_stats(spark, d):
     b = logs(spark, d).groupBy("group_id", "status", F.expr("event_id div 20").alias("batch_id")).agg(F.count("*").alias("processed"))
-    return b.groupBy("status").agg(F.count("*").alias("n"), F.sum("processed").alias("processed"), F.round(F.avg("processed"), 6).alias("avg_processed"))
+    return stats.batch_totals(b)
 
 
 @query(CHARACTER + """SELECT doc_id, count(*) AS total, count(*) FILTER (st = 'completed') AS completed, count(*) FILTER (st = 'failed') AS failed, count(*) FILTER (st = 'pending') AS pending FROM (
@@ -349,7 +366,8 @@ def failed_events(spark, d):
 
 @query("SELECT event_id AS \"offset\", cast(user_id AS varchar) AS key, props AS value FROM events ORDER BY event_id LIMIT 50")
 def dead_letter_browse(spark, d):
-    return table(spark, d, "events").orderBy("event_id").limit(50).select(F.col("event_id").alias("offset"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"))
+    letters = table(spark, d, "events").select(F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"), F.col("ts").alias("timestamp"))
+    return routing.browse(letters).select("offset", "key", "value")
 
 
 _HASH = """WITH f AS (SELECT doc_id, encode(text) AS b FROM documents), h AS (SELECT doc_id, octet_length(b) AS n, sha256(encode('doc.md') || encode(cast(octet_length(b) AS varchar)) ||
@@ -390,8 +408,7 @@ def latest_status(spark, d):
 
 @query("SELECT user_id, batch_no, count(*) AS n, min(event_id) AS first_id FROM (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 20 AS batch_no FROM events) GROUP BY ALL")
 def microbatch_fixed(spark, d):
-    n = F.expr("(row_number() over (partition by user_id order by ts, event_id) - 1) div 20")
-    return table(spark, d, "events").select("user_id", "event_id", n.alias("batch_no")).groupBy("user_id", "batch_no").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    return numbering.batched(table(spark, d, "events").select("user_id", "event_id", "ts"), 20, "user_id", "ts", "event_id").groupBy("user_id", "batch_no").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
 _BATCHES = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (
@@ -415,8 +432,8 @@ def stream_microbatch(spark, d):
 def stream_routing(spark, d):
     from ..sources.streams import events_once
 
-    handler = F.when(F.col("event_type").isin("click", "view", "purchase"), F.col("event_type")).otherwise("dead_letter")
-    return events_once(spark, d, lambda s: s.select(handler.alias("handler"), "event_id"), "handler string, event_id long").groupBy("handler").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    routed = lambda s: routing.route(s.withColumn("topic", F.col("event_type")), {t: t for t in ("click", "view", "purchase")}).select("handler", "event_id")
+    return events_once(spark, d, routed, "handler string, event_id long").groupBy("handler").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
 @query("""SELECT doc_id, substring(sha256('email:' || doc_id), 1, 24) AS email_doc_id, substring(sha256('emb:' || doc_id), 1, 16) AS emb_id, substring(sha256('attach:' || doc_id || ':' || source), 1, 16) AS attach_id FROM documents""")
@@ -483,8 +500,7 @@ def payload_merge(spark, d):
 
 @query(LOGS + "SELECT group_id, count(*) FILTER (status = 'failed') AS storage_errors, cast(ceil(count(*) / 300.0) AS bigint) AS batches, count(*) FILTER (status = 'failed') > 0 AS has_partial_failure, CASE WHEN count(*) FILTER (status = 'completed') = 0 THEN 'failed' ELSE 'completed' END AS status FROM logs GROUP BY group_id")
 def partial_failure(spark, d):
-    g = logs(spark, d).groupBy("group_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("storage_errors"), F.count_if(F.col("status") == "completed").alias("ok"))
-    return g.select("group_id", "storage_errors", F.ceil(F.col("n") / 300).alias("batches"), (F.col("storage_errors") > 0).alias("has_partial_failure"), F.when(F.col("ok") == 0, "failed").otherwise("completed").alias("status"))
+    return stats.saved(logs(spark, d), "group_id")
 
 
 @query("SELECT event_id, event_id % 5 + 1 AS retry_count FROM events WHERE event_type = 'error' AND event_id % 5 < 3")

@@ -136,4 +136,4 @@ def stream_batch_timeout(spark, d):
     return events_once(spark, d, lambda s: microbatch.closed_batches(s, 5, 48 * 3600, "0 seconds"), microbatch.CLOSED)
 
 
-from . import records, state  # noqa: E402, F401  add their queries
+from . import intake, records, state  # noqa: E402, F401  add their queries

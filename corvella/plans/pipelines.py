@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Options
 from ..functions import scalars as S
-from ..operators import chunkers, logs, tables
+from ..operators import chunkers, logs, numbering, tables
 
 
 def ingest(uploads: DataFrame, processed: DataFrame, max_bytes: int, strategy: str = "character", options: Options | None = None) -> tuple[DataFrame, DataFrame]:
@@ -54,8 +54,7 @@ def process_emails(events: DataFrame, done: DataFrame, batch: int = 20, embed: C
     embed: adds embedding_status by content, as embedding.embed does. A mail has failed if its embedding has; without embed all are completed."""
     e = emails(events).join(done.select("event_id").distinct(), "event_id", "left_anti")
     e = tables.first_wins(e, "email_id", "event_id", "pos")
-    w = Window.partitionBy("account_id").orderBy("event_id", "pos", "email_id")
-    e = e.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / batch)).withColumn("embeds", F.length("content") > 0)
+    e = numbering.batched(e, batch, "account_id", "event_id", "pos", "email_id").withColumn("embeds", F.length("content") > 0)
     if embed is None:
         return e.withColumn("status", F.lit("completed"))
     return embed(e).withColumn("status", F.when(F.col("embedding_status") == "failed", "failed").otherwise("completed"))

@@ -205,14 +205,55 @@ def test_default_annotator_leaves_out_common_words():
     assert C.capitals(no_entities=frozenset({"it"}), no_topics=frozenset())(["It and"]) == [(set(), {"and"})]
 
 
-def test_recursive_and_semantic_pieces_lie_in_their_texts():
-    """Both strategies give pieces whose words stand in the text in this order, none longer than they may be."""
-    for t in some_texts(40, 8):
-        text = t.replace(". B", ".\n\nB")
-        for _, a, b in C.semantic(text, 200, 40, 30):
-            assert 0 <= a < b
-        for p, a, b in C.recursive(text, 200, 40, 30):
-            assert len(p) <= 230 and text[a:b].strip() in p or len(p) == 230
+def plain_recursive(text, most, least, overlap):
+    """By places in the text: cut after each of the coarsest separators, fill up to most, go deeper where one part is too long."""
+
+    def places(a, b, separators):
+        if b - a <= most:
+            return [(a, b)]
+        for k, s in enumerate(separators):
+            ends, at = [], text.find(s, a) if s else -1
+            while 0 <= at and at + len(s) <= b:
+                ends.append(at + len(s))
+                at = text.find(s, at + len(s))
+            if ends:
+                out, begin, end = [], a, a
+                for e in [*ends, b]:
+                    if e - begin <= most:
+                        end = e
+                        continue
+                    out += [(begin, end)] if end - begin >= least else []
+                    out += places(end, e, separators[k + 1 :]) if e - end > most else []
+                    begin, end = (e, e) if e - end > most else (end, e)
+                return out + ([(begin, end)] if end - begin >= least else [])
+        out = []
+        for x in range(a, b, most):
+            y = min(x + most, b)
+            space = text.rfind(" ", x, y)
+            y = space if y - x == most and space - x > most / 2 else y
+            out += [(x, y)] if y - x >= least else []
+        return out
+
+    out, at, before = [], 0, None
+    for a, b in places(0, len(text), C.SEPARATORS):
+        piece, lead = text[a:b], ""
+        if before is not None:
+            lead = before[-overlap:]
+            space = lead.find(" ")
+            if 0 <= space < overlap / 2 and len(before) > overlap:
+                lead = lead[space + 1 :]
+        start = text.find(piece, at)
+        at = start + len(piece)
+        if (lead + piece).strip():
+            out.append(((lead + piece)[: most + overlap].strip(), start, at))
+        before = piece
+    return out
+
+
+@given(st.text(alphabet="ab. ,\n!?;é", max_size=400), st.integers(20, 60), st.integers(0, 20), st.integers(1, 19))
+@settings(max_examples=300, deadline=None)
+def test_recursive_against_brute_force(text, most, least, overlap):
+    assert list(C.recursive(text, most, least, overlap)) == plain_recursive(text, most, least, overlap)
 
 
 # -- coverage

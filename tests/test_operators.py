@@ -223,3 +223,29 @@ def test_json_stream_reads_what_arrives(spark, tmp_path):
 def test_payload_of_null_maps(spark):
     got = spark.sql("SELECT map('a', '1') AS x, cast(NULL AS map<string,string>) AS y").select(tables.merge_payload(F.col("x"), F.col("y")), tables.merge_payload(F.col("y"), F.col("x"))).first()
     assert got[0] == got[1] == {"a": "1"}
+
+
+def test_numbers_within_groups_of_any_size(spark):
+    import random
+
+    from corvella.operators import numbering
+
+    r = random.Random(4)
+    rows = [(r.choice(["hot"] * 8 + ["a", "b", None]), r.randrange(50), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, t int, i long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(x.g, x.t, x.i): x.row_no for x in numbering.numbered(df, "g", "t", "i").collect()}
+        cut = {(x.g, x.i): x.batch_no for x in numbering.batched(df, 20, "g", "t", "i").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for g in {x[0] for x in rows}:
+        for n, x in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: x[1:])):
+            want[x] = n
+    assert got == want and cut == {(g, i): n // 20 for (g, _, i), n in want.items()}
+    assert numbering.numbered(df.limit(0), "g", "t", "i").count() == 0
+
+
+def test_paragraphs(spark):
+    assert one(spark, S.paragraphs(F.lit("\n\n a\nb \n \n\n c\n\n\n"))) == ["a\nb", "c"] and one(spark, S.paragraphs(F.lit(""))) == []
