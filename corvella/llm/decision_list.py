@@ -123,8 +123,10 @@ def _counts(rows: DataFrame, thresholds: dict[str, list[int]]) -> dict[Condition
 def learn(labelled: DataFrame, max_rules: int = 6, max_conditions: int = 3, min_rows: int = 15, purity: float = 0.9) -> list[list[Condition]]:
     """labelled: f_<statistic> columns, bad 0/1 and held 0/1 (rows for pruning). Returns the rules, in order."""
     grow, prune = labelled.where("held = 0"), labelled.where("held = 1")
-    points = grow.select(*[F.percentile_approx(f"f_{f}", [k / 12 for k in range(13)], 1000).alias(f) for f in FEATURES]).first()
-    bad_points = grow.where("bad = 1").select(*[F.percentile_approx(f"f_{f}", [k / 10 for k in range(11)], 1000).alias(f) for f in FEATURES]).first()
+    # Exact, so that thresholds do not depend on how the rows are split.
+    at = lambda f, n: F.transform(F.percentile(f"f_{f}", [k / n for k in range(n + 1)]), lambda x: F.floor(x + 1e-6)).alias(f)
+    points = grow.select(*[at(f, 12) for f in FEATURES]).first()
+    bad_points = grow.where("bad = 1").select(*[at(f, 10) for f in FEATURES]).first()
     thresholds = {f: sorted({*(points[f] or []), *(bad_points[f] or [])}) for f in FEATURES}
     bins = [sum((F.when(F.col(f"f_{f}") >= t, 1).otherwise(0) for t in ts), F.lit(0)).alias(f"b_{f}") for f, ts in thresholds.items()]
     grow = stored(grow.select("*", *bins), "grow")

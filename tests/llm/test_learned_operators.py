@@ -490,6 +490,71 @@ def test_growing_against_brute_force(spark):
         assert n == (sum(hit), len(hit) - sum(hit))
 
 
+def plain_rules(rows, max_rules=6, max_conditions=3, min_rows=15, purity=0.9):
+    """Sequential covering over a list of dicts: grown by the best gain, pruned on the held back rows."""
+    grow, prune = ([r for r in rows if r["held"] == h] for h in (0, 1))
+    bad = [r for r in grow if r["bad"]]
+    ranks = lambda some, f, n: {math.floor(x + 1e-6) for x in np.percentile([r[f] for r in some], [100 * k / n for k in range(n + 1)])} if some else set()
+    thresholds = {f: sorted(ranks(grow, f, 12) | ranks(bad, f, 10)) for f in decision_list.FEATURES}
+    met = lambda r, rule: all(r[f] >= t if side == ">=" else r[f] < t for f, side, t in rule)
+    two = lambda some: (sum(r["bad"] for r in some), sum(1 - r["bad"] for r in some))
+    rules = []
+    while len(rules) < max_rules and two(grow)[0] >= min_rows:
+        rule = []
+        while len(rule) < max_conditions:
+            own = [r for r in grow if met(r, rule)]
+            p, n = two(own)
+            if not n:
+                break
+            best = None
+            for f in decision_list.FEATURES:
+                for t in thresholds[f]:
+                    for side in ("<", ">="):
+                        cp, cn = two([r for r in own if met(r, [(f, side, t)])])
+                        gain = cp * (math.log2(cp / (cp + cn)) - math.log2(p / (p + n))) if cp >= min_rows else 0
+                        if gain > (best[0] if best else 0.0) + 1e-9:
+                            best = gain, (f, side, t)
+            if not best:
+                break
+            rule.append(best[1])
+        if not rule:
+            break
+        kept = []
+        for k in range(1, len(rule) + 1):
+            hp, hn = two([r for r in prune if met(r, rule[:k])])
+            kept.append(((hp - hn) / (hp + hn) if hp + hn else -1.0, -k, hp, hn))
+        worth, k, hp, hn = max(kept)
+        rule = rule[:-k]
+        if hp + hn == 0 or hp / (hp + hn) < purity:
+            break
+        rules.append(rule)
+        grow, prune = ([r for r in some if not met(r, rule)] for some in (grow, prune))
+    return rules
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_learning_against_brute_force(spark, seed):
+    """Growing, pruning, the order of the rules and where the search ends, for data in any number of partitions."""
+    rng = random.Random(seed)
+    data = []
+    for _ in range(900):
+        kind = rng.choice(["good"] * 5 + ["marks", "long", "digits and upper"])
+        r = {f: rng.randint(0, 40) for f in decision_list.FEATURES} | {"bad": int(kind != "good" and rng.random() < 0.97), "held": int(rng.random() < 0.33)}
+        r["mark_rate"] += 60 * (kind == "marks")
+        r["n_words"] += 100 * (kind == "long")
+        if kind == "digits and upper":
+            r["digit_rate"], r["upper_rate"] = 30 + r["digit_rate"], 35 + r["upper_rate"] // 2
+        data.append(r)
+    names = list(decision_list.FEATURES)
+    df = spark.createDataFrame([(r["bad"], r["held"], *(r[f] for f in names)) for r in data], "bad int, held int, " + ", ".join(f"f_{f} long" for f in names))
+    want = plain_rules(data)
+    assert decision_list.learn(df.repartition(seed)) == want and len(want) >= 2
+    got = df.select(decision_list.case_expression(want).alias("rule"), *df.columns).collect()
+    for r in got:
+        first = next((k for k, rule in enumerate(want, 1) if all(r[f"f_{f}"] >= t if side == ">=" else r[f"f_{f}"] < t for f, side, t in rule)), 0)
+        assert r.rule == first
+
+
 def test_stages_with_odd_rows(spark, small, tmp_path):
     """Nulls, empty and very long texts, repeated rows, clashing columns and an empty table in every stage."""
     import corpus_pipeline
