@@ -3,8 +3,10 @@ checked against schemas and written as canonical JSON.
 
 A call depends on the calls whose ids its arguments name as "$id". Level 0 has no dependency, level n only such of
 lower levels; calls that wait on each other, or on such a call, have no level and no position. A conversation of at
-most MOST calls (identifiers and dependencies only, no texts) is ordered by one task; a larger one by rounds of joins,
-a round a level. position is the place in the order of level, turn and identifier.
+most MOST calls (identifiers and dependencies only, no texts) is ordered by one task; a larger one by joins: calls with one
+dependency point to it, and pointers jump to what their target points to, so that chains take as many rounds as the logarithm
+of their length; then the calls with several dependencies take a round for each of these on a path. position is the place in
+the order of level, turn and identifier.
 
 Rows: of calls (or results) with one id in one conversation, the first by turn counts, ties by content, and the others
 are counted; a null identifier joins nothing and is an orphan, and so does a null conversation; null or broken
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 MOST = 1_000_000  # calls of a conversation that one task orders
@@ -167,21 +169,58 @@ def levels(calls: DataFrame, most: int = MOST) -> DataFrame:
     return small.unionByName(rounds(stored(calls.join(large, "conv_id", "left_semi"), "large-calls")))
 
 
-def rounds(calls: DataFrame) -> DataFrame:
-    """The same for conversations that no task should hold: a round of joins a level, positions by counting."""
-    edges = stored(calls.select("conv_id", "call_id", F.explode("deps").alias("dep")).join(calls.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi"), "edges")
-    new = calls.select("conv_id", "call_id").join(edges.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-    folder, n = [], 0
+def _jumped(single: DataFrame, n: int) -> DataFrame:
+    """conv_id, call_id, anchor, steps of calls with one dependency (dep): the first call on its way that has none or several.
+
+    n: how many there are. Calls on a way into a cycle never get there and are left out."""
+    ways = stored(single.select("conv_id", "call_id", F.col("dep").alias("anchor"), F.lit(1).cast("long").alias("steps")), "ways")
+    k = 0
     while True:
-        new = stored(new.withColumn("level", F.lit(n)), "levels")
+        after = ways.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"))
+        both = stored(ways.join(after, ["conv_id", "anchor"], "left"), "jumps")
+        further = both.select("conv_id", "call_id", F.coalesce("next", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        k += 1
+        if k > n.bit_length() + 1 or both.where("next IS NOT NULL").isEmpty():
+            return both.where("next IS NULL").select("conv_id", "call_id", "anchor", "steps")
+        new = stored(further, "ways")
+        for old in (ways, both):
+            discard(old)
+        ways = new
+
+
+def rounds(calls: DataFrame) -> DataFrame:
+    """The same for conversations that no task should hold."""
+    names = ["conv_id", "call_id"]
+    edges = stored(calls.select(*names, F.explode("deps").alias("dep")).join(calls.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi"), "edges")
+    several = edges.groupBy(*names).agg(F.count("*").alias("n"), F.min("dep").alias("dep"))
+    several = stored(several, "needs")
+    single = several.where("n = 1")
+    ways = stored(_jumped(single, single.count()), "anchors")
+    # The contracted graph: calls with several dependencies, and how far behind the anchor of each they are.
+    joins = edges.join(several.where("n > 1").select(*names), names, "left_semi")
+    far = joins.join(ways.select("conv_id", F.col("call_id").alias("dep"), "anchor", "steps"), ["conv_id", "dep"], "left").select(*names, F.coalesce("anchor", "dep").alias("anchor"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    wait = stored(far, "waits")
+    new = stored(calls.select(*names).join(several.select(*names), names, "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    folder, best = [new.stored_at], None
+    while not wait.isEmpty():
+        met = wait.join(new.select("conv_id", F.col("call_id").alias("anchor"), "level"), ["conv_id", "anchor"], "left")
+        met = stored(met, "met")
+        reached = met.where("level IS NOT NULL").select(*names, (F.col("level") + F.col("steps")).alias("level"))
+        reached = reached if best is None else best.unionByName(reached)
+        left = stored(met.where("level IS NULL").select("conv_id", "call_id", "anchor", "steps"), "waits")
+        best_now = stored(reached.groupBy(*names).agg(F.max("level").alias("level")), "best")
+        new = stored(best_now.join(left.select(*names), names, "left_anti"), "levels")
+        more = stored(best_now.join(left.select(*names), names, "left_semi"), "best")
+        for old in (wait, met, best_now, *([best] if best is not None else [])):
+            discard(old)
         folder.append(new.stored_at)
-        if edges.isEmpty() or new.isEmpty():
+        wait, best = left, more
+        if new.isEmpty():
             break
-        n += 1
-        left = stored(edges.join(new.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"), "edges")
-        new = edges.select("conv_id", "call_id").distinct().join(left.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        edges = left
-    done = stored(calls.sparkSession.read.schema("conv_id long, call_id string, level int").parquet(*folder).join(calls.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"]), "levelled")
+    known = calls.sparkSession.read.schema("conv_id long, call_id string, level long").parquet(*folder)
+    behind = ways.join(known.withColumnsRenamed({"call_id": "anchor"}), ["conv_id", "anchor"]).select(*names, (F.col("level") + F.col("steps")).alias("level"))
+    levels = known.unionByName(behind).withColumn("level", F.col("level").cast("int"))
+    done = stored(levels.join(calls.select(*names, "turn"), names), "levelled")
     # Places by blocks of turns: within a block by a window, before it by the sum of the blocks' sizes.
     done = done.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / SERIAL))
     sizes = done.groupBy("conv_id", "level", "block").agg(F.count("*").alias("m"))

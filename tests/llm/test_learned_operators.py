@@ -395,6 +395,29 @@ def test_tool_call_order_against_brute_force(spark):
         assert ids == sorted((k[1] for k in want if k[0] == conv), key=lambda c: want[conv, c][1])
 
 
+def test_large_conversations_are_ordered_by_jumps(spark):
+    """Chains, trees, joins and cycles, by joins alone, as one task orders them; a chain takes a logarithm of rounds."""
+    rng = random.Random(31)
+    convs = {
+        0: {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(150)},
+        1: {f"c{i}": [f"c{rng.randrange(i)}"] if i else [] for i in range(60)},
+        2: {f"c{i}": sorted({f"c{rng.randrange(i)}" for _ in range(rng.randrange(4))}) if i else [] for i in range(60)},
+        3: {"a": ["c"], "b": ["a"], "c": ["b"], "d": ["c"], "e": ["d", "f"], "f": [], "g": ["f"], "h": ["h"], "i": ["g", "f"], "j": ["i"], "k": ["nowhere", "j"]},
+        4: {f"c{i}": [f"c{i - 1}", f"c{i // 2}"] if i > 1 else [] for i in range(20)},
+        5: {"only": []},
+    }
+    rows = [(v, c, rng.choice([None, 1, 2, 5000]), deps) for v, calls in convs.items() for c, deps in calls.items()]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, deps array<string>")
+    want = {}
+    for v in convs:
+        own = [r for r in rows if r[0] == v]
+        for r, level, position in zip(own, *tool_calls.order([r[1] for r in own], [r[2] for r in own], [r[3] for r in own]), strict=True):
+            if level is not None:
+                want[v, r[1]] = (level, position)
+    assert {(r.conv_id, r.call_id): (r.level, r.position) for r in tool_calls.rounds(calls).collect()} == want
+    assert want[0, "c149"] == (149, 149) and (3, "d") not in want and (3, "e") not in want and (3, "k") in want
+
+
 def test_conversation_calls_keep_the_whole_text(spark):
     texts = ["short", 'a "quoted"\n\\ part ' * 5, "\u4e2d\U0001f600 " * 30, "$call_1_0" + "x" * 60, "word " * 60_000]
     turns = [(k, turn, role, t) for k, t in enumerate(texts) for turn, role in ((0, "user"), (1, "assistant"))]
