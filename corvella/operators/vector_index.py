@@ -19,14 +19,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine
+from .vectors import FOUND, best_places, found_batch, matrix, query_blocks, ranked
 
 SAMPLE = 20_000  # rows that an index is trained on: the bound of the fit
 CODES = 256
-BLOCK = 4096  # queries that are sent to the tasks at once
 ASKED = 200  # sample rows that the number of lists is chosen by
 
 
@@ -77,17 +76,6 @@ def _means(rows: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
-def _matrix(lists: pa.Array, width: int) -> np.ndarray:
-    """Vectors of one width; missing components are 0, further ones do not count."""
-    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    inside = place < width
-    out = np.zeros((len(lists), width))
-    flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(float)
-    out[np.repeat(np.arange(len(lists)), size)[inside], place[inside]] = flat[inside]
-    return out
-
-
 def _usable(vectors: DataFrame, width: int | None = None) -> DataFrame:
     whole = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
     return whole if width is None else whole.where(F.size("embedding") == width)
@@ -102,7 +90,7 @@ def train(vectors: DataFrame, k: int = 10, recall: float = 0.97, lists: int | No
     total = rows.count()
     picked = rows.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()["embedding"]
     width = max(Counter(len(v) for v in picked).items(), key=lambda x: (x[1], x[0]), default=(1, 0))[0] or 1
-    x = _units(_matrix(pa.array([list(v) for v in picked if len(v) == width], pa.list_(pa.float64())), width))
+    x = matrix(pa.array([list(v) for v in picked if len(v) == width], pa.list_(pa.float64())), width)[0]
     if not len(x):
         return Index(np.zeros((1, 1)), np.zeros((1, CODES, 1)), 1, k, 1.0)
     n = max(1, min(lists or int(total**0.5), len(x) // 4 or 1))
@@ -119,15 +107,15 @@ def train(vectors: DataFrame, k: int = 10, recall: float = 0.97, lists: int | No
     codes, near, tables = index.codes(x, of), np.argsort(-(x[asked] @ centroids.T), axis=1), index.tables(x[asked])
     guess = np.stack([(x[q] @ centroids.T)[of] + t[np.arange(parts), codes].sum(axis=1) for q, t in zip(asked, tables, strict=True)])
     guess[np.arange(len(asked)), asked] = -9
-    # Among rows as many as all: a search of the whole table keeps as many rows for each list that it looks at.
-    for share in (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
-        probes, kept = max(1, int(np.ceil(share * n))), k * 10
-        found = []
+    steps = [(kept, share) for kept in (10, 30, 100) for share in (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)]
+    for kept, share in steps:
+        probes, found = max(1, int(np.ceil(share * n))), []
         for q in range(len(asked)):
             open_ = np.flatnonzero(np.isin(of, near[q, :probes]))
-            first = open_[np.argsort(-guess[q, open_], kind="stable")[:kept]]
+            first = open_[np.argsort(-guess[q, open_], kind="stable")[: k * kept]]
             found.append(np.isin(best[q], first).mean() if best.shape[1] else 1.0)
-        index.lists_asked, index.reranked, index.sample_recall = probes, kept, float(np.mean(found))
+        # Of more rows than the sample has, more are re-ranked, in proportion.
+        index.lists_asked, index.reranked, index.sample_recall = probes, int(k * kept * max(1.0, total / len(x))), float(np.mean(found))
         if index.sample_recall >= recall:
             break
     return index
@@ -141,7 +129,7 @@ def build(vectors: DataFrame, index: Index, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            unit = _units(_matrix(b.column(at), width))
+            unit = matrix(b.column(at), width)[0]
             cosines = unit @ index.centroids.T
             of = np.argmax(cosines, axis=1) if len(unit) else np.zeros(0, np.int64)
             near = cosines[np.arange(len(unit)), of]
@@ -153,18 +141,6 @@ def build(vectors: DataFrame, index: Index, path: str) -> DataFrame:
     return kept.sparkSession.read.schema(schema).parquet(path)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, list]]:
-    ids, lists = [], []
-    for r in queries.select("query_id", "query_vector").where("query_id IS NOT NULL AND query_vector IS NOT NULL").toLocalIterator():
-        ids.append(r.query_id)
-        lists.append(list(r.query_vector))
-        if len(ids) == BLOCK:
-            yield np.array(ids, np.int64), lists
-            ids, lists = [], []
-    if ids:
-        yield np.array(ids, np.int64), lists
-
-
 def _nearest_rows(rows: DataFrame, index: Index, ids: np.ndarray, unit: np.ndarray, asked: dict[int, np.ndarray], keep: int) -> DataFrame:
     """query_id, vec_id, list of the first rows of the asked lists by code. asked: the queries (places) of each list."""
     near, tables = unit @ index.centroids.T, index.tables(unit)
@@ -190,11 +166,6 @@ def _nearest_rows(rows: DataFrame, index: Index, ids: np.ndarray, unit: np.ndarr
     return found.where("query_id <> vec_id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep).select("query_id", "vec_id", "list")
 
 
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def _asked(places: np.ndarray) -> dict[int, np.ndarray]:
     """Places of queries by list, from a table of booleans (query, list)."""
     return {int(k): np.flatnonzero(places[:, k]) for k in np.flatnonzero(places.any(axis=0))}
@@ -203,39 +174,66 @@ def _asked(places: np.ndarray) -> dict[int, np.ndarray]:
 def search(rows: DataFrame, index: Index, queries: DataFrame, k: int = 10, exact: bool = False) -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest rows (of build) of each query (query_id, query_vector), itself left out; ties by vec_id.
 
-    The queries are a stated set; they pass through the driver in blocks. Scores are rounded as by top_k_each."""
-    spark, out = rows.sparkSession, None
-    for ids, lists in _blocks(queries):
-        unit = _units(_matrix(pa.array(lists, pa.list_(pa.float64())), index.centroids.shape[1]))
+    The queries are a stated set; they pass through the driver in blocks. Scores are rounded as by top_k_each. Queries of
+    another length than the index's vectors find nothing."""
+    out = None
+    for ids, lists in query_blocks(queries):
+        unit, good = matrix(lists, index.centroids.shape[1])
+        ids, unit = ids[good], unit[good]
         near = unit @ index.centroids.T
         first = np.zeros(near.shape, bool)
         np.put_along_axis(first, np.argsort(-near, axis=1)[:, : index.lists_asked], True, axis=1)
-        block = F.broadcast(spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, lists, strict=True)], "query_id long, query_vector array<double>"))
-        score = F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("score")
         if exact:
-            best = _exactly(rows, index, block, unit, near, first, ids, score, k)
+            best = _exactly(rows, index, ids, unit, near, first, k)
         else:
-            some = _nearest_rows(rows, index, ids, unit, _asked(first), index.reranked)
-            vectors = rows.where(F.col("list").isin([int(x) for x in np.flatnonzero(first.any(axis=0))])).select("vec_id", "list", "embedding")
-            best = _ranked(vectors.join(some, ["list", "vec_id"]).join(block, "query_id").select("query_id", "vec_id", score), k)
+            some = _nearest_rows(rows, index, ids, unit, _asked(first), index.reranked).groupBy("list", "vec_id").agg(F.collect_set("query_id").alias("asking"))  # a block's queries at most
+            vectors = rows.where(F.col("list").isin([int(x) for x in np.flatnonzero(first.any(axis=0))])).select("list", "vec_id", "embedding")
+            best = ranked(_scored(vectors.join(some, ["list", "vec_id"]).select("vec_id", "embedding", "asking"), ids, unit), k)
         out = best if out is None else out.unionByName(best)
-    return out if out is not None else spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    return out if out is not None else ranked(rows.sparkSession.createDataFrame([], FOUND), k)
+
 
+def _scored(pairs: DataFrame, ids: np.ndarray, unit: np.ndarray) -> DataFrame:
+    """FOUND rows of vec_id, embedding and the queries asking for each."""
+    place = {int(i): q for q, i in enumerate(ids)}
+    width = unit.shape[1]
 
-def _exactly(rows: DataFrame, index: Index, block: DataFrame, unit: np.ndarray, near: np.ndarray, first: np.ndarray, ids: np.ndarray, score, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, names = matrix(b.column(1), width)[0], pc.list_flatten(b.column(2)).to_numpy()
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy())
+            q = np.array([place[i] for i in names.tolist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(b.column(0).to_numpy()[row]), pa.array(np.einsum("rd,rd->r", x[row], unit[q]))], names=["query_id", "vec_id", "score"])
+
+    return pairs.mapInArrow(run, FOUND)
+
+
+def _exactly(rows: DataFrame, index: Index, ids: np.ndarray, unit: np.ndarray, near: np.ndarray, first: np.ndarray, k: int) -> DataFrame:
     """Every row of the lists that may hold one of the k nearest: first those asked anyway, then those whose radius reaches what these found."""
-    spark = rows.sparkSession
+    width = unit.shape[1]
 
     def over(places: np.ndarray) -> DataFrame:
-        pairs = [(int(ids[q]), int(x)) for q, x in zip(*np.nonzero(places), strict=True)]
-        pairs_of = spark.createDataFrame(pairs, "query_id long, list int").groupBy("list").agg(F.collect_list("query_id").alias("asking"))  # at most the block's queries a list
-        own = rows.where(F.col("list").isin(sorted({x for _, x in pairs}))).select("vec_id", "list", "embedding").join(F.broadcast(pairs_of), "list")
-        return own.select("vec_id", "embedding", F.explode("asking").alias("query_id")).where("query_id <> vec_id").join(block, "query_id").select("query_id", "vec_id", score)
-
-    found = _ranked(over(first), k)
+        asked = _asked(places)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                vec, of, x = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), matrix(b.column(1), width)[0]
+                parts = []
+                for one in np.unique(of).tolist():
+                    own = np.flatnonzero(of == one)
+                    scores = unit[asked[one]] @ x[own].T
+                    for s, q in zip(scores, asked[one].tolist(), strict=True):
+                        some = best_places(s, k + 1)
+                        some = some[vec[own[some]] != ids[q]]
+                        parts.append((int(ids[q]), vec[own[some]], s[some]))
+                yield found_batch(parts)
+
+        return ranked(rows.where(F.col("list").isin(sorted(asked))).select(F.col("vec_id").cast("long"), "embedding", "list").mapInArrow(run, FOUND), k)
+
+    found = over(first)
     least = {r.query_id: r.score for r in found.where(F.col("rank") == k).select("query_id", "score").collect()}  # a number for each query of the block
     radius = np.full(near.shape[1], -1.0)
-    for r in rows.groupBy("list").agg(F.min("near").alias("near"), F.max((F.col("near") == 0).cast("int")).alias("zero")).collect():  # a number for each list
+    for r in rows.groupBy("list").agg(F.min("near").alias("near")).collect():  # a number for each list
         radius[r["list"]] = np.arccos(np.clip(r.near, -1, 1))
     angle = np.arccos(np.clip(near, -1, 1))
     reach = np.cos(np.maximum(angle - radius, 0))  # no row of the list is nearer
@@ -243,7 +241,7 @@ def _exactly(rows: DataFrame, index: Index, block: DataFrame, unit: np.ndarray,
     more = ~first & (radius >= 0) & (np.maximum(reach, 0.0) >= floor[:, None] - 1e-5)  # a zero vector scores 0 wherever it lies
     if not more.any():
         return found
-    return _ranked(found.drop("rank").unionByName(over(more)), k)
+    return ranked(found.unionByName(over(more)).drop("rank"), k)
 
 
 def recall(found: DataFrame, true: DataFrame, k: int = 10) -> DataFrame:

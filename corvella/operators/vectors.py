@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,22 +26,103 @@ def top_k(vectors: DataFrame, query: list[float] | DataFrame, k: int = 10) -> Da
     return scored(vectors, query).orderBy(F.desc(F.round("score", 9)), "vec_id").limit(k)
 
 
-BLOCK = 4096
+#: Queries, and numbers of their vectors, that are sent to the tasks at once.
+BLOCK, NUMBERS = 4096, 2_000_000
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact search for a stated set of query vectors (query_id, query_vector); partial top-k before the shuffle.
+def matrix(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of one width with norm 1 or 0, which of the lists are such vectors); the others have zeros."""
+    size = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(lists)
+    whole = flat.null_count == 0
+    good = size == width
+    out = np.zeros((len(lists), width))
+    if whole and good.all():
+        out = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+    else:
+        for k in np.flatnonzero(good).tolist():
+            own = lists[k].as_py()
+            good[k] = None not in own
+            out[k] = own if good[k] else 0.0
+    good &= np.isfinite(out).all(axis=1)
+    out = np.where(good[:, None], out, 0.0)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norm == 0, 1.0, norm), good
+
+
+def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Blocks (ids, vectors) of queries (query_id, query_vector) that have both, read through the driver one after the other."""
+    ids, lists, held = [], [], 0
+    for r in queries.select("query_id", "query_vector").where("query_id IS NOT NULL AND query_vector IS NOT NULL").toLocalIterator():
+        ids.append(r.query_id)
+        lists.append(list(r.query_vector))
+        held += len(lists[-1])
+        if len(ids) == BLOCK or held >= NUMBERS:
+            yield np.array(ids, np.int64), pa.array(lists, pa.list_(pa.float64()))
+            ids, lists, held = [], [], 0
+    if ids:
+        yield np.array(ids, np.int64), pa.array(lists, pa.list_(pa.float64()))
+
+
+FOUND = "query_id long, vec_id long, score double"
+
 
-    The queries are counted and broadcast in blocks of about 4,096, each with a pass of its own over the vectors."""
-    blocks = -(-queries.count() // BLOCK) or 1
+def found_batch(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """FOUND rows of (query, row ids, scores)."""
+    ids = np.repeat([q for q, _, _ in parts], [len(v) for _, v, _ in parts])
+    columns = [pa.array(ids.astype(np.int64)), *(pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0), t) for k, t in ((1, pa.int64()), (2, pa.float64())))]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+
+def best_places(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, and of all that rounding may bring level with them."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 2e-6)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, scores rounded to six places; ties by vec_id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.crossJoin(F.broadcast(block)).where("query_id <> vec_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Exact search for a stated set of query vectors (query_id, query_vector): query_id, vec_id, score, rank, the query's own row left out.
+
+    The queries are sent to the tasks in blocks, each with a pass of its own over the vectors; a task scores a batch of rows by one
+    matrix product, and only the best of each batch are shuffled. Rows without an id, and vectors that are null, of another
+    length than the query's or hold what is no number, are no neighbours; a zero vector has cosine 0 with all."""
+    rows, out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL"), None
+    for ids, lists in query_blocks(queries):
+        best = _block(rows, ids, lists, k)
         out = best if out is None else out.unionByName(best)
-    return out
+    return out if out is not None else _block(rows, np.zeros(0, np.int64), pa.array([], pa.list_(pa.float64())), k)
+
+
+def _block(rows: DataFrame, ids: np.ndarray, lists: pa.Array, k: int) -> DataFrame:
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    groups = []
+    for width in np.unique(sizes):
+        own = np.flatnonzero(sizes == width)
+        unit, good = matrix(lists.take(pa.array(own)), int(width))
+        groups.append((int(width), ids[own[good]], unit[good]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vec = b.column(0).to_numpy()
+            parts = []
+            for width, asked, unit in groups:
+                x, usable = matrix(b.column(1), width)
+                own = vec[usable]
+                scores = unit @ x[usable].T
+                for q, name in enumerate(asked.tolist()):
+                    first = best_places(scores[q], k + 1)  # one may be the query's own row
+                    first = first[own[first] != name]
+                    parts.append((name, own[first], scores[q, first]))
+            yield found_batch(parts)
+
+    return ranked(rows.mapInArrow(run, FOUND), k)
 
 
 def hashed(codes: Column, dims: int = 64) -> Column:

@@ -84,7 +84,7 @@ def test_filtered_and_blocked_searches(data, built, monkeypatch):
     got = vector_index.search(only, index, asked(data), 5, exact=True)
     assert got.join(data.where("label <> 1 AND vec_id <> 5"), "vec_id").count() == 0
     whole = sorted(map(tuple, vector_index.search(rows, index, asked(data), 5).collect()))
-    monkeypatch.setattr(vector_index, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "BLOCK", 7)
     assert sorted(map(tuple, vector_index.search(rows, index, asked(data), 5).collect())) == whole and len(whole) == 150
 
 
@@ -107,3 +107,14 @@ def test_recall_on_the_given_embeddings(spark, tmp_path):
     q = e.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
     found = vector_index.search(vector_index.build(e, index, str(tmp_path / "given")), index, q)
     assert vector_index.recall(found, vectors.top_k_each(e, q)).first().recall >= 0.9
+
+
+def test_exact_search_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [-1.0, 0.0]), (2, [0.0, 5.0]), (9, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [0.0, 0.0]), (52, None), (None, [1.0, 1.0]), (53, [1.0]), (54, [float("inf"), 0.0])], "query_id long, query_vector array<double>")
+    got: dict = {}
+    for r in vectors.top_k_each(v, q, 3).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {1: [(2, 1.0), (2, 0.0), (3, 0.0)], 50: [(2, 1.0), (1, 0.0), (2, 0.0)], 51: [(1, 0.0), (2, 0.0), (2, 0.0)], 53: [(5, 1.0)]}
+    assert vectors.top_k_each(v, q.limit(0), 3).count() == vectors.top_k_each(v.limit(0), q, 3).count() == 0
