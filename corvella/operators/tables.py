@@ -37,8 +37,10 @@ def latest(log: DataFrame, key: str, value: str, at: str, *tie: str) -> DataFram
 def mark_duplicates(new: DataFrame, known: DataFrame | None = None, order: str = "doc_id") -> DataFrame:
     """existing_id: the known document with the hash, else the first of the batch that has it. A null hash equals no other.
 
-    The first of a hash is a partial aggregate, so that a hash shared by most files makes no group of theirs."""
-    out = new.join(new.groupBy("quick_hash").agg(F.min(order).alias("first_id")), "quick_hash", "left")
+    The first of a hash is a partial aggregate, so that a hash shared by most files makes no group of theirs, and only hashes that
+    occur twice are joined: where they are few, Spark broadcasts them. new is read twice; let it hold the hash, not the content."""
+    twice = new.groupBy("quick_hash").agg(F.min(order).alias("first_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    out = new.join(twice, "quick_hash", "left")
     out = out.withColumn("existing_id", F.when(F.col("first_id") != F.col(order), F.col("first_id")))
     if known is not None:
         k = known.groupBy("quick_hash").agg(F.min(order).alias("known_id"))

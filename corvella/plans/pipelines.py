@@ -22,10 +22,16 @@ def ingest(uploads: DataFrame, processed: DataFrame, max_bytes: int, strategy: s
     return u, chunkers.chunk(u.where("status = 'completed'"), strategy, **(chunkers.sizes(options, strategy) if options else {}))
 
 
-def index(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Vector rows of the chunks that have an embedding; embeddings without a chunk are dropped and not counted."""
+def index(chunks: DataFrame, embeddings: DataFrame, content_type: str = "pdf") -> DataFrame:
+    """Vector rows of the chunks that have an embedding; embeddings without a chunk are dropped and not counted.
+
+    payload: what a search gives back with a vector, keys of chunk_metadata (if there is such a column) before fixed ones."""
     joined = embeddings.join(chunks, ["doc_id", "chunk_index"])
-    return joined.select("doc_id", "chunk_index", "chunk_id", "embedding", F.substring("text_content", 1, 200).alias("text_preview"), F.lit("completed").alias("embedding_status"))
+    preview = F.substring("text_content", 1, 200)
+    parts = {"chunk_id": F.col("chunk_id"), "document_id": F.col("doc_id"), "chunk_index": F.col("chunk_index"), "text_preview": preview, "content_type": F.lit(content_type)}
+    fixed = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast("string"))])
+    metadata = F.col("chunk_metadata") if "chunk_metadata" in chunks.columns else F.lit(None).cast("map<string,string>")
+    return joined.select("doc_id", "chunk_index", "chunk_id", "embedding", preview.alias("text_preview"), tables.merge_payload(fixed, metadata).alias("payload"), F.lit("completed").alias("embedding_status"))
 
 
 def quarantine(failed: DataFrame, chunks: DataFrame) -> DataFrame:

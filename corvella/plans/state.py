@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Options
 from ..operators import chunkers, embedding, stats
 from ..operators import logs as L
 from ..operators.at_rest import Table
@@ -34,6 +35,15 @@ def chunk_status_at_rest(spark, d):
     return _saved(spark, d).read(spark).groupBy("embedding_status").agg(F.count("*").alias("n"), F.count("embedding_id").alias("with_id"), F.count("embedding_error").alias("with_error"))
 
 
+@query(CHARACTER + "SELECT doc_id, chunk_index, substring(sha256(doc_id || '|character|' || chunk_index), 1, 24) AS chunk_id, substring(text_content, 1, 200) AS text_preview, 'text/markdown' AS content_type, 'character' AS strategy, cast(length(text_content) AS varchar) AS size FROM chunks JOIN embeddings ON vec_id = doc_id AND chunk_index = vec_id % 3")
+def chunk_payloads(spark, d):
+    """What is stored with each vector: fixed keys and the chunk's metadata, which wins."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 3).alias("chunk_index"), "embedding")
+    chunks = chunkers.with_metadata(chunkers.chunk(docs(spark, d)), "character", Options(), content_type=F.lit("text/markdown"))
+    p = pipelines.index(chunks, e)
+    return p.select("doc_id", "chunk_index", *[F.col("payload")[k].alias(n) for k, n in (("chunk_id", "chunk_id"), ("text_preview", "text_preview"), ("content_type", "content_type"), ("chunking_strategy", "strategy"), ("chunk_size", "size"))])
+
+
 @query(_HASH + "SELECT doc_id, n AS file_size, quick_hash, CASE WHEN doc_id % 10 = 0 THEN 'again' ELSE 'first' END AS seen FROM h WHERE doc_id % 10 <> 1")
 def blobs_at_rest(spark, d):
     """Blobs saved with their metadata; every tenth saved again later, and others deleted."""

@@ -1,10 +1,4 @@
-"""Row contracts between stages."""
+"""Rows of e-mail events."""
 
-UPLOADS = "document_id string, filename string, content_type string, file_size long, metadata map<string,string>, status string, uploaded_at timestamp, quick_hash string, error_message string"
-CHUNKS = "chunk_id string, document_id string, chunk_index int, text_content string, char_start int, char_end int, token_count int, embedding_status string"
-VECTORS = "id string, vector array<float>, payload map<string,string>"
-EVENT_LOGS = "event_id string, topic string, event_type string, document_id string, group_id long, status string, started_at timestamp, completed_at timestamp, error string"
 EMAIL = "struct<id:string, subject:string, from_address:struct<emailAddress:struct<address:string>>, received_date_time:string, body:struct<content:string>, is_read:boolean, has_attachments:boolean, importance:string, keywords:array<string>, attachments:array<struct<id:string,name:string,contentType:string,size:long,contentLocation:string>>>"
 EMAIL_EVENT = f"event_id string, account_id string, occurred_at string, response_data struct<value:array<{EMAIL}>>"
-DOCUMENT_EVENT = "event_type string, document_id string, filename string, content_type string, file_size long, metadata map<string,string>, uploaded_at timestamp, event_timestamp timestamp"
-STATUSES = ("uploaded", "processing", "completed", "failed", "duplicate")
