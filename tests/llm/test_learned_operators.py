@@ -263,7 +263,7 @@ def test_score_against_brute_force(spark):
     def without(p, bit):
         return math.log(max(seen[p][1] - bit, 0) + more(p)) - math.log(max(seen[p][0] - (1 - bit), 0) + more(p))
 
-    share = {d: s for row in blocks.collect() for d, s in zip(row.doc_ids, mixing.Block(row.asDict()).shares().tolist(), strict=True)}
+    share = {d: s for row in blocks.collect() for d, s in zip(row.doc_ids, row.shares, strict=True)}
     learned = [np.tile([0.8, 0.15, 0.25], (153, 1)), np.tile([0.25, 0.35, 0.4], (64, 1))]
     for part in mixing.ROUNDS:
         slope, curve = [np.zeros(m.shape) for m in learned], [np.zeros((*m.shape, 3)) for m in learned]
