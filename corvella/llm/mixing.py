@@ -9,8 +9,8 @@ two and three bytes of the word as contexts. All training occurrences are counte
 learned from are the words that occur once in all training texts, which are what a new word is when left out.
 
 The predictors' log odds are combined by weights that a gate selects (bit, and how sure the contexts are). The weights
-are refined online, in rounds over training texts that no earlier round has seen (ROUNDS, by a hash of the text): each
-occurrence is predicted by the weights so far, without its own count, and what all tasks gather moves the weights by one
+are refined online, in rounds over training texts that no earlier round has seen (ROUNDS, by a hash of the text; together
+they are all training texts): each occurrence is predicted by the weights so far, without its own count, and what all tasks gather moves the weights by one
 damped Newton step for each gate. So there is one model, whatever the files and partitions. A document adapts to its own
 text: words that it has used before get more likely, by as much as has paid in this document. Every step multiplies or
 mixes probabilities, so that the score is the log10 of one probability of the text, and with the text's bytes it gives
@@ -39,10 +39,10 @@ from .wordhash import NON_SPACE, Words, hash_words, mix, pieces, scramble
 CODE, CLASSES, DEPTH = 16, 512, 17  # bits of a code; classes of words before; bits of a token: new or not, and the code
 LEAST, MOST = (14, 14, 16, 16, 14), (21, 21, 20, 18, 16)  # binary logarithms of the slots: class, word, three, two, one bytes
 CHUNKS = 64
-BLOCK_BYTES = 3 << 21
+BLOCK_BYTES = 1 << 22
 RUN = 2048
 #: Sixteenths of the training texts, by hash, that each round learns from; damping of its step, in squared log odds.
-ROUNDS, DAMPING = ((0,), (1,), (2, 3, 4, 5)), 4.0
+ROUNDS, DAMPING = ((0,), (1,), tuple(range(2, 16))), 4.0
 CACHES = (0.0, 0.08, 0.3, 0.6)  # shares that a document may give to the words it has used
 LN10 = np.log(10)
 END, START = np.uint64(1), np.uint64(0)  # hashes of the end of a text and of what stands before it
@@ -200,6 +200,15 @@ def log_odds(counts: np.ndarray, more: np.float32 = HASHED) -> np.ndarray:
     return np.log(counts[..., 1] + more) - np.log(counts[..., 0] + more)
 
 
+def odds_without(counts: np.ndarray, more: np.float32 = HASHED) -> np.ndarray:
+    """Log odds at each place less one occurrence of a zero, and of a one, in turn: what a bit meets that is left out itself."""
+    out = np.empty((len(counts), 2), np.float32)
+    for bit in (0, 1):
+        zeros, ones = (np.maximum(counts[:, b] - np.float32(b == bit), 0) + more for b in (0, 1))
+        np.log(ones / zeros, out=out[:, bit])
+    return out.reshape(-1)
+
+
 def tree_of(leaves: np.ndarray, once: int) -> np.ndarray:
     """Counts of zeros and ones at each place of the tree of codes; place 0 is for new or not."""
     out = np.zeros((1 << CODE, 2), np.float32)
@@ -426,25 +435,15 @@ def _new_words(block: Block) -> np.ndarray:
 
 
 def learn_weights(blocks: DataFrame, starts: np.ndarray, tree: np.ndarray, counts: np.ndarray, n_train: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both mixers' weights from training texts only, in rounds over texts that are new to them."""
-    held = blocks.sparkSession.sparkContext.broadcast((tree, counts))
-
-    def without(n: tuple[np.ndarray, np.ndarray], at: np.ndarray, one: np.ndarray, more: np.float32 = HASHED) -> np.ndarray:
-        """Log odds from counts, less the bit's own occurrence."""
-        ones, zeros = n[1].take(at), n[0].take(at)
-        ones -= one
-        zeros += one
-        zeros -= np.float32(1)
-        np.maximum(ones, 0, out=ones)
-        np.maximum(zeros, 0, out=zeros)
-        ones += more
-        zeros += more
-        ones /= zeros
-        return np.log(ones, out=ones)
+    """Both mixers' weights from all training texts and no others, in rounds over texts that are new to them."""
+    held = blocks.sparkSession.sparkContext.broadcast((odds_without(tree, TREE), odds_without(counts)))
+
+    def without(odds: np.ndarray, at: np.ndarray, bits: TokenBits | SpellingBits) -> np.ndarray:
+        return odds.take(2 * at + bits.bit)
 
     def over(shares: tuple[int, ...], weights: tuple[np.ndarray, np.ndarray]):
         def gather(batches):
-            tree, counts = ((n[:, 0].copy(), n[:, 1].copy()) for n in held.value)
+            tree, counts = held.value
             mixers = token_mixer(weights[0]), spelling_mixer(weights[1])
             for b in batches:
                 for row in b.to_pylist():
@@ -455,11 +454,9 @@ def learn_weights(blocks: DataFrame, starts: np.ndarray, tree: np.ndarray, count
                     block.pair(_known(row, n_train))
                     once = block.count == 1
                     for k, bits in block.token_runs(starts, np.flatnonzero(block.times), once):
-                        one = bits.bit.astype(np.float32)
-                        mixers[0].gather([without(tree, bits.tree, one, TREE), *(without(counts, s, one) for s in bits.slots)], bits, block.times[k].astype(np.float32))
+                        mixers[0].gather([without(tree, bits.tree, bits), *(without(counts, s, bits) for s in bits.slots)], bits, block.times[k].astype(np.float32))
                     for _, bits in block.spelling_runs(starts, _new_words(block)):
-                        one = bits.bit.astype(np.float32)
-                        mixers[1].gather([without(counts, s, one) for s in bits.slots], bits, np.ones(len(bits.bit), np.float32))
+                        mixers[1].gather([without(counts, s, bits) for s in bits.slots], bits, np.ones(len(bits.bit), np.float32))
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([m.sums.reshape(-1) for m in mixers]).tolist()], pa.list_(pa.float64()))], names=["sums"])
 
         return gather

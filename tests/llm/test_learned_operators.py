@@ -310,6 +310,22 @@ def test_score_against_brute_force(spark):
         assert got[d] == pytest.approx(want, rel=1e-4, abs=1e-4), d
 
 
+def test_weights_learn_from_every_training_text(spark):
+    """Each sixteenth of the training texts, also alone, moves the weights; no text is in two rounds."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(300)]
+    every = mixing.blocks_of(spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, train boolean").coalesce(1)).collect()
+    share = {d: s for row in every for d, s in zip(row.doc_ids, row.shares, strict=True)}
+    assert sorted(s for part in mixing.ROUNDS for s in part) == list(range(16)) == sorted(set(share.values()))
+    for one in (3, 15):
+        data = [(i, t, share[i] == one) for i, t in enumerate(texts)]
+        blocks = mixing.stored(mixing.blocks_of(spark.createDataFrame(data, "doc_id long, text string, train boolean").coalesce(1)), "b")
+        starts, n_train = mixing.starts_for(5000), sum(t for *_, t in data)
+        blocks, *_ = mixing.counted(blocks, 256)
+        weights = mixing.learn_weights(blocks, starts, *mixing.bit_tables(blocks, starts, n_train), n_train)
+        assert np.abs(weights[0] - mixing.token_mixer().weights).max() > 0.01, one
+
+
 def test_bit_model_is_a_distribution(spark):
     """At the real rate: the codes of all tokens after any word, with new or not, and all spellings up to a length, sum to one at most."""
     rng = np.random.default_rng(0)
