@@ -2,8 +2,9 @@
 
 train() fits centroids, code books and the number of lists to look at on a bounded sample (SAMPLE rows by hash of the id)
 and build() then puts every row into the list of its centroid, in a table partitioned by list. search() reads only the
-lists near a query, orders their rows by their codes, and scores the first ones again from their vectors, as top_k_each
-does over all rows. search(exact=True) then also reads the lists that may still hold a better row (a list's radius
+lists near a query; a task orders a list's rows by their codes, where a batch has more of them than are to be re-ranked, and
+scores the first ones (else all) from their vectors, as top_k_each does over all rows, so that only the best of each batch are
+shuffled. search(exact=True) then also reads the lists that may still hold a better row (a list's radius
 bounds the cosine of all its rows), so that nothing is missed; how much that saves depends on the data.
 
 Vectors are compared by cosine; a zero vector has 0 with all. Rows with a null id or vector, with a null, infinite or
@@ -18,15 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import FOUND, best_places, found_batch, matrix, query_blocks, ranked
+from .vectors import AT_ONCE, FOUND, best_batch, matrix, query_blocks, ranked
 
 SAMPLE = 20_000  # rows that an index is trained on: the bound of the fit
 CODES = 256
 ASKED = 200  # sample rows that the number of lists is chosen by
+ROWS = 2048  # rows that a task puts into lists at once
 
 
 @dataclass
@@ -128,7 +129,7 @@ def build(vectors: DataFrame, index: Index, path: str) -> DataFrame:
     at = kept.columns.index("embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(x, ROWS) for b in batches for x in range(0, b.num_rows, ROWS)):
             unit = matrix(b.column(at), width)[0]
             cosines = unit @ index.centroids.T
             of = np.argmax(cosines, axis=1) if len(unit) else np.zeros(0, np.int64)
@@ -141,29 +142,31 @@ def build(vectors: DataFrame, index: Index, path: str) -> DataFrame:
     return kept.sparkSession.read.schema(schema).parquet(path)
 
 
-def _nearest_rows(rows: DataFrame, index: Index, ids: np.ndarray, unit: np.ndarray, asked: dict[int, np.ndarray], keep: int) -> DataFrame:
-    """query_id, vec_id, list of the first rows of the asked lists by code. asked: the queries (places) of each list."""
-    near, tables = unit @ index.centroids.T, index.tables(unit)
-    parts = np.arange(index.books.shape[0])
+def _within(rows: DataFrame, index: Index, ids: np.ndarray, unit: np.ndarray, places: np.ndarray, k: int, keep: int | None = None) -> DataFrame:
+    """The k best rows of each query in its lists (places, by query and list). keep: rows of a list and a batch that are scored for a query, the first by code; all if not given."""
+    asked, width = _asked(places), unit.shape[1]
+
+    def first(q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The keep first rows for each query, as booleans; the list's own share is the same for all of them."""
+        guess = sum(np.take(t, c, axis=1) for t, c in zip(index.tables(unit[q]).transpose(1, 0, 2), codes.T, strict=True))
+        out = np.zeros(guess.shape, bool)
+        np.put_along_axis(out, np.argpartition(-guess, keep - 1, axis=1)[:, :keep], True, axis=1)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vec, of = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, len(parts))
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for k in np.unique(of):
-                own = np.flatnonzero(of == k)
-                for q in asked[int(k)]:
-                    guess = near[q, k] + tables[q][parts, codes[own]].sum(axis=1)
-                    first = np.argsort(-guess, kind="stable")[: keep + 1]  # one of them may be the query itself
-                    for column, x in zip(out, (np.full(len(first), ids[q]), vec[own[first]], np.full(len(first), k), guess[first]), strict=True):
-                        column.append(x)
-            columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((columns[0].astype(np.int64), columns[1].astype(np.int64), columns[2].astype(np.int32), columns[3].astype(float)), (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["query_id", "vec_id", "list", "guess"])
-
-    found = rows.where(F.col("list").isin(sorted(asked))).select("vec_id", "code", "list").mapInArrow(run, "query_id long, vec_id long, list int, guess double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id")
-    return found.where("query_id <> vec_id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep).select("query_id", "vec_id", "list")
+            vec, of, x = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), matrix(b.column(1), width)[0]
+            for one in np.unique(of).tolist():
+                own = np.flatnonzero(of == one)
+                some = keep is not None and len(own) > keep
+                codes = np.frombuffer(b"".join(b.column(3).take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), -1) if some else None
+                for at in range(0, len(asked[one]), AT_ONCE):
+                    q = asked[one][at : at + AT_ONCE]
+                    scores = unit[q] @ x[own].T
+                    yield best_batch(ids[q], vec[own], np.where(first(q, codes), scores, -np.inf) if some else scores, k)
+
+    read = rows.where(F.col("list").isin(sorted(asked))).select(F.col("vec_id").cast("long"), "embedding", "list", "code")
+    return ranked(read.mapInArrow(run, FOUND), k)
 
 
 def _asked(places: np.ndarray) -> dict[int, np.ndarray]:
@@ -186,51 +189,14 @@ def search(rows: DataFrame, index: Index, queries: DataFrame, k: int = 10, exact
         if exact:
             best = _exactly(rows, index, ids, unit, near, first, k)
         else:
-            some = _nearest_rows(rows, index, ids, unit, _asked(first), index.reranked).groupBy("list", "vec_id").agg(F.collect_set("query_id").alias("asking"))  # a block's queries at most
-            vectors = rows.where(F.col("list").isin([int(x) for x in np.flatnonzero(first.any(axis=0))])).select("list", "vec_id", "embedding")
-            best = ranked(_scored(vectors.join(some, ["list", "vec_id"]).select("vec_id", "embedding", "asking"), ids, unit), k)
+            best = _within(rows, index, ids, unit, first, k, index.reranked + 1)  # one of them may be the query itself
         out = best if out is None else out.unionByName(best)
     return out if out is not None else ranked(rows.sparkSession.createDataFrame([], FOUND), k)
 
 
-def _scored(pairs: DataFrame, ids: np.ndarray, unit: np.ndarray) -> DataFrame:
-    """FOUND rows of vec_id, embedding and the queries asking for each."""
-    place = {int(i): q for q, i in enumerate(ids)}
-    width = unit.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, names = matrix(b.column(1), width)[0], pc.list_flatten(b.column(2)).to_numpy()
-            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy())
-            q = np.array([place[i] for i in names.tolist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(b.column(0).to_numpy()[row]), pa.array(np.einsum("rd,rd->r", x[row], unit[q]))], names=["query_id", "vec_id", "score"])
-
-    return pairs.mapInArrow(run, FOUND)
-
-
 def _exactly(rows: DataFrame, index: Index, ids: np.ndarray, unit: np.ndarray, near: np.ndarray, first: np.ndarray, k: int) -> DataFrame:
     """Every row of the lists that may hold one of the k nearest: first those asked anyway, then those whose radius reaches what these found."""
-    width = unit.shape[1]
-
-    def over(places: np.ndarray) -> DataFrame:
-        asked = _asked(places)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                vec, of, x = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), matrix(b.column(1), width)[0]
-                parts = []
-                for one in np.unique(of).tolist():
-                    own = np.flatnonzero(of == one)
-                    scores = unit[asked[one]] @ x[own].T
-                    for s, q in zip(scores, asked[one].tolist(), strict=True):
-                        some = best_places(s, k + 1)
-                        some = some[vec[own[some]] != ids[q]]
-                        parts.append((int(ids[q]), vec[own[some]], s[some]))
-                yield found_batch(parts)
-
-        return ranked(rows.where(F.col("list").isin(sorted(asked))).select(F.col("vec_id").cast("long"), "embedding", "list").mapInArrow(run, FOUND), k)
-
-    found = over(first)
+    found = _within(rows, index, ids, unit, first, k)
     least = {r.query_id: r.score for r in found.where(F.col("rank") == k).select("query_id", "score").collect()}  # a number for each query of the block
     radius = np.full(near.shape[1], -1.0)
     for r in rows.groupBy("list").agg(F.min("near").alias("near")).collect():  # a number for each list
@@ -241,7 +207,7 @@ def _exactly(rows: DataFrame, index: Index, ids: np.ndarray, unit: np.ndarray, n
     more = ~first & (radius >= 0) & (np.maximum(reach, 0.0) >= floor[:, None] - 1e-5)  # a zero vector scores 0 wherever it lies
     if not more.any():
         return found
-    return ranked(found.unionByName(over(more)).drop("rank"), k)
+    return ranked(found.unionByName(_within(rows, index, ids, unit, more, k)).drop("rank"), k)
 
 
 def recall(found: DataFrame, true: DataFrame, k: int = 10) -> DataFrame:

@@ -28,6 +28,8 @@ def top_k(vectors: DataFrame, query: list[float] | DataFrame, k: int = 10) -> Da
 
 #: Queries, and numbers of their vectors, that are sent to the tasks at once.
 BLOCK, NUMBERS = 4096, 2_000_000
+#: Queries that a task scores at once against a batch of rows.
+AT_ONCE = 256
 
 
 def matrix(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,18 +69,14 @@ def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, pa.Array]]:
 FOUND = "query_id long, vec_id long, score double"
 
 
-def found_batch(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """FOUND rows of (query, row ids, scores)."""
-    ids = np.repeat([q for q, _, _ in parts], [len(v) for _, v, _ in parts])
-    columns = [pa.array(ids.astype(np.int64)), *(pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0), t) for k, t in ((1, pa.int64()), (2, pa.float64())))]
-    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
-
-
-def best_places(scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, and of all that rounding may bring level with them."""
-    if len(scores) <= k:
-        return np.arange(len(scores))
-    return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 2e-6)
+def best_batch(ids: np.ndarray, vec: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    """FOUND rows of the k best of each query (ids, the rows of scores) but itself, and of all that rounding may bring level with them; -inf is no score."""
+    n = scores.shape[1]
+    least = np.partition(scores, n - k - 1, axis=1)[:, n - k - 1] if n > k + 1 else np.full(len(scores), -np.inf)  # one may be the query's own row
+    q, row = np.nonzero((scores >= least[:, None] - 2e-6) & np.isfinite(scores))
+    other = vec[row] != ids[q]
+    q, row = q[other], row[other]
+    return pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(vec[row], pa.int64()), pa.array(scores[q, row], pa.float64())], names=["query_id", "vec_id", "score"])
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -90,8 +88,8 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Exact search for a stated set of query vectors (query_id, query_vector): query_id, vec_id, score, rank, the query's own row left out.
 
-    The queries are sent to the tasks in blocks, each with a pass of its own over the vectors; a task scores a batch of rows by one
-    matrix product, and only the best of each batch are shuffled. Rows without an id, and vectors that are null, of another
+    The queries are sent to the tasks in blocks, each with a pass of its own over the vectors; a task scores a batch of rows by
+    matrix products, AT_ONCE queries a time, and only the best of each batch are shuffled. Rows without an id, and vectors that are null, of another
     length than the query's or hold what is no number, are no neighbours; a zero vector has cosine 0 with all."""
     rows, out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL"), None
     for ids, lists in query_blocks(queries):
@@ -111,16 +109,10 @@ def _block(rows: DataFrame, ids: np.ndarray, lists: pa.Array, k: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vec = b.column(0).to_numpy()
-            parts = []
             for width, asked, unit in groups:
                 x, usable = matrix(b.column(1), width)
-                own = vec[usable]
-                scores = unit @ x[usable].T
-                for q, name in enumerate(asked.tolist()):
-                    first = best_places(scores[q], k + 1)  # one may be the query's own row
-                    first = first[own[first] != name]
-                    parts.append((name, own[first], scores[q, first]))
-            yield found_batch(parts)
+                for q in range(0, len(asked), AT_ONCE):
+                    yield best_batch(asked[q : q + AT_ONCE], vec[usable], unit[q : q + AT_ONCE] @ x[usable].T, k)
 
     return ranked(rows.mapInArrow(run, FOUND), k)
 

@@ -118,3 +118,25 @@ def test_exact_search_of_odd_vectors(spark):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == {1: [(2, 1.0), (2, 0.0), (3, 0.0)], 50: [(2, 1.0), (1, 0.0), (2, 0.0)], 51: [(1, 0.0), (2, 0.0), (2, 0.0)], 53: [(5, 1.0)]}
     assert vectors.top_k_each(v, q.limit(0), 3).count() == vectors.top_k_each(v.limit(0), q, 3).count() == 0
+
+
+def test_tasks_score_few_queries_at_once_and_ship_the_best_alone(spark, data, built, monkeypatch):
+    """What a task holds does not grow with queries times rows: only the best of a batch leave it, in batches of few queries."""
+    rows, index = built
+    seen = []
+    ranked = vector_index.ranked
+    monkeypatch.setattr(vector_index, "ranked", lambda found, k: seen.append(found.count()) or ranked(found, k))
+    q = data.where("vec_id < 300 AND embedding IS NOT NULL").selectExpr("vec_id AS query_id", "embedding AS query_vector").dropDuplicates(["query_id"])
+    wide = vector_index.Index(index.centroids, index.books, 40, 3000, 0.0)
+    found = vector_index.search(rows, wide, q, 2).collect()
+    assert len(found) == 600 and seen[0] <= 300 * 40 * 4 * 4  # lists, tasks, rows of each; the shortlist would have 900,000
+    asked = np.array([(1.0, 0.0)] * 3), np.arange(3)
+    batch = vectors.best_batch(asked[1], np.arange(100), asked[0] @ np.stack([np.linspace(-1, 1, 100), np.zeros(100)]), 2)
+    assert batch.num_rows == 9 and set(batch.column(1).to_pylist()) == {97, 98, 99}
+
+
+def test_codes_shorten_long_lists(data, built):
+    rows, index = built
+    few = vector_index.Index(index.centroids, index.books, 40, 30, 0.0)
+    true = vectors.top_k_each(whole(data), asked(data), 10)
+    assert vector_index.recall(vector_index.search(rows, few, asked(data), 10), true).first().recall >= 0.9
