@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -372,15 +373,25 @@ def _known(strategy: str) -> str:
     return strategy if strategy in STRATEGIES else "character"
 
 
-def _cutter(strategy: str, options: dict):
-    cut, fields = STRATEGIES[strategy], _FIELDS + _MORE.get(strategy, [])
-    kind = pa.list_(pa.struct(fields))
+#: Bytes of texts that a task cuts at once (or one text): what it holds besides a batch of rows.
+PIECE = 1 << 20
 
-    @F.arrow_udf(f"array<struct<{','.join(f'{n}:{_SQL[t]}' for n, t in fields)}>>")
-    def cutter(texts: pa.Array) -> pa.Array:
-        return pa.array([[(i, *c) for i, c in enumerate(chunks)] for chunks in cut([t or "" for t in texts.to_pylist()], **options)], kind)
 
-    return cutter
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the texts of each (the last column) have about PIECE bytes."""
+    for b in batches:
+        group = np.cumsum(pc.fill_null(pc.binary_length(b.columns[-1]), 0).to_numpy(zero_copy_only=False)) // PIECE
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+        yield from (b.slice(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False) if y > x)
+
+
+def _cut(name: str, options: dict, piece: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """The chunks of each text, numbered."""
+    return ([(i, *c) for i, c in enumerate(chunks)] for chunks in STRATEGIES[name]([t or "" for t in piece.columns[-1].to_pylist()], **options))
+
+
+def _kinds(name: str) -> list[tuple[str, pa.DataType]]:
+    return _FIELDS + _MORE.get(name, [])
 
 
 def chunk(docs: DataFrame, strategy: str = "character", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -389,14 +400,36 @@ def chunk(docs: DataFrame, strategy: str = "character", key: str = "doc_id", tex
     Options are the sizes of the strategy, and embedder, annotator, calls or vocabulary where it has them. Unknown strategies
     mean character; null texts give no rows."""
     name = _known(strategy)
-    rows = docs.select(F.col(key), F.inline(_cutter(name, options)(F.col(text))))
-    return rows.withColumn("chunk_id", chunk_id(F.col(key).cast("string"), name, F.col("chunk_index")))
+    fields = _kinds(name)
+    rows = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            found = [(row, *c) for row, chunks in enumerate(_cut(name, options, piece)) for c in chunks]
+            if found:
+                of, *columns = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(of)), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], names=[piece.schema.names[0], *(n for n, _ in fields)])
+
+    schema = rows.select(F.col(key), *[F.lit(None).cast(_SQL[t]).alias(n) for n, t in fields]).schema
+    return rows.mapInArrow(run, schema).withColumn("chunk_id", chunk_id(F.col(key).cast("string"), name, F.col("chunk_index")))
+
+
+def chunk_arrays(docs: DataFrame, strategy: str = "character", key: str = "doc_id", text: str = "text", contents: bool = True, **options) -> DataFrame:
+    """key, n_chars and the array of a text's chunks, empty for null texts: for statistics of a text without a shuffle.
+
+    contents: whether the chunks have what they hold (text_content, entities, topics) or their places alone."""
+    name = _known(strategy)
+    fields = [(n, t) for n, t in _kinds(name) if contents or t == pa.int64()]
+    own = [k for k, f in enumerate(_kinds(name)) if f in fields]
+    rows = docs.select(F.col(key), F.length(F.col(text)).cast("long").alias("n_chars"), F.col(text).cast("string").alias("_text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            lists = [[tuple(c[k] for k in own) for c in chunks] for chunks in _cut(name, options, piece)]
+            yield pa.RecordBatch.from_arrays([*piece.columns[:2], pa.array(lists, pa.list_(pa.struct(fields)))], names=[*piece.schema.names[:2], "chunks"])
 
-def chunk_arrays(docs: DataFrame, strategy: str = "character", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """key, n_chars and the array of a text's chunks, empty for null texts: for statistics of a text without a shuffle."""
-    cutter = _cutter(_known(strategy), options).asNondeterministic()  # not evaluated again for a filter on its result
-    return docs.select(F.col(key), F.length(F.col(text)).cast("long").alias("n_chars"), cutter(F.col(text)).alias("chunks"))
+    schema = rows.select(F.col(key), "n_chars", F.lit(None).cast(f"array<struct<{','.join(f'{n}:{_SQL[t]}' for n, t in fields)}>>").alias("chunks")).schema
+    return rows.mapInArrow(run, schema)
 
 
 def with_metadata(chunks: DataFrame, strategy: str, options: Options, **more: Column) -> DataFrame:

@@ -25,22 +25,42 @@ _TYPES = (pa.list_(pa.float64()), pa.string(), pa.string(), pa.int32())
 GIVE_UP = 3
 
 
-def timed(call: Callable[[], Result], timeout: float | None) -> Result:
-    """The call's answer, or TimeoutError after so many seconds. A call that is given up ends unheard, in a thread of its own."""
-    if timeout is None:
-        return call()
-    answers: queue.SimpleQueue = queue.SimpleQueue()
+class _Caller:
+    """A thread that makes one call after the other; it ends with its holder."""
+
+    def __init__(self) -> None:
+        self.calls: queue.SimpleQueue = queue.SimpleQueue()
+        threading.Thread(target=_serve, args=(self.calls,), daemon=True).start()
+
+    def __del__(self) -> None:
+        self.calls.put(None)
+
 
-    def run() -> None:
+def _serve(calls: queue.SimpleQueue) -> None:
+    while (job := calls.get()) is not None:
+        call, answers = job
         try:
             answers.put((call(), None))
         except BaseException as e:  # handed to the caller
             answers.put((None, e))
+        del job, call, answers  # what they hold is not kept while no call comes
 
-    threading.Thread(target=run, daemon=True).start()
+
+_own = threading.local()
+
+
+def timed(call: Callable[[], Result], timeout: float | None) -> Result:
+    """The call's answer, or TimeoutError after so many seconds. A call that is given up ends unheard, in a thread that no other call gets."""
+    if timeout is None:
+        return call()
+    answers: queue.SimpleQueue = queue.SimpleQueue()
+    if getattr(_own, "caller", None) is None:
+        _own.caller = _Caller()
+    _own.caller.calls.put((call, answers))
     try:
         value, error = answers.get(timeout=timeout)
     except queue.Empty:
+        _own.caller = None
         raise TimeoutError(f"no answer within {timeout:g} s") from None
     if error is not None:
         raise error

@@ -78,13 +78,13 @@ def _as_text(covered: DataFrame) -> DataFrame:
 
 @query(_coverage_sql(CHARACTER, "SELECT doc_id, char_start, char_end FROM chunks"))
 def chunk_coverage(spark, d):
-    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d))))
+    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d), contents=False)))
 
 
 @query(_coverage_sql(CHARACTER, "SELECT doc_id, char_start, char_end FROM chunks WHERE chunk_index % 3 <> 1"))
 def chunk_coverage_lost(spark, d):
     """What is lost where every third chunk is."""
-    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d)), keep=lambda c: c["chunk_index"] % 3 != 1))
+    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d), contents=False), keep=lambda c: c["chunk_index"] % 3 != 1))
 
 
 @query(CHARACTER + "SELECT doc_id, chunk_index, 'character' AS strategy, length(text_content)::varchar AS chunk_size, '1200' AS size_config, '300' AS overlap_config, source FROM chunks JOIN documents USING (doc_id)")
@@ -115,7 +115,7 @@ def chunk_token(spark, d):
 
 @query(_coverage_sql(_TOKENS, "SELECT doc_id, char_start, char_end FROM chunks WHERE chunk_index % 3 <> 1"))
 def chunk_token_coverage_lost(spark, d):
-    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d), "token"), keep=lambda c: c["chunk_index"] % 3 != 1))
+    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d), "token", contents=False), keep=lambda c: c["chunk_index"] % 3 != 1))
 
 
 def vocabulary(spark) -> C.Vocabulary:
@@ -161,7 +161,7 @@ for _name in ("recursive_semantic", "embedding_semantic", "linguistic"):
 
 @query(_coverage_sql(_SEMANTIC, "SELECT doc_id, char_start, char_end FROM chunks"))
 def chunk_semantic_coverage(spark, d):
-    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d), "semantic")))
+    return _as_text(C.coverage_of(C.chunk_arrays(docs(spark, d), "semantic", contents=False)))
 
 
 @query(r"""SELECT doc_id, cast(unnest(range(len(s))) AS bigint) AS n, unnest(s) AS paragraph FROM (SELECT doc_id, list_filter(list_transform(
@@ -346,7 +346,7 @@ def batch_stats(spark, d):
 @query(CHARACTER + """SELECT doc_id, count(*) AS total, count(*) FILTER (st = 'completed') AS completed, count(*) FILTER (st = 'failed') AS failed, count(*) FILTER (st = 'pending') AS pending FROM (
  SELECT doc_id, CASE WHEN quality IS NULL THEN 'pending' WHEN (chunk_index + quality) % 7 = 0 THEN 'failed' ELSE 'completed' END AS st FROM chunks LEFT JOIN labels USING (doc_id)) GROUP BY doc_id""")
 def chunk_status_pivot(spark, d):
-    c = C.chunk_arrays(docs(spark, d)).select("doc_id", F.size("chunks").alias("n")).where("n > 0").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    c = C.chunk_arrays(docs(spark, d), contents=False).select("doc_id", F.size("chunks").alias("n")).where("n > 0").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     bad = F.size(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i + F.col("quality")) % 7 == 0))
     by = c.select("doc_id", F.col("n").cast("long").alias("total"), F.when(F.col("quality").isNull(), 0).otherwise(bad).cast("long").alias("failed"), F.when(F.col("quality").isNull(), F.col("n")).otherwise(0).cast("long").alias("pending"))
     g = by.groupBy("doc_id").agg(*[F.sum(x).alias(x) for x in ("total", "failed", "pending")])

@@ -47,7 +47,7 @@ def embed_document_status(spark, d):
 @query()
 def chunk_coverage_all(spark, d):
     t = docs(spark, d)
-    return reduce(DataFrame.unionByName, [chunkers.coverage_of(chunkers.chunk_arrays(t, s)).withColumn("strategy", F.lit(s)) for s in chunkers.STRATEGIES])
+    return reduce(DataFrame.unionByName, [chunkers.coverage_of(chunkers.chunk_arrays(t, s, contents=False)).withColumn("strategy", F.lit(s)) for s in chunkers.STRATEGIES])
 
 
 def _event_log(spark, d) -> DataFrame:
