@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Options
+from ..functions import scalars as S
 from ..operators import chunkers, embedding, stats
 from ..operators import logs as L
 from ..operators.at_rest import Table
@@ -47,9 +48,8 @@ def chunk_payloads(spark, d):
 @query(_HASH + "SELECT doc_id, n AS file_size, quick_hash, CASE WHEN doc_id % 10 = 0 THEN 'again' ELSE 'first' END AS seen FROM h WHERE doc_id % 10 <> 1")
 def blobs_at_rest(spark, d):
     """Blobs saved with their metadata; every tenth saved again later, and others deleted."""
-    from .catalogue import _hashed
-
-    b = _hashed(spark, d).join(docs(spark, d).select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id").select("doc_id", F.col("doc_id").cast("string").alias("document_id"), F.col("n").alias("file_size"), "quick_hash", "content", F.lit("first").alias("seen"))
+    content = F.col("text").cast("binary")
+    b = docs(spark, d).select("doc_id", F.octet_length("text").cast("long").alias("n"), S.quick_hash(F.lit("doc.md"), content).alias("quick_hash"), content.alias("content")).select("doc_id", F.col("doc_id").cast("string").alias("document_id"), F.col("n").alias("file_size"), "quick_hash", "content", F.lit("first").alias("seen"))
     path = shared_folder(spark)
     files.save(spark, b, path, 1, 8)
     files.save(spark, b.where("doc_id % 10 = 0").withColumn("seen", F.lit("again")), path, 2, 8)

@@ -30,7 +30,7 @@ def save(spark: SparkSession, uploads: DataFrame, path: str, version: int, bucke
     """Puts uploads with their content into the table at path; a later version of a document takes the place of the earlier one."""
     table = Table(path, "document_id", uploads.schema, buckets)
     table.create(spark)
-    return table.change(uploads, version)
+    return table.change(uploads, version, staged=False)
 
 
 def markdown_text(files: DataFrame) -> DataFrame:
