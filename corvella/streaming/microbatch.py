@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,13 @@ def stream_batches(events: DataFrame, n: int, wait_seconds: float) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(run, OUT, "no long, count long, first long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _in_order(frames: list[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """The values of the columns, row by row, ordered by the last column, then the first ones. There are many small groups, so no frame is made."""
+    values = [np.concatenate([f[c].to_numpy() for f in frames]) for c in columns]
+    order = np.lexsort((*values[-2::-1], values[-1]))
+    return zip(*(v[order].tolist() for v in values), strict=True)
+
+
 STATE = "no long, count long, first long, first_id long"
 
 
@@ -84,9 +92,8 @@ def closed_batches(events: DataFrame, n: int, wait_seconds: float, delay: str =
                 out.append((key[0], no, count, first_id, "timeout"))
                 no, count = no + 1, 0
         else:
-            rows = pd.concat(list(frames)).sort_values(["closing", "t", "event_id"])
             now = state.getCurrentProcessingTimeMs() * 1000
-            for t, i, closing in zip(rows["t"].tolist(), rows["event_id"].tolist(), rows["closing"].tolist(), strict=True):
+            for t, i, closing in _in_order(list(frames), "t", "event_id", "closing"):
                 t = now if wall else t
                 if count and not closing and t - first >= wait:
                     out.append((key[0], no, count, first_id, "timeout"))
@@ -107,7 +114,8 @@ def closed_batches(events: DataFrame, n: int, wait_seconds: float, delay: str =
             state.setTimeoutDuration(max(1, (first + wait - state.getCurrentProcessingTimeMs() * 1000) // 1000))
         elif count:
             state.setTimeoutTimestamp(max((first + wait) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "batch_no", "n", "first_id", "reason"])
+        if out:
+            yield pd.DataFrame(dict(zip(("user_id", "batch_no", "n", "first_id", "reason"), zip(*out, strict=True), strict=True)))
 
     closing = F.coalesce(F.col("closing"), F.lit(False)) if "closing" in events.columns else F.lit(False)
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))

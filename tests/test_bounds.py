@@ -2,11 +2,14 @@
 
 import threading
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from corvella.operators import chunkers as C
 from corvella.operators import embedding
 from corvella.operators.at_rest import Table
+from corvella.streaming import microbatch
 from pyspark.sql import functions as F
 
 
@@ -53,3 +56,14 @@ def test_changes_are_made_once(spark, tmp_path):
     assert made.value == 50 and t.read(spark).count() == 50
     t.change(rows, 2, staged=False)
     assert sorted(r.value for r in t.read(spark).collect()) == sorted(f"v{k}" for k in range(50))
+
+
+def test_rows_of_a_group_are_ordered_without_frames(monkeypatch):
+    """As pandas orders them: events before what closes, by time and id, times that are missing last."""
+    r = np.random.default_rng(3)
+    frames = [pd.DataFrame({"t": r.integers(0, 5, 40), "event_id": r.integers(0, 9, 40), "closing": r.integers(0, 2, 40) > 0}) for _ in range(3)]
+    frames.append(pd.DataFrame({"t": [2.0, np.nan], "event_id": [7, 7], "closing": [False, False]}))
+    want = pd.concat(frames).sort_values(["closing", "t", "event_id"])
+    want = list(zip(want["t"].tolist(), want["event_id"].tolist(), want["closing"].tolist(), strict=True))
+    monkeypatch.setattr(pd, "concat", None)
+    assert str(list(microbatch._in_order(frames, "t", "event_id", "closing"))) == str(want)
