@@ -23,6 +23,7 @@ Annotator = Callable[[list[str]], Sequence[tuple[set[str], set[str]]]]
 # Characters before which a window of characters may end.
 _CUT = set(" \n\t.,!?;:")
 _TOKEN = re.compile(r"\w+|[^\w \t\n\x0b\f\r]|[ \t\n\x0b\f\r]+")
+_WORD = re.compile(r"\w+")
 _BOUNDARY = re.compile("|".join(f"(?:{b})" for b in BOUNDARIES))
 # Where the recursive strategy cuts, from the coarsest to the finest.
 SEPARATORS = ["\n\n\n", "\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", ""]
@@ -208,19 +209,24 @@ def careful_sentences(text: str) -> list[str]:
     return [s for s in (*out, text[at:].strip()) if s]
 
 
+class _Codes(dict):
+    """Hashes of words, each made once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = zlib.crc32(word.encode())
+        return code
+
+
 def hashed_vectors(texts: list[str], dim: int = 64) -> np.ndarray:
     """Bags of words by hash, of length one; the default embedder."""
-    codes: dict[str, tuple[int, float]] = {}
-    slots, signs = [], []
-    for row, text in enumerate(texts):
-        for w in re.findall(r"\w+", text.lower()):
-            if w not in codes:
-                h = zlib.crc32(w.encode())
-                codes[w] = h % dim, 1.0 if h & 0x80000000 else -1.0
-            slot, sign = codes[w]
-            slots.append(row * dim + slot)
-            signs.append(sign)
-    v = np.bincount(np.array(slots, np.int64), np.array(signs), len(texts) * dim).reshape(len(texts), dim)
+    codes, hashes, counts = _Codes(), [], []
+    for text in texts:
+        before = len(hashes)
+        hashes.extend(map(codes.__getitem__, _WORD.findall(text.lower())))
+        counts.append(len(hashes) - before)
+    h = np.array(hashes, np.int64)
+    slots = np.repeat(np.arange(len(texts)), np.array(counts, np.int64)) * dim + h % dim
+    v = np.bincount(slots, np.where(h >= 0x80000000, 1.0, -1.0), len(texts) * dim).reshape(len(texts), dim)
     n = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return v / np.where(n == 0, 1.0, n)
 
