@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ MAGIC = b"CBPF0002"
 INDEX = struct.Struct("<QQBQ")  # blocks, documents, planes of a block, bytes of the compressed table of blocks
 FOOTER = struct.Struct("<QQQI8s")  # index offset and size, ids in the file, ids in a block, MAGIC
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 22
+MARKS = ".,;:!?$%#*&|<>()+=_-"  # behind a word
 MANIFEST = "shard int, part int, n_docs long, n_ids long, n_bytes long"
 
 
@@ -139,6 +140,39 @@ class Reader:
             rest, at = rest[n:], at + n
 
 
+class Units(dict):
+    """Ids of text units as bytes. A new unit gets an empty place, which is filled when the library has encoded it.
+
+    new: the units whose places are empty yet.
+    older: the units of the generation before; those that are asked for again outlive the change.
+    """
+
+    def __init__(self, older: dict[str, bytes]):
+        super().__init__()
+        self.older, self.new = older, {}
+
+    def __missing__(self, key: str) -> bytes | bytearray:
+        got = self.older.get(key) or self._apart(key)
+        if got is None:
+            got = self.new[key] = bytearray()
+        self[key] = got
+        return got
+
+    def _apart(self, key: str) -> bytes | None:
+        """Ids of a known word and of the marks behind it: no match of the pattern holds a letter and such a mark."""
+        word = key.rstrip(MARKS)
+        if word == key or not (word[-1:].isalpha() and word[-1] < "\u0250"):  # what is a letter beyond depends on the version of Unicode
+            return None
+        ids, marks = self.get(word) or self.older.get(word), self["\x00" + key[len(word) :]]
+        return ids + marks if ids and marks else None
+
+    def fill(self, keys: Iterable[str], raws: Iterable[bytes]) -> None:
+        for key, raw in zip(keys, raws, strict=True):
+            place = self.new.pop(key)
+            place += raw
+            self[key] = raw
+
+
 class LibraryEncoder:
     """The tokenizers library behind a bounded cache of text units, whose ids do not depend on their neighbours.
 
@@ -146,7 +180,7 @@ class LibraryEncoder:
     their ids, and texts that hold one are encoded whole.
     """
 
-    def __init__(self, path: str, units: int = 500_000, literal: bool = False):
+    def __init__(self, path: str, units: int = 1_000_000, literal: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -154,12 +188,10 @@ class LibraryEncoder:
 
         self.tk = Tokenizer.from_file(path)
         self.tk.encode_special_tokens = literal
+        getattr(self.tk.model, "_resize_cache", int)(0)  # units are kept here, and few of those that are new come twice
         self.added = [t.content for t in self.tk.get_added_tokens_decoder().values() if t.content and not (literal and t.special)]
         self.bytes_of = np.array([len(self.tk.id_to_token(i) or "") for i in range(self.tk.get_vocab_size())], np.int64)  # a letter of a piece stands for a byte
-        # Two generations: units that are asked for again outlive the change.
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.limit = units // 2
+        self.units, self.limit = Units({}), units // 2
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -168,44 +200,40 @@ class LibraryEncoder:
         """Units that begin with a space or a line break are encoded as one text, cut again where their bytes end."""
         alone = [k for k in keys if k[:1] == "\x00"]
         joined = [k for k in keys if k[:1] != "\x00"]
-        for i in range(0, len(joined), 2000):
-            some = joined[i : i + 2000]
-            units = list(map(unit_text, some))
-            ids = np.array(self.tk.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
-            at, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(u.encode()) for u in units])
+        for i in range(0, len(joined), 500):
+            some = joined[i : i + 500]
+            text = (" " + " ".join(some)).replace(" \n", "\n")
+            ids = np.array(self.tk.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            size = np.cumsum(1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF))  # bytes of UTF-8 up to a character's end
+            at, ends = np.cumsum(self.bytes_of[ids]), size[np.append(np.flatnonzero((chars == 0x20) | (chars == 0x0A))[1:], 0) - 1]
             cut = np.searchsorted(at, ends)
             if cut[-1] < len(at) and (at[cut] == ends).all():
-                raw, last = ids.tobytes(), (4 * (cut + 1)).tolist()
-                self.cache.update((k, raw[a:b]) for k, a, b in zip(some, [0, *last], last, strict=False))
+                self._cut(some, ids, cut + 1)
             else:
                 alone += some
         if alone:
-            self._learn_apart(alone)
+            got = self.tk.encode([unit_text(k) for k in alone], is_pretokenized=True, add_special_tokens=False)
+            owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
+            self._cut(alone, np.array(got.ids, "<u4"), np.searchsorted(owner, np.arange(len(alone)), "right"))
 
-    def _learn_apart(self, keys: list[str]) -> None:
-        got = self.tk.encode([unit_text(k) for k in keys], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-        ends = np.searchsorted(owner, np.arange(len(keys)), "right") if len(ids) else np.zeros(len(keys), int)
-        starts = np.concatenate([[0], ends[:-1]])
-        raw = ids.tobytes()
-        self.cache.update((k, raw[4 * a : 4 * b]) for k, a, b in zip(keys, starts.tolist(), ends.tolist(), strict=True))
+    def _cut(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, last = ids.tobytes(), (4 * ends).tolist()
+        self.units.fill(keys, map(raw.__getitem__, map(slice, [0, *last], last)))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian bytes."""
         for i in range(0, len(texts), 256):
-            keys = [None if t and any(a in t for a in self.added) else unit_keys(t or "") for t in texts[i : i + 256]]
-            new = set().union(*(k for k in keys if k is not None)).difference(self.cache)
-            if len(self.cache) + len(new) > self.limit:
-                self.cache, self.old = {}, self.cache
-                new = set().union(*(k for k in keys if k is not None))
-            if new:
-                again = new.intersection(self.old)
-                self.cache.update((k, self.old[k]) for k in again)
-                self._learn(list(new - again))
-            get = self.cache.__getitem__
-            for k, t in zip(keys, texts[i : i + 256], strict=True):
-                yield self.whole(t) if k is None else b"".join(map(get, k))
+            some = texts[i : i + 256]
+            if self.units.new:  # left empty by texts that failed
+                self.units = Units({})
+            elif len(self.units) > self.limit:
+                self.units.older, self.units = {}, Units(self.units)
+            keys = [None if t and any(a in t for a in self.added) else unit_keys(t or "") for t in some]
+            found = [list(map(self.units.__getitem__, k or ())) for k in keys]
+            self._learn(list(self.units.new))
+            for k, f, t in zip(keys, found, some, strict=True):
+                yield self.whole(t) if k is None else b"".join(f)
 
 
 def encoder(path: str, literal: bool = False) -> LibraryEncoder:

@@ -95,6 +95,35 @@ def test_op7_reads_added_tokens_as_the_library_does(spark, tmp_path):
     assert got == want and want[2][2] == 2
 
 
+def test_op7_sends_known_words_with_marks_to_the_library_once():
+    enc, sent = bitplanes.LibraryEncoder(P.path("byte_bpe_50k.json")), []
+    learn = enc._learn
+    enc._learn = lambda keys: (sent.extend(keys), learn(keys))
+    texts = ["x zorble quaffin", "x zorble, quaffin.***", "x quaffin, zorble.*** zorble,", "x zorble,é zorble-quaffin, zorble1."]
+    for t, new in zip(texts, ({"\x00x", "zorble", "quaffin"}, {"zorble,", "quaffin.***", "\x00,", "\x00.***"}, set(), {"zorble,é", "zorble-quaffin,", "zorble1."}), strict=True):
+        sent.clear()
+        assert list(enc.encode([t])) == [enc.whole(t)] and set(sent) == new
+
+
+def test_op7_encoder_keeps_the_librarys_ids_when_units_leave_and_come_back():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdeéñß中ªʰ𝒜١1'’-_", k=rng.randint(1, 6))) for _ in range(300)]
+    marks = ["", "", ",", ".", "'s,", "...", "?!", "'", "$$$", "—", ".'", ",a", "_", "<|", "·"]
+    texts = [rng.choice(["", " ", "\n"]) + "".join(rng.choice(words) + rng.choice(marks) + rng.choice([" ", " ", " ", "\n", *["  "] * (n % 5 == 0)]) for _ in range(40)) for n in range(1500)]
+    enc = bitplanes.LibraryEncoder(P.path("byte_bpe_50k.json"), units=1000)
+    assert list(enc.encode([*texts, None, ""])) == [enc.whole(t) for t in [*texts, "", ""]]
+    assert len(enc.units) + len(enc.units.older) < 12_000 and not enc.units.new
+
+
+def test_op7_encoder_goes_on_after_a_failure():
+    enc = bitplanes.LibraryEncoder(P.path("byte_bpe_50k.json"))
+    learn, enc._learn = enc._learn, lambda keys: 1 // 0
+    with pytest.raises(ZeroDivisionError):
+        list(enc.encode(["a new word"]))
+    enc._learn = learn
+    assert list(enc.encode(["a new word"])) == [enc.whole("a new word")]
+
+
 def test_units_join_to_the_text():
     for t in ODD:
         keys = unit_keys(t or "")
